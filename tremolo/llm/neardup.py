@@ -28,7 +28,7 @@ from tremolo.llm.textkit import LOWER, annotate, buffers, cut, mix, word_hashes
 
 LANES, CHUNKS = 50, 10
 #: Nodes of a key that are compared in one task, against as many.
-BLOCK = 256
+BLOCK = 512
 #: Pairs whose signatures differ in more lanes aren't verified: at J = 0.8 that is 3e-6 of the links.
 MOST_DIFFERING = 24
 
