@@ -17,6 +17,8 @@ its shard whole.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from bisect import bisect_right
@@ -30,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremolo.llm.textkit import slices
+
 MAGIC = b"TRMLSST1"
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 10, 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")
-#: Pieces of text whose ids a task remembers.
-REMEMBERED = 200_000
+#: Pieces of text whose ids a worker remembers.
+REMEMBERED = 400_000
 
 
 def varint(n: int) -> bytes:
@@ -189,24 +193,78 @@ class Reader:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file whose pieces don't cross a blank: each piece between blanks is encoded once and remembered."""
+    """Ids of whole texts by a tokenizers file of lower-case word pieces that don't cross a blank.
+
+    Such a tokenizer gives a text the ids of its pieces between blanks, one after the other, with
+    A-Z as a-z. So each distinct piece is encoded once and its ids are remembered: plain words by the
+    tokenizer's model, all others many in one call with the end-of-text mark between them. A text that may hold a mark of its own is encoded whole.
+    """
+
+    MARK = "<|endoftext|>"
+    #: Letters: a-z, and U+00E0-U+00FF but the division sign.
+    #: A word of these and a run of ASCII signs after it (no apostrophe) are encoded apart.
+    _WORD = re.compile(rb"((?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+    #: How byte-level vocabularies spell bytes that don't print: the n-th of them as character 256 + n.
+    _SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+    _SHARED: dict[str, dict[bytes, bytes]] = {}
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.end = Tokenizer.from_file(path), {"": b""}, np.uint32(end_id).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids with the end id."""
-        pieces = text.replace("\n", " ").split(" ")
-        new = list({p for p in pieces if p not in self.known})
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {"": b""}
-                new = list(set(pieces) - {""})
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([*map(self.known.__getitem__, pieces), self.end])
+        self.tokenizer, self.known, self.end = Tokenizer.from_file(path), self._SHARED.setdefault(path, {b"": b""}), np.uint32(end_id).tobytes()
+        self.mark = self.tokenizer.token_to_id(self.MARK)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        model = self.tokenizer.model
+        known, rest, ended = self.known, [], []
+        for p in pieces:
+            found = self._WORD.fullmatch(p)
+            if not found:
+                rest.append(p)
+                continue
+            word, signs = found.groups()
+            if word not in known:  # no step before the merges changes it but the spelling of its bytes
+                ids = [t.id for t in model.tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(self._SPELT))]
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            if signs:
+                ended.append((p, word, signs))
+        pieces = [*rest, *{s for _, _, s in ended if s not in known}]
+        for at in range(0, len(pieces), 2048):
+            part = pieces[at : at + 2048]
+            ids = np.array(self.tokenizer.encode(self.MARK.join(p.decode() for p in part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(ids == self.mark).tolist()
+            raw = ids.tobytes()
+            for p, a, b in zip(part, [0, *(s + 1 for s in stops)], [*stops, len(ids)], strict=True):
+                self.known[p] = raw[4 * a : 4 * b]
+        for p, word, signs in ended:
+            known[p] = known[word] + known[signs]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, with the end id."""
+        cut, new = [], set()
+        for text in texts:
+            data = text.encode().lower()
+            if b"<|" in data or self.mark is None:
+                cut.append(None)
+            else:
+                pieces = data.replace(b"\n", b" ").split(b" ")
+                cut.append(pieces)
+                new.update(pieces)
+        new = new.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            self.known[b""] = b""
+            new = {p for pieces in cut if pieces for p in pieces if p}
+        self._learn(sorted(new))
+        look = self.known.__getitem__
+        out = []
+        for text, pieces in zip(texts, cut, strict=True):
+            if pieces is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end)
+            else:
+                out.append(b"".join([*map(look, pieces), self.end]))
+        return out
 
 
 def write_shards(df: DataFrame, out: str, tokenizer: str, end_id: int, shards: int, id_col: str = "doc_id", text: str = "text") -> list[tuple]:
@@ -224,13 +282,12 @@ def write_shards(df: DataFrame, out: str, tokenizer: str, end_id: int, shards: i
         name = f"{root}/shard-{task.partitionId():06d}.sst"
         own = f"{name}.{task.taskAttemptId()}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for part in slices(batch, "t"):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     if writer is None:
                         files.create_dir(root, recursive=True)
                         writer = Writer(files.open_output_stream(own))
-                    writer.add(doc_id, np.frombuffer(encode(t), "<u4"))
+                    writer.add(doc_id, np.frombuffer(ids, "<u4"))
         if writer is not None:
             writer.close()
             writer.sink.close()
