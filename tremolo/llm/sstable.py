@@ -38,7 +38,7 @@ MAGIC = b"TRMLSST1"
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 10, 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def varint(n: int) -> bytes:
@@ -256,7 +256,7 @@ class Encoder:
             self.known.clear()
             self.known[b""] = b""
             new = {p for pieces in cut if pieces for p in pieces if p}
-        self._learn(sorted(new))
+        self._learn(list(new))
         look = self.known.__getitem__
         out = []
         for text, pieces in zip(texts, cut, strict=True):
