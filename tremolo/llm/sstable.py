@@ -38,7 +38,7 @@ MAGIC = b"TRMLSST1"
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 10, 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_300_000
 
 
 def varint(n: int) -> bytes:
@@ -192,6 +192,9 @@ class Reader:
         return out
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file of lower-case word pieces that don't cross a blank.
 
@@ -216,17 +219,20 @@ class Encoder:
         self.mark = self.tokenizer.token_to_id(self.MARK)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        model = self.tokenizer.model
-        known, rest, ended = self.known, [], []
+        tokenize, match, known, rest, ended = self.tokenizer.model.tokenize, self._WORD.fullmatch, self.known, [], []
         for p in pieces:
-            found = self._WORD.fullmatch(p)
+            if p.isalpha():  # no step before the merges changes it
+                ids = [t.id for t in tokenize(p.decode())]
+                known[p] = _PACK[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+                continue
+            found = match(p)
             if not found:
                 rest.append(p)
                 continue
             word, signs = found.groups()
-            if word not in known:  # no step before the merges changes it but the spelling of its bytes
-                ids = [t.id for t in model.tokenize(word.decode() if word.isascii() else word.decode("latin-1").translate(self._SPELT))]
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            if word not in known:  # nor this but for the spelling of its bytes
+                ids = [t.id for t in tokenize(word.decode("latin-1").translate(self._SPELT))]
+                known[word] = np.array(ids, "<u4").tobytes()
             if signs:
                 ended.append((p, word, signs))
         pieces = [*rest, *{s for _, _, s in ended if s not in known}]
