@@ -150,6 +150,6 @@ def cost(n_ok: Column, max_tokens: Column, cost_per_1k: Column) -> Column:
 
 
 def python_round(value: Column, digits: int) -> Column:
-    """A decimal rounded from the double's exact binary value, ties to even; for values below 1024 in size."""
-    units = (value * float(1 << 53)).cast("long").cast("decimal(20,0)")
-    return F.bround(units / F.lit(1 << 53).cast("decimal(17,0)"), digits)
+    """Rounded from the double's exact binary value, ties to even; for values below 2 in size."""
+    units = (value * float(1 << 62)).cast("long").cast("decimal(20,0)")
+    return F.bround(units / F.lit(1 << 62).cast("decimal(19,0)"), digits).cast("double")
