@@ -111,9 +111,13 @@ def train(texts: list[str], labels: list[int]) -> dict:
     """Weights of lines and transitions by Adam on the penalised conditional likelihood; the share of good texts serves texts without a line."""
     if not texts:
         return {"w": np.zeros(WIDTH), "change": np.zeros((2, 2)), "prior": 0.5}
-    raw = [t.encode() for t in texts]
-    data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    x, _, first = features(data, off)
+    parts, sizes = [], [np.zeros(1, np.int64)]
+    for at in range(0, len(texts), 256):
+        raw = [t.encode() for t in texts[at : at + 256]]
+        x, _, first = features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        parts.append(x)
+        sizes.append(np.diff(first))
+    x, first = np.vstack(parts), np.cumsum(np.concatenate(sizes))
     y = np.asarray(labels)[owner(first)]
     n = np.diff(first)
     per_line = (1 / np.maximum(n, 1))[owner(first)] ** 0.5
