@@ -201,5 +201,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     """
     able = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
     ids = able.groupBy("doc_id").agg(F.max(label).cast("int").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").collect()
-    return sorted((r[0], r[1], r[2]) for r in rows)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").toArrow()
+    return sorted(zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True))

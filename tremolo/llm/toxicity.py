@@ -22,7 +22,7 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 PREFIXES = (4, 5, 6)
 #: Bounds: labelled examples, terms of the vocabulary; nearest examples; examples in a block of postings.
-EXAMPLES, VOCABULARY, NEAREST, BLOCK = 12000, 1 << 14, 15, 256
+EXAMPLES, VOCABULARY, NEAREST, BLOCK = 8000, 1 << 14, 15, 256
 LEAST_CHI2, LEAST_LIFT = 24.0, 2.0
 FIELDS = [
     ("score", T.DoubleType()), ("predicted", T.IntegerType()),
@@ -70,20 +70,35 @@ def _gate(vocabulary: np.ndarray) -> np.ndarray:
 
 def choose_terms(texts: list[str], labels: np.ndarray) -> np.ndarray:
     """Sorted hashes of the terms that are more frequent under label 1 beyond chance, the clearest VOCABULARY."""
-    parts = [t.encode() for t in texts]
-    pairs = []
-    for at in range(0, len(parts), 256):
-        chunk = parts[at : at + 256]
-        h, of = term_hashes(np.frombuffer(b"".join(chunk), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in chunk])]))
-        _, first = np.unique(mix(h ^ mix(of.astype(_U64))), return_index=True)
-        pairs.append((h[first], labels[at + of[first]]))
+    def distinct():
+        for at in range(0, len(texts), 256):
+            chunk = [t.encode() for t in texts[at : at + 256]]
+            h, of = term_hashes(np.frombuffer(b"".join(chunk), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in chunk])]))
+            _, first = np.unique(mix(h ^ mix(of.astype(_U64))), return_index=True)
+            yield h[first], labels[at + of[first]]
+
+    # a term of a bucket that is rare, or rare under label 1, can't be chosen: most terms go that way, at a fixed cost in memory
+    every, toxic = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
+    bucket = lambda h: (h >> _U64(42)).astype(np.int64)
+    for h, y in distinct():
+        np.add.at(every, bucket(h), 1)
+        np.add.at(toxic, bucket(h[y > 0]), 1)
+    able = (every >= 4) & (toxic >= 2)
+    pairs = [(h[able[bucket(h)]], y[able[bucket(h)]] > 0) for h, y in distinct()]
     h, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    term, inverse = np.unique(h, return_inverse=True)
-    df, a = np.bincount(inverse).astype(float), np.bincount(inverse, weights=y)
+    del pairs, every, toxic
     n, p = len(labels), labels.mean()
-    chi2 = (a - df * p) ** 2 / np.maximum(df * p * (1 - p) * (1 - df / n), 1e-9)
-    able = np.flatnonzero((df >= 4) & (chi2 >= LEAST_CHI2) & (a >= LEAST_LIFT * p * df))
-    return np.sort(term[able[np.lexsort((term[able], -chi2[able]))][:VOCABULARY]])
+    terms, scores = [], []
+    for part in range(16):
+        here = (h >> _U64(60)) == _U64(part)
+        term, inverse = np.unique(h[here], return_inverse=True)
+        df, a = np.bincount(inverse, minlength=len(term)).astype(float), np.bincount(inverse, weights=y[here], minlength=len(term))
+        chi2 = (a - df * p) ** 2 / np.maximum(df * p * (1 - p) * (1 - df / n), 1e-9)
+        fit = np.flatnonzero((df >= 4) & (chi2 >= LEAST_CHI2) & (a >= LEAST_LIFT * p * df))
+        terms.append(term[fit])
+        scores.append(chi2[fit])
+    term, chi2 = np.concatenate(terms), np.concatenate(scores)
+    return np.sort(term[np.lexsort((term, -chi2))][:VOCABULARY])
 
 
 def document_frequencies(df: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
