@@ -111,7 +111,7 @@ def identify_language(df: DataFrame, model: dict | None, text: str = "text", kee
 
     def kernel(batch, _):
         found = shared.value
-        column = batch.column(batch.num_columns - 1)
+        column = batch.column(0)
         names, scores = [], []
         strings = column.to_pylist()
         for at in range(0, len(column), 128):

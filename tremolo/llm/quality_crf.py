@@ -144,7 +144,7 @@ def quality_crf(df: DataFrame, model: dict, text: str = "text", keep: list[str]
     """
 
     def kernel(batch, _):
-        data, off = buffers(batch.column(batch.num_columns - 1))
+        data, off = buffers(batch.column(0))
         x, size, first = features(data, off)
         p, _ = marginals(x @ model["w"], first, model["change"])
         mass = totals(size, first)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.textkit import slices
+from tremolo.llm.textkit import bound_batches, slices
 
 MAGIC = b"TRMLSST1"
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 10, 7
@@ -280,6 +280,7 @@ def write_shards(df: DataFrame, out: str, tokenizer: str, end_id: int, shards: i
     identifier stand in the order of a hash of their text. tokenizer must be readable on all executors.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    bound_batches(df.sparkSession)
     ordered = source.repartitionByRange(shards, "id", F.xxhash64("t")).sortWithinPartitions("id", F.xxhash64("t"))
 
     def run(batches):

@@ -107,6 +107,14 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hash(prefix_hash(data), s, e), first
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of an Arrow batch, so that a batch of long texts stays small in the JVM and in Python."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def annotate(
     df: DataFrame,
     keep: list[str],
@@ -120,16 +128,20 @@ def annotate(
     kernel(batch, state) returns one Arrow array (or numpy array) a field. Columns of df that bear
     a new field's name are replaced; those not in keep are not returned.
     """
+    bound_batches(df.sparkSession)
     new = [n for n, _ in fields]
     kept = [c for c in keep if c not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(n, t, True) for n, t in fields])
+    whole = F.col(f"`{text}`").cast("string").alias("__text")
+    passed = text in kept and isinstance(df.schema[text].dataType, T.StringType)  # then the text travels once
+    source = df.select(*[whole if passed and c == text else F.col(f"`{c}`") for c in kept], *([] if passed else [whole]))
+    at_text = kept.index(text) if passed else len(kept)
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t, True) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
             for part in slices(batch, "__text"):
-                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in kernel(part, state)]
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in kernel(part.select([at_text]), state)]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(kept))] + made, [*kept, *new])
 
     return source.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.textkit import LOWER, annotate, buffers, mix, prefix_hash, slices, span_hash
+from tremolo.llm.textkit import LOWER, annotate, bound_batches, buffers, mix, prefix_hash, slices, span_hash
 
 _U64 = np.uint64
 _WORD = np.zeros(256, bool)
@@ -115,6 +115,7 @@ def document_frequencies(df: DataFrame, text: str, vocabulary: np.ndarray) -> tu
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["term", "n"])
 
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(vocabulary) + 1)
     out[rows["term"]] = rows["n"]
@@ -202,7 +203,7 @@ def toxicity(df: DataFrame, model: dict, text: str = "text", keep: list[str] | N
 
     def kernel(batch, _):
         m = shared.value
-        of, term, count = known_terms(*buffers(batch.column(batch.num_columns - 1)), m["vocabulary"], m["gate"])
+        of, term, count = known_terms(*buffers(batch.column(0)), m["vocabulary"], m["gate"])
         weight = weigh(of, term, count, m["idf"])
         first = np.searchsorted(of, np.arange(batch.num_rows + 1))
         scores, evidence = np.full(batch.num_rows, float(m["blank"])), [[] for _ in range(batch.num_rows)]
