@@ -151,5 +151,10 @@ def cost(n_ok: Column, max_tokens: Column, cost_per_1k: Column) -> Column:
 
 def python_round(value: Column, digits: int) -> Column:
     """Rounded from the double's exact binary value, ties to even; for values below 2 in size."""
-    units = (value * float(1 << 62)).cast("long").cast("decimal(20,0)")
-    return F.bround(units / F.lit(1 << 62).cast("decimal(19,0)"), digits).cast("double")
+    one = 1 << 62
+    units = F.abs((value * float(one)).cast("long")).cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(6,0)")
+    whole = F.call_function("div", units, F.lit(one).cast("decimal(19,0)"))
+    rest = units - whole.cast("decimal(10,0)") * F.lit(one).cast("decimal(19,0)")
+    half = F.lit(one >> 1).cast("decimal(19,0)")
+    up = F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.signum(value) * (whole + up) / float(10**digits)
