@@ -425,6 +425,12 @@ def test_toxicity(spark):
     assert toxicity.toxicity(awkward(spark), toxicity.train([])).count() == 12
 
 
+def test_toxicity_with_mostly_toxic_labels(spark):
+    examples = [(k, ("kind word " if k % 4 == 0 else "you idiot ") + PROSE, int(k % 4 > 0)) for k in range(80)]
+    df = spark.createDataFrame([(1, "kind word " + PROSE), (2, "you idiot " + PROSE), (3, None), (4, PROSE)], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity(df, toxicity.train(examples)).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 10**6))
 def test_block_max_search_is_exact(seed):

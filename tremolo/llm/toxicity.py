@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in block-max inverted indexes.
 
 Terms are words (runs of letters and digits, A-Z as a-z) and their first 4, 5 and 6 bytes. The
-vocabulary holds the terms that speak for the label among the examples; document frequencies
+vocabulary holds the terms that speak for or against the label among the examples; document frequencies
 are counted over the whole corpus. Postings of a term lie in blocks of BLOCK examples, each with its
 largest weight: blocks whose bound can't reach the k-th score are skipped, so the k nearest
 examples are exact. Their votes, weighted by similarity, give the score; they are the evidence.
@@ -23,7 +23,7 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 PREFIXES = (4, 5, 6)
 #: Bounds: labelled examples, terms of the vocabulary; nearest examples; examples in a block of postings.
 EXAMPLES, VOCABULARY, NEAREST, BLOCK = 8000, 1 << 14, 15, 256
-LEAST_CHI2, LEAST_LIFT = 24.0, 2.0
+LEAST_CHI2, LEAST_ODDS = 24.0, 2.0
 FIELDS = [
     ("score", T.DoubleType()), ("predicted", T.IntegerType()),
     ("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))),
@@ -69,7 +69,7 @@ def _gate(vocabulary: np.ndarray) -> np.ndarray:
 
 
 def choose_terms(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the terms that are more frequent under label 1 beyond chance, the clearest VOCABULARY."""
+    """Sorted hashes of the terms that are more frequent under either label beyond chance, the clearest VOCABULARY. The test is the same for any share of label 1."""
     def distinct():
         for at in range(0, len(texts), 256):
             chunk = [t.encode() for t in texts[at : at + 256]]
@@ -77,24 +77,29 @@ def choose_terms(texts: list[str], labels: np.ndarray) -> np.ndarray:
             _, first = np.unique(mix(h ^ mix(of.astype(_U64))), return_index=True)
             yield h[first], labels[at + of[first]]
 
-    # a term of a bucket that is rare, or rare under label 1, can't be chosen: most terms go that way, at a fixed cost in memory
+    # a term is clearest if all its examples bear one label; where even that isn't clear enough for a bucket's counts, none of its
+    # terms can be chosen: most terms go that way, at a fixed cost in memory
+    n, p = len(labels), labels.mean()
     every, toxic = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
     bucket = lambda h: (h >> _U64(42)).astype(np.int64)
     for h, y in distinct():
         np.add.at(every, bucket(h), 1)
         np.add.at(toxic, bucket(h[y > 0]), 1)
-    able = (every >= 4) & (toxic >= 2)
+    able = np.zeros(1 << 22, bool)
+    for most, odds in ((toxic, (1 - p) / p), (every - toxic, p / (1 - p))):
+        able |= (every >= 4) & (most * odds >= (LEAST_CHI2 - 1e-6) * (1 - np.minimum(most, n) / n))
     pairs = [(h[able[bucket(h)]], y[able[bucket(h)]] > 0) for h, y in distinct()]
     h, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    del pairs, every, toxic
-    n, p = len(labels), labels.mean()
+    del pairs, every, toxic, able
     terms, scores = [], []
     for part in range(16):
         here = (h >> _U64(60)) == _U64(part)
         term, inverse = np.unique(h[here], return_inverse=True)
         df, a = np.bincount(inverse, minlength=len(term)).astype(float), np.bincount(inverse, weights=y[here], minlength=len(term))
         chi2 = (a - df * p) ** 2 / np.maximum(df * p * (1 - p) * (1 - df / n), 1e-9)
-        fit = np.flatnonzero((df >= 4) & (chi2 >= LEAST_CHI2) & (a >= LEAST_LIFT * p * df))
+        b, c = df - a, n * p - a
+        odds = np.log((a + 0.5) * (n - df - c + 0.5) / ((b + 0.5) * (c + 0.5)))
+        fit = np.flatnonzero((df >= 4) & (chi2 >= LEAST_CHI2) & (np.abs(odds) >= np.log(LEAST_ODDS)))
         terms.append(term[fit])
         scores.append(chi2[fit])
     term, chi2 = np.concatenate(terms), np.concatenate(scores)
@@ -192,7 +197,7 @@ def index(model: dict, n_docs: int, frequency: np.ndarray) -> dict:
 
 
 def toxicity(df: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep (all columns of df by default), score (0 to 1), predicted (score >= 0.5) and evidence for each row of df.
+    """keep (all columns of df by default), score (0 to 1), predicted (score >= 0.5 with evidence) and evidence for each row of df.
 
     evidence: the nearest examples (doc_id, similarity, label), nearest first. A text without a term
     of the vocabulary (null and empty ones too) has none; its score is the share of toxic examples
@@ -215,7 +220,8 @@ def toxicity(df: DataFrame, model: dict, text: str = "text", keep: list[str] | N
                 scores[d] = (sum(s * float(m["labels"][x]) for x, s in near) + 0.1 * m["prior"]) / (mass + 0.1)
                 evidence[d] = [{"doc_id": int(m["ids"][x]), "similarity": s, "label": int(m["labels"][x])} for x, s in near]
         scores = np.round(np.clip(scores, 0, 1), 9)
-        return [scores, (scores >= 0.5).astype(np.int32), pa.array(evidence, EVIDENCE)]
+        marked = (scores >= 0.5) & np.array([bool(e) for e in evidence], bool)
+        return [scores, marked.astype(np.int32), pa.array(evidence, EVIDENCE)]
 
     return annotate(df, df.columns if keep is None else keep, FIELDS, kernel, text)
 
