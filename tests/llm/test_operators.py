@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tremolo.llm import context_tree, graph, language, mixing, neardup, packing, quality_crf, quality_rules, sstable, textkit, topk, toxicity
+from tremolo.llm import byte_contexts, context_tree, graph, language, mixing, neardup, packing, quality_crf, quality_rules, sstable, textkit, topk, toxicity
 from tremolo.llm import queries as Q
 from tests.oracle import duck, same
 
@@ -321,6 +321,76 @@ def test_context_tree_against_recursion(spark):
         assert r.score == pytest.approx(brute_tree(train, texts[r.doc_id] or ""), rel=1e-5)
 
 
+def brute_bytes(train, text):
+    """Context-tree probabilities over whole bytes by recursion, and how many decisions met the full depth."""
+    from math import exp, lgamma, log, log1p, pi
+
+    depth = byte_contexts.DEPTH
+
+    def walk(t):
+        data = [255] * depth + [*lower(t).encode(), 255]
+        for i in range(depth, len(data)):
+            for k in range(8):
+                yield tuple(data[i - depth : i]), (1 << k) | data[i] >> (8 - k), data[i] >> (7 - k) & 1
+
+    counts, kids = {}, {}
+    for t in train:
+        for ctx, node, bit in walk(t):
+            for d in range(depth + 1):
+                counts.setdefault((ctx[depth - d :], node), [0, 0])[bit] += 1
+                if d:
+                    kids.setdefault((ctx[depth - d + 1 :], node), set()).add(ctx[depth - d :])
+    block = lambda a, b: lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - log(pi)
+
+    def weighted(ctx, node):
+        p = block(*counts[ctx, node])
+        if len(ctx) < depth:
+            deep = sum(weighted(c, node) for c in kids[ctx, node])
+            p = log(0.5) + max(p, deep) + log1p(exp(-abs(p - deep)))
+        return p
+
+    def one(ctx, node, d):
+        here = ctx[depth - d :]
+        if (here, node) not in counts:
+            return None
+        c = counts[here, node]
+        kt = (c[1] + 0.5) / (sum(c) + 1)
+        q = one(ctx, node, d + 1) if d < depth else None
+        if q is None:
+            return kt
+        w = exp(log(0.5) + block(*c) - weighted(here, node))
+        return w * kt + (1 - w) * q
+
+    total = 0.0
+    for ctx, node, bit in walk(text):
+        q = one(ctx, node, 0)
+        q = 0.5 if q is None else q
+        total += log10(q if bit else 1 - q)
+    return total
+
+
+def test_byte_contexts_against_recursion(spark, monkeypatch):
+    texts = ["абв где абв гда", "Abab\n", None, "абв xyz 12", "日本語 日本人", "日本語 abab", ""]
+    df = spark.createDataFrame([(k, t, k not in (3, 5)) for k, t in enumerate(texts)], "doc_id long, text string, t boolean")
+    monkeypatch.setattr(byte_contexts, "CHUNK", 16)
+    train = [t or "" for k, t in enumerate(texts) if k not in (3, 5)]
+    plain = {r.doc_id: r for r in context_tree.language_model(df, "t").collect()}
+    for r in context_tree.language_model(df, "t", whole_bytes=True).collect():
+        assert r.score == pytest.approx(brute_bytes(train, texts[r.doc_id] or ""), rel=1e-5)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (plain[r.doc_id].n_tokens, plain[r.doc_id].n_known, plain[r.doc_id].train_tokens, plain[r.doc_id].base_score)
+    for rows, n in ((empty(spark), 0), (awkward(spark), 12)):
+        for taught in (True, False):
+            assert context_tree.language_model(rows.withColumn("t", F.lit(taught)), "t", whole_bytes=True).count() == n
+
+
+def test_byte_contexts_of_the_query_grow_with_the_corpus(spark):
+    docs = docs_of(spark).select(F.col("text").alias("t"))
+    some, every = (sum(r.n for r in byte_contexts.gather(d, 4).collect()) for d in (docs.limit(20), docs))
+    assert every > 2 * some
+    texts = [r.t or "" for r in docs.collect()]
+    assert every == len({k for t in texts for k in byte_contexts.keys(*textkit.buffers(__import__("pyarrow").array([t])))[0].tolist()})
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     docs = docs_of(spark).select("doc_id", "text").withColumn("t", F.col("doc_id") % 3 != 0).cache()
     plain = context_tree.language_model(docs, "t").toPandas()

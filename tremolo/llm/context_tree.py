@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremolo.llm import byte_contexts
 from tremolo.llm.textkit import LOWER, annotate, bound_batches, buffers, cut, mix, owner, slices, totals, word_hashes
 
 DEPTH, CLASSES, END = 3, 32, 255
@@ -50,8 +51,8 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (index << 8) | sym, off
 
 
-def gather(df: DataFrame, text: str, trains: str) -> DataFrame:
-    """(kind, key, n): counts over all texts of the fold; kind 0 are words by hash, 1 contexts with their byte."""
+def gather(df: DataFrame, text: str, trains: str, classes: bool = True) -> DataFrame:
+    """(kind, key, n): counts over all texts of the fold; kind 0 are words by hash, 1 (if classes) contexts with their byte."""
 
     def merged(held):
         key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
@@ -63,11 +64,12 @@ def gather(df: DataFrame, text: str, trains: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["kind", "key", "n"])
 
     def run(batches):
-        contexts, held, size = np.zeros(CLASSES**DEPTH * 256, np.int64), [], 0
+        contexts, held, size = np.zeros(CLASSES**DEPTH * 256 if classes else 0, np.int64), [], 0
         for batch in batches:
             for part in slices(batch, "t"):
                 data, off = buffers(part.column(0))
-                np.add.at(contexts, symbols(data, off)[0], 1)
+                if classes:
+                    np.add.at(contexts, symbols(data, off)[0], 1)
                 key, n = np.unique(word_hashes(LOWER[data], off)[0], return_counts=True)
                 held.append((key, n))
                 size += len(key)
@@ -162,29 +164,34 @@ def least_frequent_head(words: DataFrame) -> int:
 FIELDS = [("text_key", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("logs", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())]
 
 
-def language_model(df: DataFrame, trains: str, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def language_model(df: DataFrame, trains: str, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole_bytes: bool = False) -> DataFrame:
     """id_col, keep, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of df.
 
     trains: a boolean column; the rows where it is true teach both models. A null text is the empty
     text: one token (the end), one byte (the end). Tokens are words with A-Z as a-z, then an end.
     base_score adds log10((c + 1) / (N + V + 1)) over the tokens; with no training text N = V = 0.
-    score is the log10 probability of the text's bytes and end under the context tree. Words count
+    score is the log10 probability of the text's bytes and end under the context tree: that of byte
+    classes, of fixed size, or with whole_bytes that of byte_contexts, which grows with the corpus. Words count
     by 64-bit hash. Repeated rows each get the same values; an empty table gives an empty result.
     """
     keep = [c for c in (keep or []) if c not in (id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")]
-    gathered = cut(gather(df, text, trains))
-    docs_trained = df.where(F.col(trains)).count()
+    gathered = cut(gather(df, text, trains, not whole_bytes))
+    size = df.agg(F.count(F.when(F.col(trains), 1)).alias("trained"), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)).alias("bytes")).first()
+    docs_trained = size.trained
     words = gathered.where("kind = 0")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = total.n + docs_trained, total.v + (1 if docs_trained else 0)
-    contexts = gathered.where("kind = 1").select("key", "n").toPandas()
-    counts = np.zeros(CLASSES**DEPTH * 256, np.int64)
-    counts[contexts["key"]] = contexts["n"]
+    logp = None
+    if not whole_bytes:
+        contexts = gathered.where("kind = 1").select("key", "n").toPandas()
+        counts = np.zeros(CLASSES**DEPTH * 256, np.int64)
+        counts[contexts["key"]] = contexts["n"]
+        logp = tables(counts)
     least = least_frequent_head(words)
     head = words.where(F.col("n") >= least).select("key", "n").toPandas()
     h = head["key"].to_numpy().view(_U64)
     order = np.argsort(h)
-    sent = df.sparkSession.sparkContext.broadcast({"logp": tables(counts), "head": h[order], "n": head["n"].to_numpy()[order], "end": docs_trained})
+    sent = df.sparkSession.sparkContext.broadcast({"logp": logp, "head": h[order], "n": head["n"].to_numpy()[order], "end": docs_trained})
     source = df.select(F.col(id_col), *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def look(m, hashes):
@@ -192,19 +199,26 @@ def language_model(df: DataFrame, trains: str, id_col: str = "doc_id", text: str
         at[at == len(m["head"])] = 0
         return np.where(m["head"][at] == hashes, m["n"][at], 0) if len(m["head"]) else np.zeros(len(hashes), np.int64)
 
-    def score(batch, _):
+    def score(batch, given):
         m = sent.value
         data, off = buffers(batch.column(0))
         hashes, first = word_hashes(LOWER[data], off)
         n = np.diff(first)
         c = look(m, hashes)
-        index, ends = symbols(data, off)
-        value = totals(m["logp"][index].astype(float), ends)
+        if given is None:
+            index, ends = symbols(data, off)
+            value = totals(m["logp"][index].astype(float), ends)
+        else:
+            value = totals(given, off + np.arange(len(off)))
         logs = totals(np.log10(c + 1.0), first) + np.log10(m["end"] + 1.0)
         key = text_keys(hashes, first, off)
         return [key, (n + 1).astype(np.int64), totals(c > 0, first) + (m["end"] > 0), logs, value, -value / np.log10(2) / (np.diff(off) + 1)]
 
-    scored = cut(annotate(source, [id_col, *keep], FIELDS, score))
+    if whole_bytes:
+        learnt = df.where(F.col(trains)).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+        scored = cut(byte_contexts.scored(source, learnt, [id_col, *keep], FIELDS, score, size.bytes))
+    else:
+        scored = cut(annotate(source, [id_col, *keep], FIELDS, score))
 
     def rare(batches):
         m = sent.value

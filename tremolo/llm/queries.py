@@ -59,7 +59,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "text")
-    scored = context_tree.language_model(docs.withColumn("trains", ~F.col("held_out")), "trains", keep=["held_out"])
+    scored = context_tree.language_model(docs.withColumn("trains", ~F.col("held_out")), "trains", keep=["held_out"], whole_bytes=True)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
