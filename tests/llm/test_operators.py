@@ -501,6 +501,13 @@ def test_toxicity_with_mostly_toxic_labels(spark):
     assert {r.doc_id: r.predicted for r in toxicity.toxicity(df, toxicity.train(examples)).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
 
 
+def test_toxicity_searches_twelve_thousand_examples(spark):
+    docs = spark.range(14000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), (F.col("id") % 9 == 0).cast("int").alias("toxic"))
+    able = docs.where(~textkit.held_out("doc_id", 5, 0)).count()
+    found = textkit.labelled_sample(docs, docs, "toxic", toxicity.EXAMPLES, 5, 0)
+    assert len(found) == min(able, 12000) > 8000
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 10**6))
 def test_block_max_search_is_exact(seed):
