@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremolo.llm import mixing, neardup, packing, quality_rules, toxicity
-from tremolo.llm.textkit import cut, labelled_sample, read_table, shared_dir
+from tremolo.llm.textkit import cut, read_table, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half. Learns from the labelled documents of the corpus."""
-    examples = labelled_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic", toxicity.EXAMPLES, 5, 0)
+    examples = toxicity.labelled_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic", 5, 0)
     marked = toxicity.toxicity(docs, toxicity.train(examples))
     return marked.where("predicted = 0").select(*docs.columns)
 

@@ -480,49 +480,115 @@ def test_bounds_never_exclude_a_winner(seed, k):
         assert all((q, r) in pairs for r in np.lexsort((np.arange(300), -score))[:k])
 
 
-def test_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
-    got = Q.op10_toxicity(spark, sf).join(textkit.read_table(spark, sf, "labels"), "doc_id").toPandas()
-    clean, foul = got[(got.toxic == 0)], got[(got.toxic == 1)]
-    assert (clean.predicted == 0).mean() > 0.97
-    assert (foul.predicted == 1).mean() > 0.6
-    examples = [(k, ("you idiot " if k % 2 else "kind word ") + PROSE, k % 2) for k in range(60)]
-    model = toxicity.train(examples)
+def examples_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, label int")
+
+
+def test_toxicity_on_held_out_rows_of_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = textkit.read_table(spark, sf, "documents").select("doc_id", "lang")
+    got = Q.op10_toxicity(spark, sf).where("held_out").join(textkit.read_table(spark, sf, "labels"), "doc_id").join(docs, "doc_id").toPandas()
+    assert (got[got.toxic == 0].predicted == 0).mean() >= 0.98
+    found = got[got.toxic == 1].groupby("lang").predicted.mean()
+    assert set(found.index) == {"de", "en", "es", "fr"}
+    assert (found >= 0.9).all(), found
+    sure = got.score.lt(0.1) | got.score.ge(0.9)  # calibrated: sure scores are right, few rows are unsure
+    assert sure.mean() > 0.95
+    assert got[got.score < 0.1].toxic.mean() < 0.1
+    assert got[got.score >= 0.9].toxic.mean() > 0.9
+
+
+def test_toxicity_awkward(spark):
+    model = toxicity.train(examples_of(spark, [(k, ("you idiot " if k % 2 else "kind word ") + PROSE, k % 2) for k in range(60)]))
     rows = toxicity.toxicity(awkward(spark).withColumn("evidence", F.lit(1)), model).toPandas()
     assert len(rows) == 12
     assert rows.score.between(0, 1).all()
+    assert (rows.predicted == (rows.score >= 0.5)).all()
+    assert (rows[rows.text.isna()].score < 0.5).all()
+    assert rows[rows.doc_id == 6].score.nunique() == 1
     assert toxicity.toxicity(empty(spark), model).count() == 0
-    assert toxicity.toxicity(awkward(spark), toxicity.train([])).count() == 12
+    nothing = toxicity.toxicity(awkward(spark), toxicity.train(examples_of(spark, []))).toPandas()
+    assert len(nothing) == 12
+    assert (nothing.score == 0).all()
 
 
 def test_toxicity_with_mostly_toxic_labels(spark):
     examples = [(k, ("kind word " if k % 4 == 0 else "you idiot ") + PROSE, int(k % 4 > 0)) for k in range(80)]
-    df = spark.createDataFrame([(1, "kind word " + PROSE), (2, "you idiot " + PROSE), (3, None), (4, PROSE)], "doc_id long, text string")
-    assert {r.doc_id: r.predicted for r in toxicity.toxicity(df, toxicity.train(examples)).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+    df = spark.createDataFrame([(1, "kind word " + PROSE), (2, "you idiot " + PROSE), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity(df, toxicity.train(examples_of(spark, examples))).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
 
 
 def test_toxicity_searches_twelve_thousand_examples(spark):
     docs = spark.range(14000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), (F.col("id") % 9 == 0).cast("int").alias("toxic"))
     able = docs.where(~textkit.held_out("doc_id", 5, 0)).count()
-    found = textkit.labelled_sample(docs, docs, "toxic", toxicity.EXAMPLES, 5, 0)
-    assert len(found) == min(able, 12000) > 8000
+    assert toxicity.labelled_texts(docs, docs, "toxic", 5, 0).count() == min(able, 12000) > 8000
+
+
+def brute_cosines(examples, labels, corpus, text):
+    """TF-IDF cosines with relevance, by dictionaries of terms."""
+    import re
+    from math import log, sqrt
+
+    def bag(t):
+        out = Counter()
+        for w in re.findall(r"[a-z0-9\x80-\xff]+", lower(t).encode().decode("latin-1")):
+            out[w] += 1
+            if len(w) > 6:
+                out["<" + w[:6]] += 1
+        return out
+
+    bags = [bag(t) for t in examples]
+    df, held, toxic = Counter(), Counter(), Counter()
+    for t in corpus:
+        df.update(set(bag(t or "")))
+    for b, y in zip(bags, labels, strict=True):
+        held.update(set(b))
+        toxic.update(set(b) if y else ())
+    n, p = len(bags), sum(labels) / len(labels)
+    factor = {}
+    for t, k in held.items():
+        z = max(toxic[t] - k * p, 0) / sqrt(max(k * p * (1 - p) * (1 - k / n), 1e-9)) if k < n else 0
+        factor[t] = (log((1 + len(corpus)) / (1 + df[t])) + 1) * (1 + z)
+    vector = lambda b: {t: c * factor[t] for t, c in b.items() if t in factor}
+    size = lambda v: sqrt(sum(x * x for x in v.values())) or 1
+    q = vector(bag(text or ""))
+    return [sum(x * v.get(t, 0) for t, x in q.items()) / size(q) / size(v) for v in map(vector, bags)]
+
+
+def test_toxicity_equals_dense_cosines(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    docs = docs_of(spark).where("text is not null").select("doc_id", "text").orderBy("doc_id").limit(90).collect()
+    rows = [(r.doc_id, r.text, r.doc_id % 3 % 2) for r in docs[:70]]
+    corpus = [r.text for r in docs[60:]]
+    df = spark.createDataFrame(docs[60:])
+    model = toxicity.train(examples_of(spark, rows))
+    for r in toxicity.toxicity(df, model).collect():
+        want = np.array(brute_cosines([x[1] for x in rows], [x[2] for x in rows], corpus, r.text))
+        best = np.sort(want)[::-1][:15]
+        got = [(e["doc_id"], e["similarity"]) for e in r.evidence]
+        np.testing.assert_allclose([s for _, s in got], best[best > 5e-6][: len(got)], atol=2e-5)
+        assert len(got) >= (best > 2e-5).sum()
+        by_id = dict(zip([x[0] for x in rows], want, strict=True))
+        np.testing.assert_allclose([s for _, s in got], [by_id[x] for x, _ in got], atol=2e-5)
+        label = {x[0]: x[2] for x in rows}
+        mass = sum(s for _, s in got)
+        assert r.score == pytest.approx((sum(s * label[x] for x, s in got) + 0.1 * model["prior"]) / (mass + 0.1) if got else min(model["prior"], 0.499), abs=1e-4)
 
 
 @settings(max_examples=20, deadline=None)
-@given(st.integers(0, 10**6))
-def test_block_max_search_is_exact(seed):
+@given(st.integers(0, 10**6), st.integers(1, 20))
+def test_block_max_search_is_exact(seed, k):
     rng = np.random.default_rng(seed)
-    dense = rng.random((700, 12)) * (rng.random((700, 12)) < 0.2)
-    dense = np.round(dense, 1)
+    dense = np.round(rng.random((700, 40)) * (rng.random((700, 40)) < rng.choice([0.01, 0.03, 0.3], 40)), 1).astype(np.float32)
     example, term = np.nonzero(dense)
-    index = toxicity.BlockMaxIndex(example, term, dense[example, term], 12)
-    q = np.round(rng.random(12) * (rng.random(12) < 0.5), 1)
-    t = np.flatnonzero(q)
-    score = np.round(dense @ q, 12)
-    want = [(int(x), score[x]) for x in np.lexsort((np.arange(700), -score))[:15] if score[x] > 0]
-    got = index.nearest(t, q[t], 15)
-    assert [x for x, _ in got] == [x for x, _ in want]
-    np.testing.assert_allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
+    index = toxicity.BlockMaxIndex(example.astype(np.int32), term.astype(np.int32), dense[example, term], 40, 700)
+    asked = np.round(rng.random((5, 40)) * (rng.random((5, 40)) < 0.5), 1).astype(np.float32)
+    text, t = np.nonzero(asked)
+    for q, (name, value) in zip(asked, index.nearest(text, t, asked[text, t], 5, k), strict=True):
+        score = np.round((dense @ q).astype(float), toxicity.DECIMALS)
+        want = [x for x in np.lexsort((np.arange(700), -score))[:k] if score[x] > 0]
+        assert name.tolist() == want
+        np.testing.assert_allclose(value, score[want], atol=2e-5)
 
 
 def test_pipeline(spark):

@@ -74,7 +74,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    model = toxicity.train(labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", toxicity.EXAMPLES, 5, 0))
+    model = toxicity.train(toxicity.labelled_texts(docs, read_table(spark, sf_dir, "labels"), "toxic", 5, 0))
     return toxicity.toxicity(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
 
 

@@ -1,10 +1,15 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in block-max inverted indexes.
-
-Terms are words (runs of letters and digits, A-Z as a-z) and their first 4, 5 and 6 bytes. The
-vocabulary holds the terms that speak for or against the label among the examples; document frequencies
-are counted over the whole corpus. Postings of a term lie in blocks of BLOCK examples, each with its
-largest weight: blocks whose bound can't reach the k-th score are skipped, so the k nearest
-examples are exact. Their votes, weighted by similarity, give the score; they are the evidence.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
+
+Terms are words (runs of letters and digits, A-Z as a-z) and their first PREFIX bytes. The vocabulary
+holds every term of the labelled examples; document frequencies are counted over the whole corpus. A
+term weighs its count times its inverse document frequency times a relevance factor: one plus its
+standardised excess under label 1 among the examples, at least one, so no term is left out. Plain
+TF-IDF (a factor of one) finds too few toxic texts of small languages; the README has the figures.
+
+Examples are laid out by likeness in blocks of BLOCK. For every term and block that meet, the index
+knows the postings and their largest weight. A block whose bound can't reach the k-th cosine
+is skipped, so the k nearest examples are exact. Their votes, weighted by similarity, give the
+score; they are the evidence.
 """
 
 from __future__ import annotations
@@ -15,15 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.textkit import LOWER, annotate, bound_batches, buffers, mix, prefix_hash, slices, span_hash
+from tremolo.llm.textkit import LOWER, annotate, bound_batches, buffers, held_out, mix, prefix_hash, slices, span_hash
 
 _U64 = np.uint64
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-PREFIXES = (4, 5, 6)
-#: Bounds: labelled examples, terms of the vocabulary; nearest examples; examples in a block of postings.
-EXAMPLES, VOCABULARY, NEAREST, BLOCK = 12000, 1 << 14, 15, 256
-LEAST_CHI2, LEAST_ODDS = 24.0, 2.0
+PREFIX = 6
+#: Bounds: labelled examples, nearest examples, examples in a block of the index, queries answered together.
+EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 128
+#: Terms of more than this share of the examples have their weights in rows, all others in lists; kinds of examples in the layout.
+DENSE, KINDS = 0.05, 16
+#: Cosines are compared to this many decimals, ties by doc_id.
+DECIMALS = 5
 FIELDS = [
     ("score", T.DoubleType()), ("predicted", T.IntegerType()),
     ("evidence", T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("label", T.IntegerType())]))),
@@ -42,186 +50,245 @@ def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[off[off > 0] - 1] = False
     s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     prefix, of = prefix_hash(data), np.searchsorted(off, s, "right") - 1
-    hashes, owners = [span_hash(prefix, s, e)], [of]
-    for n in PREFIXES:
-        longer = e - s > n
-        hashes.append(mix(span_hash(prefix, s[longer], s[longer] + n) + _U64(n)))
-        owners.append(of[longer])
-    return np.concatenate(hashes), np.concatenate(owners)
+    longer = e - s > PREFIX
+    short = mix(span_hash(prefix, s[longer], s[longer] + PREFIX) + _U64(PREFIX))
+    return np.concatenate([span_hash(prefix, s, e), short]), np.concatenate([of, of[longer]])
 
 
-def known_terms(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, count) of the vocabulary's terms, by text."""
+def known_terms(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of the vocabulary's terms, by text, then term."""
     h, of = term_hashes(data, off)
-    maybe = gate[(h & _U64(0xFFFFF)).astype(np.int64)]
-    h, of = h[maybe], of[maybe]
+    h, place = np.unique(h, return_inverse=True)
     at = np.searchsorted(vocabulary, h)
     at[at == len(vocabulary)] = 0
-    ok = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-    pair, count = np.unique(of[ok] * np.int64(VOCABULARY) + at[ok], return_counts=True)
-    return pair // VOCABULARY, pair % VOCABULARY, count
-
-
-def _gate(vocabulary: np.ndarray) -> np.ndarray:
-    gate = np.zeros(1 << 20, bool)
-    gate[(vocabulary & _U64(0xFFFFF)).astype(np.int64)] = True
-    return gate
-
-
-def choose_terms(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the terms that are more frequent under either label beyond chance, the clearest VOCABULARY. The test is the same for any share of label 1."""
-    def distinct():
-        for at in range(0, len(texts), 256):
-            chunk = [t.encode() for t in texts[at : at + 256]]
-            h, of = term_hashes(np.frombuffer(b"".join(chunk), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in chunk])]))
-            _, first = np.unique(mix(h ^ mix(of.astype(_U64))), return_index=True)
-            yield h[first], labels[at + of[first]]
-
-    # a term is clearest if all its examples bear one label; where even that isn't clear enough for a bucket's counts, none of its
-    # terms can be chosen: most terms go that way, at a fixed cost in memory
-    n, p = len(labels), labels.mean()
-    every, toxic = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
-    bucket = lambda h: (h >> _U64(42)).astype(np.int64)
-    for h, y in distinct():
-        np.add.at(every, bucket(h), 1)
-        np.add.at(toxic, bucket(h[y > 0]), 1)
-    able = np.zeros(1 << 22, bool)
-    for most, odds in ((toxic, (1 - p) / p), (every - toxic, p / (1 - p))):
-        able |= (every >= 4) & (most * odds >= (LEAST_CHI2 - 1e-6) * (1 - np.minimum(most, n) / n))
-    pairs = [(h[able[bucket(h)]], y[able[bucket(h)]] > 0) for h, y in distinct()]
-    h, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    del pairs, every, toxic, able
-    terms, scores = [], []
-    for part in range(16):
-        here = (h >> _U64(60)) == _U64(part)
-        term, inverse = np.unique(h[here], return_inverse=True)
-        df, a = np.bincount(inverse, minlength=len(term)).astype(float), np.bincount(inverse, weights=y[here], minlength=len(term))
-        chi2 = (a - df * p) ** 2 / np.maximum(df * p * (1 - p) * (1 - df / n), 1e-9)
-        b, c = df - a, n * p - a
-        odds = np.log((a + 0.5) * (n - df - c + 0.5) / ((b + 0.5) * (c + 0.5)))
-        fit = np.flatnonzero((df >= 4) & (chi2 >= LEAST_CHI2) & (np.abs(odds) >= np.log(LEAST_ODDS)))
-        terms.append(term[fit])
-        scores.append(chi2[fit])
-    term, chi2 = np.concatenate(terms), np.concatenate(scores)
-    return np.sort(term[np.lexsort((term, -chi2))][:VOCABULARY])
+    term = np.where(vocabulary[at] == h, at, -1)[place] if len(vocabulary) else np.full(len(place), -1)
+    known = term >= 0
+    n = max(1, len(vocabulary))
+    pair, count = np.unique(of[known] * np.int64(n) + term[known], return_counts=True)
+    return pair // n, pair % n, count
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int = EXAMPLES) -> DataFrame:
+    """(doc_id, text, label) of at most ``most`` labelled documents outside the held-out fold, the first by a hash of doc_id; their bound makes the broadcast safe."""
+    able = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
+    ids = able.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+
+
+def train(examples: DataFrame) -> dict:
+    """What is learned from the examples (doc_id, text, label): all their terms, with counts, and each term's relevance factor.
+
+    The number of examples must be bounded: their term counts, not their texts, reach the driver.
+    Examples without a term take no part. Repeated rows count as often as they stand.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, of = term_hashes(*buffers(part.column(1)))
+                own = [np.unique(h[of == k], return_counts=True) for k in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array([x.tobytes() for x, _ in own], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in own], pa.binary())],
+                    ["doc_id", "label", "terms", "counts"],
+                )
+
+    bound_batches(examples.sparkSession)
+    source = examples.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int"))
+    rows = source.mapInArrow(run, "doc_id long, label int, terms binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    raw = rows.column("terms").to_pylist()
+    size = np.array([len(r) // 8 for r in raw], np.int64)
+    every = np.frombuffer(b"".join(raw), _U64)
+    del raw
+    vocabulary = np.unique(every)
+    term = np.searchsorted(vocabulary, every).astype(np.int32)
+    del every
+    count = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<i4").astype(np.float32)
+    labels = rows.column("label").to_numpy().astype(np.int32)
+    example = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    return {
+        "ids": rows.column("doc_id").to_numpy().astype(np.int64), "labels": labels, "prior": float(labels.mean()) if len(labels) else 0.0, "vocabulary": vocabulary,
+        "example": example, "term": term, "count": count, "relevance": relevance(term, labels[example], labels, len(vocabulary)),
+    }
+
+
+def relevance(term: np.ndarray, label: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """One plus the standardised excess of label 1 among the examples that hold the term, at least one."""
+    n, p = len(labels), labels.mean() if len(labels) else 0.0
+    df, a = np.bincount(term, minlength=n_terms), np.bincount(term, weights=label, minlength=n_terms)
+    spread = np.sqrt(np.maximum(df * p * (1 - p) * (1 - df / max(n, 1)), 1e-9))
+    return np.where(0 < p < 1, 1 + np.maximum(a - df * p, 0) / spread * (df < n), 1.0)
 
 
 def document_frequencies(df: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of texts, and in how many each term of the vocabulary stands, over all of df."""
     if not len(vocabulary):
         return 0, np.zeros(0)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        found, gate, n = np.zeros(len(vocabulary) + 1, np.int64), _gate(vocabulary), 0
+        known = shared.value
+        found = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for part in slices(batch, "t"):
-                found[:-1] += np.bincount(known_terms(*buffers(part.column(0)), vocabulary, gate)[1], minlength=len(vocabulary))
+                found[:-1] += np.bincount(known_terms(*buffers(part.column(0)), known)[1], minlength=len(known))
                 found[-1] += part.num_rows
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["term", "n"])
 
     bound_batches(df.sparkSession)
-    rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary) + 1)
-    out[rows["term"]] = rows["n"]
+    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+    shared.unpersist()
     return int(out[-1]), out[:-1]
 
 
-def weigh(text: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit-length TF-IDF weights."""
-    w = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt(np.bincount(text, weights=w * w)) if len(text) else np.zeros(0)
-    return w / norm[text]
+def weigh(text: np.ndarray, count: np.ndarray, factor: np.ndarray, n: int) -> np.ndarray:
+    """Unit-length weights; text: the owner of each term, factor: the term's."""
+    w = count * factor
+    norm = np.sqrt(np.bincount(text, weights=w.astype(float) ** 2, minlength=n))
+    return (w / norm[text]).astype(np.float32)
 
 
 class BlockMaxIndex:
-    """Postings by term, in blocks of BLOCK examples; each block knows its largest weight."""
-
-    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int):
-        order = np.lexsort((example, term))
+    """Weights of terms in examples: rows for frequent terms, lists in blocks for all others, and the largest of every block."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, n_examples: int):
+        """By example, then term."""
+        self.span, self.n, self.n_blocks = BLOCK, n_examples, -(-n_examples // BLOCK)
+        df = np.bincount(term, minlength=n_terms)
+        frequent = np.flatnonzero(df > DENSE * n_examples)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.layout = self._layout(example, term, weight, len(frequent))
+        example = np.argsort(self.layout).astype(np.int32)[example]
+        self.dense = None
+        row = self.row[term]
+        head = row >= 0
+        self.head = (row[head], example[head], weight[head])
+        example, term, weight = example[~head], term[~head], weight[~head]
+        order = np.argsort(term.astype(np.int64) * (self.n_blocks * self.span) + example, kind="stable")
         self.example, self.weight, term = example[order], weight[order], term[order]
-        block = self.example // BLOCK
-        head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.begin = np.append(head, len(term))
-        self.n_blocks = int(block.max()) + 1 if len(block) else 0
-        #: for each term and block: its posting block (or -1) and that block's largest weight
-        self.at = np.full((n_terms, self.n_blocks), -1, np.int32)
-        self.top = np.zeros((n_terms, self.n_blocks))
-        if len(head):
-            self.at[term[head], block[head]] = np.arange(len(head))
-            self.top[term[head], block[head]] = np.maximum.reduceat(self.weight, head)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k examples of largest positive cosine, ties to the smaller example, with their cosines."""
-        bound = weight @ self.top[term]
-        at = self.at[term]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < -best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            slots = at[:, block]
-            for t in np.flatnonzero(slots >= 0).tolist():
-                lo, hi = self.begin[slots[t]], self.begin[slots[t] + 1]
-                scores[self.example[lo:hi] - block * BLOCK] += weight[t] * self.weight[lo:hi]
-            fit = np.flatnonzero(scores > (-best[-1][0] - 1e-9 if len(best) == k else 0))
-            best = sorted([*best, *((-round(float(scores[x]), 12), block * BLOCK + int(x)) for x in fit)])[:k]
-        return [(x, -s) for s, x in best]
-
-
-def train(examples: list[tuple[int, str, int]]) -> dict:
-    """The vocabulary of labelled examples (doc_id, text, label)."""
-    labels = np.array([e[2] for e in examples], float)
-    able = len(set(labels.tolist())) == 2
-    return {"examples": examples, "vocabulary": choose_terms([e[1] for e in examples], labels) if able else np.zeros(0, _U64), "prior": float(labels.mean()) if len(labels) else 0.0}
+        del order
+        block = self.example // self.span
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        #: of each (term, block) that meet: its postings, block and largest weight; of each term: its first pair
+        self.begin, self.block = np.append(first, len(term)).astype(np.int32), block[first].astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.pairs = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
+
+    def _layout(self, example, term, weight, n_rows) -> np.ndarray:
+        """The examples by likeness in their frequent terms (spherical k-means from evenly spaced ones), so that a block is of one kind."""
+        x = np.zeros((self.n, n_rows), np.float32)
+        row = self.row[term]
+        x[example[row >= 0], row[row >= 0]] = weight[row >= 0]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        centre = x[np.linspace(0, max(self.n - 1, 0), min(KINDS, self.n)).astype(np.int64)] if self.n else x
+        kind = np.zeros(self.n, np.int64)
+        for _ in range(6 if self.n else 0):
+            kind = (x @ centre.T).argmax(axis=1)
+            centre = np.stack([x[kind == k].sum(axis=0) if (kind == k).any() else centre[k] for k in range(len(centre))])
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        return np.argsort(kind, kind="stable")
+
+    def _open(self) -> None:
+        """The rows, made where they are used."""
+        row, example, weight = self.head
+        self.dense = np.zeros((self.n_blocks, int((self.row >= 0).sum()), self.span), np.float32)
+        self.dense[example // self.span, row, example % self.span] = weight
+        self.dense_top = self.dense.max(axis=2).T
+
+    def nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n texts the k examples of largest positive cosine with these, ties to the smaller example."""
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
+        if self.dense is None:
+            self._open()
+        row = self.row[term]
+        rows = np.zeros((n, self.dense.shape[1]), np.float32)
+        rows[text[row >= 0], row[row >= 0]] = weight[row >= 0]
+        text, term, weight = text[row < 0], term[row < 0], weight[row < 0]
+        pair, size = spread(self.pairs[term], self.pairs[term + 1])
+        text, weight = np.repeat(text, size), np.repeat(weight, size)
+        cell = text * self.n_blocks + self.block[pair]
+        bound = rows @ self.dense_top + np.bincount(cell, weights=weight * self.top[pair], minlength=n * self.n_blocks).reshape(n, -1)
+        width = self.n_blocks * self.span
+        scores = np.full((n, width), -1, np.float32)
+
+        def read(open_):
+            here = np.flatnonzero(open_.ravel()[cell])
+            p = pair[here]
+            at, size = spread(self.begin[p], self.begin[p + 1])
+            place = np.repeat(text[here] * width, size)
+            place += self.example[at]
+            value = np.repeat(weight[here], size)
+            value *= self.weight[at]
+            found = np.bincount(place, weights=value, minlength=scores.size).reshape(scores.shape)
+            for b in np.flatnonzero(open_.any(axis=0)).tolist():
+                q, span = np.flatnonzero(open_[:, b]), slice(b * self.span, (b + 1) * self.span)
+                scores[q, span] = rows[q] @ self.dense[b] + found[q, span]
+
+        lead = bound.argmax(axis=1)
+        best = np.zeros_like(bound, bool)
+        best[np.arange(n), lead] = True
+        read(best)
+        first = scores.reshape(n, self.n_blocks, self.span)[np.arange(n), lead]
+        least = np.partition(first, self.span - k, axis=1)[:, self.span - k] if k <= self.span else np.zeros(n)
+        least = np.maximum(least, 0) - 10.0**-DECIMALS
+        read((bound >= least[:, None]) & (bound > 0) & ~best)
+        out = []
+        for s, bar in zip(scores, least, strict=True):
+            at = np.flatnonzero(s >= bar)
+            value = np.round(s[at].astype(float), DECIMALS)
+            use = (value > 0) & (at < self.n)
+            value, name = value[use], self.layout[at[use]]
+            order = np.lexsort((name, -value))[:k]
+            out.append((name[order], value[order]))
+        return out
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the runs from lo to hi, and the length of each run."""
+    size = hi - lo
+    return np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size), size
 
 
 def index(model: dict, n_docs: int, frequency: np.ndarray) -> dict:
-    """Everything that scoring needs; its size is bounded by EXAMPLES and VOCABULARY."""
-    vocabulary, gate = model["vocabulary"], _gate(model["vocabulary"])
-    idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-    of, term, weight, blank = [], [], [], []
-    for at in range(0, len(model["examples"]), 256):
-        parts = [e[1].encode() for e in model["examples"][at : at + 256]]
-        d, t, c = known_terms(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), vocabulary, gate)
-        of.append(d + at)
-        term.append(t)
-        weight.append(weigh(d, t, c, idf))
-    labels = np.array([e[2] for e in model["examples"]], np.int32)
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    blank = np.setdiff1d(np.arange(len(labels)), join(of))
+    """Everything that scoring needs; its size is bounded by the examples."""
+    factor = ((np.log((1 + n_docs) / (1 + frequency)) + 1) * model["relevance"]).astype(np.float32)
+    n = len(model["labels"])
+    weight = weigh(model["example"], model["count"], factor[model["term"]], n)
     return {
-        "vocabulary": vocabulary, "gate": gate, "idf": idf, "labels": labels, "ids": np.array([e[0] for e in model["examples"]], np.int64), "prior": model["prior"],
-        "blank": (labels[blank].sum() + model["prior"]) / (len(blank) + 1), "index": BlockMaxIndex(join(of), join(term), join(weight), len(vocabulary)),
+        "vocabulary": model["vocabulary"], "factor": factor, "labels": model["labels"], "ids": model["ids"], "prior": model["prior"],
+        "index": BlockMaxIndex(model["example"], model["term"], weight, len(factor), n),
     }
 
 
 def toxicity(df: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep (all columns of df by default), score (0 to 1), predicted (score >= 0.5 with evidence) and evidence for each row of df.
+    """keep (all columns of df by default), score (0 to 1), predicted (score >= 0.5) and evidence for each row of df.
 
-    evidence: the nearest examples (doc_id, similarity, label), nearest first. A text without a term
-    of the vocabulary (null and empty ones too) has none; its score is the share of toxic examples
-    among those without a term. Columns of df that bear these names are replaced.
+    evidence: the nearest examples (doc_id, similarity, label), nearest first, ties to the smaller
+    doc_id; similarity is the cosine over the examples' terms. A text without one of these terms (null
+    and empty ones too) has no evidence; its score is the share of toxic examples, but below 0.5, as
+    is every score without an example. Repeated rows score alike; an empty table gives an empty
+    result; a very long text is scored whole. Columns of df that bear these names are replaced.
     """
     n_docs, frequency = document_frequencies(df, text, model["vocabulary"])
     shared = df.sparkSession.sparkContext.broadcast(index(model, n_docs, frequency))
 
     def kernel(batch, _):
         m = shared.value
-        of, term, count = known_terms(*buffers(batch.column(0)), m["vocabulary"], m["gate"])
-        weight = weigh(of, term, count, m["idf"])
-        first = np.searchsorted(of, np.arange(batch.num_rows + 1))
-        scores, evidence = np.full(batch.num_rows, float(m["blank"])), [[] for _ in range(batch.num_rows)]
-        for d in np.flatnonzero(np.diff(first)):
-            a, b = first[d], first[d + 1]
-            near = m["index"].nearest(term[a:b], weight[a:b], NEAREST)
-            if near:
-                mass = sum(s for _, s in near)
-                scores[d] = (sum(s * float(m["labels"][x]) for x, s in near) + 0.1 * m["prior"]) / (mass + 0.1)
-                evidence[d] = [{"doc_id": int(m["ids"][x]), "similarity": s, "label": int(m["labels"][x])} for x, s in near]
-        scores = np.round(np.clip(scores, 0, 1), 9)
-        marked = (scores >= 0.5) & np.array([bool(e) for e in evidence], bool)
-        return [scores, marked.astype(np.int32), pa.array(evidence, EVIDENCE)]
+        scores, evidence = [], []
+        for lo in range(0, batch.num_rows, TOGETHER):
+            part = batch.column(0).slice(lo, TOGETHER)
+            of, term, count = known_terms(*buffers(part), m["vocabulary"])
+            weight = weigh(of, count, m["factor"][term], len(part))
+            for name, value in m["index"].nearest(of, term, weight, len(part), NEAREST):
+                label, mass = m["labels"][name], value.sum()
+                scores.append((float(value @ label) + 0.1 * m["prior"]) / (mass + 0.1) if len(name) else min(m["prior"], 0.499))
+                evidence.append([{"doc_id": int(m["ids"][x]), "similarity": float(s), "label": int(y)} for x, s, y in zip(name, value, label, strict=True)])
+        scores = np.round(np.clip(np.array(scores, float), 0, 1), 9)
+        return [scores, (scores >= 0.5).astype(np.int32), pa.array(evidence, EVIDENCE)]
 
     return annotate(df, df.columns if keep is None else keep, FIELDS, kernel, text)
 
