@@ -13,36 +13,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremolo.llm import mixing, neardup, packing, quality_rules, toxicity
-from tremolo.llm.textkit import cut, read_table, shared_dir
+from tremolo.llm.textkit import cut, read_table, remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the log-likelihood ratio."""
+    """Documents that pass the base rules and the log-likelihood ratio; null, empty and short texts go, repeated rows stay or go together."""
     marked = quality_rules.quality_rules(docs, quality_rules.trusted_documents(read_table(spark, sf_dir, "labels")))
     return marked.where("kept").select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half. Learns from the labelled documents of the corpus."""
+    """Documents whose toxicity score is below one half. Learns from the labelled documents of the corpus. Null and empty texts stay."""
     examples = toxicity.labelled_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic", 5, 0)
     marked = toxicity.toxicity(docs, toxicity.train(examples))
     return marked.where("predicted = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates by five-word shingles, the least doc_id."""
-    groups = neardup.near_duplicates(docs, width=5, similarity=0.8)
-    dropped = cut(groups.where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates by five-word shingles, the least doc_id.
+
+    Of rows that share a doc_id one stays, that of the least text. Rows without a doc_id, and texts without a word, link with nothing and stay.
+    """
+    groups = neardup.near_duplicates(docs.select("doc_id", "text"), width=5, similarity=0.8)
+    marked = cut(groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    rest = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    twice = marked.where("kept").select("doc_id")
+    if twice.isEmpty():
+        return rest
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(row))).alias("r"))
+    return rest.unionByName(one.select("r.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture reads it: no source more than 1.25 times, in all as many tokens as before."""
+    """Every document as often as the mixture reads it: no source more than 1.25 times, in all as many tokens as before, to within a document a source.
+
+    A null source is a source of its own; texts without a word follow their source.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of 2048 words."""
+    """Bins of 2048 words: one row a piece of a document. Texts without a word have a piece without a bin; copies made by the mixture lie in different bins."""
     return packing.pack(docs, mixing.tokens("text"), F.xxhash64("text"), 2048)
 
 
@@ -59,4 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
+        if k:  # no later stage reads it again
+            remove(spark, f"{out}/{k - 1}")
     return docs

@@ -1,12 +1,11 @@
 """Language-model scoring by context-tree weighting over bytes, beside add-one word frequencies.
 
-A byte is eight binary decisions. Its contexts are the classes of the DEPTH bytes before it: 26
-letters, blank, line feed, digit, sign, and the two kinds of non-ASCII byte, so the tree has at most
-32^3 leaves of 255 decisions each, whatever the corpus. Every node holds a Krichevsky-Trofimov
-estimate; block probabilities weight all depths against each other by half, from the leaves up. The
-posterior weights give one probability for each context and byte. A context that training never
-saw passes its parent's estimate on. A text ends with a byte of its own (0xFF, never in UTF-8), so
-the probabilities of all texts sum to one.
+A byte is eight binary decisions. Its contexts are the bytes before it, none to byte_contexts.DEPTH
+of them, whole. Every node holds a Krichevsky-Trofimov estimate; block probabilities weight all depths
+against each other by half, from the leaves up. The posterior weights give one probability for
+each context and byte. A context that training never saw passes its parent's estimate on. A text
+ends with a byte of its own (0xFF, never in UTF-8), so the probabilities of all texts sum to one.
+The tree gains contexts with the corpus; byte_contexts counts, weighs and reads it in parts.
 """
 
 from __future__ import annotations
@@ -18,75 +17,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremolo.llm import byte_contexts
-from tremolo.llm.textkit import LOWER, annotate, bound_batches, buffers, cut, mix, owner, slices, totals, word_hashes
+from tremolo.llm.textkit import LOWER, bound_batches, buffers, cut, mix, owner, slices, totals, word_hashes
 
-DEPTH, CLASSES, END = 3, 32, 255
 #: Words whose counts are broadcast, the most frequent ones: a bound on memory. All others are joined.
 HEAD_WORDS = 1 << 17
 #: Word counts held in a task before they are passed on.
 HELD = 1 << 20
-_CLASS = np.zeros(256, np.int32)
-_CLASS[:128] = 29
-_CLASS[[32, 9, 11, 12, 13, END]] = 0
-_CLASS[10] = 27
-_CLASS[48:58] = 28
-_CLASS[97:123] = np.arange(1, 27)
-_CLASS[65:91] = np.arange(1, 27)
-_CLASS[128:192], _CLASS[192:255] = 30, 31
 _U64 = np.uint64
 
 
-def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table index (context, byte) of every byte and text end; n + 1 offsets."""
-    off = off + np.arange(len(off))
-    sym = np.insert(LOWER[data], off[1:] - np.arange(1, len(off)), END).astype(np.int32)
-    index = np.zeros(len(sym), np.int32)
-    for back in range(1, DEPTH + 1):
-        before = np.zeros(len(sym), np.int32)
-        before[back:] = _CLASS[sym[:-back]]
-        for k in range(back):
-            at = off[:-1] + k
-            before[at[at < len(sym)]] = 0
-        index |= before << (5 * (back - 1))
-    return (index << 8) | sym, off
-
-
-def gather(df: DataFrame, text: str, trains: str, classes: bool = True) -> DataFrame:
-    """(kind, key, n): counts over all texts of the fold; kind 0 are words by hash, 1 (if classes) contexts with their byte."""
+def gather(df: DataFrame, text: str, trains: str) -> DataFrame:
+    """(key, n): counts of words, by hash, over all texts of the fold."""
 
     def merged(held):
         key, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
         return key, np.bincount(inverse, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
-    def rows(kind, key, n):
+    def rows(key, n):
         for at in range(0, len(key), 1 << 16):
-            k = key[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 16)].view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["key", "n"])
 
     def run(batches):
-        contexts, held, size = np.zeros(CLASSES**DEPTH * 256 if classes else 0, np.int64), [], 0
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "t"):
                 data, off = buffers(part.column(0))
-                if classes:
-                    np.add.at(contexts, symbols(data, off)[0], 1)
-                key, n = np.unique(word_hashes(LOWER[data], off)[0], return_counts=True)
-                held.append((key, n))
-                size += len(key)
+                held.append(np.unique(word_hashes(LOWER[data], off)[0], return_counts=True))
+                size += len(held[-1][0])
                 if size > HELD:
                     held = [merged(held)]
                     size = len(held[0][0])
                     if size > HELD // 2:
-                        yield from rows(0, *held[0])
+                        yield from rows(*held[0])
                         held, size = [], 0
         if size:
-            yield from rows(0, *merged(held))
-        at = np.flatnonzero(contexts)
-        yield from rows(1, at.astype(_U64), contexts[at])
+            yield from rows(*merged(held))
 
     bound_batches(df.sparkSession)
-    found = df.where(F.col(trains)).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInArrow(run, "kind int, key long, n long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = df.where(F.col(trains)).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInArrow(run, "key long, n long")
+    return found.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -98,56 +67,11 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def _bits(counts: np.ndarray, level: int) -> np.ndarray:
-    """Zeros and ones of each decision of a level: (..., 2^level, 2)."""
-    return counts.reshape(*counts.shape[:-1], 1 << level, 2, 128 >> level).sum(axis=-1).astype(float)
-
-
 def _block(n: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n[..., 0] zeros and n[..., 1] ones."""
     return _log_gamma(n[..., 0] + 0.5) + _log_gamma(n[..., 1] + 0.5) - _log_gamma(n.sum(axis=-1) + 1) - np.log(np.pi)
 
 
-def _ones(n: np.ndarray) -> np.ndarray:
-    return (n[..., 1] + 0.5) / (n.sum(axis=-1) + 1)
-
-
-_HALF = np.log(0.5)
-
-
-def tables(counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte in each context (counts and result by table index)."""
-    deep = counts.reshape(CLASSES, CLASSES, CLASSES, 256)
-    out = np.zeros(deep.shape, np.float32)
-    for level in range(8):
-        n0 = _bits(deep.sum(axis=(0, 1, 2)), level)
-        weighted = np.stack([_weigh(deep[:, :, c], level)[0] for c in range(CLASSES)])
-        p0 = _block(n0)
-        lw0 = np.logaddexp(_HALF + p0, _HALF + weighted.sum(axis=0))
-        w0 = np.exp(_HALF + p0 - lw0)
-        for c in range(CLASSES):
-            _, w1, w2, n1, n2, n3 = _weigh(deep[:, :, c], level)
-            k0, k1, k2 = _ones(n0), _ones(n1), _ones(n2)
-            q3 = np.where(n3.sum(axis=-1) > 0, _ones(n3), k2[None])
-            q2 = np.where(n2.sum(axis=-1) > 0, w2 * k2, k1[None])[None] + np.where(n2.sum(axis=-1) > 0, 1 - w2, 0)[None] * q3
-            q1 = np.where(n1.sum(axis=-1) > 0, w1 * k1, k0) + np.where(n1.sum(axis=-1) > 0, 1 - w1, 0) * q2
-            one = w0 * k0 + (1 - w0) * q1
-            both = np.log10(np.stack([1 - one, one], axis=-1))
-            out[:, :, c] += np.repeat(both.reshape(CLASSES, CLASSES, -1), 128 >> level, axis=-1)
-    return out.reshape(-1)
-
-
-def _weigh(deep: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
-    """For one last byte: log weighted probability at depth 1, leaf weights of depths 1 and 2, and the counts of depths 1 to 3."""
-    n3 = _bits(deep, level)
-    n2 = n3.sum(axis=0)
-    n1 = n2.sum(axis=0)
-    p2, p1 = _block(n2), _block(n1)
-    lw2 = np.logaddexp(_HALF + p2, _HALF + _block(n3).sum(axis=0))
-    lw1 = np.logaddexp(_HALF + p1, _HALF + lw2.sum(axis=0))
-    return lw1, np.exp(_HALF + p1 - lw1), np.exp(_HALF + p2 - lw2), n1, n2, n3
-
-
 def least_frequent_head(words: DataFrame) -> int:
     """The least count of at most HEAD_WORDS most frequent words, from a histogram of counts: eight steps a doubling, so a few hundred rows."""
     step = F.floor(F.log2("n") * 8)
@@ -164,34 +88,27 @@ def least_frequent_head(words: DataFrame) -> int:
 FIELDS = [("text_key", T.LongType()), ("n_tokens", T.LongType()), ("known", T.LongType()), ("logs", T.DoubleType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType())]
 
 
-def language_model(df: DataFrame, trains: str, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole_bytes: bool = False) -> DataFrame:
+def language_model(df: DataFrame, trains: str, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """id_col, keep, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of df.
 
     trains: a boolean column; the rows where it is true teach both models. A null text is the empty
     text: one token (the end), one byte (the end). Tokens are words with A-Z as a-z, then an end.
     base_score adds log10((c + 1) / (N + V + 1)) over the tokens; with no training text N = V = 0.
-    score is the log10 probability of the text's bytes and end under the context tree: that of byte
-    classes, of fixed size, or with whole_bytes that of byte_contexts, which grows with the corpus. Words count
-    by 64-bit hash. Repeated rows each get the same values; an empty table gives an empty result.
+    score is the log10 probability of the text's bytes and end under the context tree, bits_per_byte
+    its code length. Words count by 64-bit hash. Repeated rows each get the same values; a text of any
+    length is read whole; an empty table gives an empty result. Columns of df not in keep play no part.
     """
     keep = [c for c in (keep or []) if c not in (id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")]
-    gathered = cut(gather(df, text, trains, not whole_bytes))
+    words = cut(gather(df, text, trains))
     size = df.agg(F.count(F.when(F.col(trains), 1)).alias("trained"), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)).alias("bytes")).first()
     docs_trained = size.trained
-    words = gathered.where("kind = 0")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = total.n + docs_trained, total.v + (1 if docs_trained else 0)
-    logp = None
-    if not whole_bytes:
-        contexts = gathered.where("kind = 1").select("key", "n").toPandas()
-        counts = np.zeros(CLASSES**DEPTH * 256, np.int64)
-        counts[contexts["key"]] = contexts["n"]
-        logp = tables(counts)
     least = least_frequent_head(words)
     head = words.where(F.col("n") >= least).select("key", "n").toPandas()
     h = head["key"].to_numpy().view(_U64)
     order = np.argsort(h)
-    sent = df.sparkSession.sparkContext.broadcast({"logp": logp, "head": h[order], "n": head["n"].to_numpy()[order], "end": docs_trained})
+    sent = df.sparkSession.sparkContext.broadcast({"head": h[order], "n": head["n"].to_numpy()[order], "end": docs_trained})
     source = df.select(F.col(id_col), *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def look(m, hashes):
@@ -205,20 +122,13 @@ def language_model(df: DataFrame, trains: str, id_col: str = "doc_id", text: str
         hashes, first = word_hashes(LOWER[data], off)
         n = np.diff(first)
         c = look(m, hashes)
-        if given is None:
-            index, ends = symbols(data, off)
-            value = totals(m["logp"][index].astype(float), ends)
-        else:
-            value = totals(given, off + np.arange(len(off)))
+        value = totals(given, off + np.arange(len(off)))
         logs = totals(np.log10(c + 1.0), first) + np.log10(m["end"] + 1.0)
         key = text_keys(hashes, first, off)
         return [key, (n + 1).astype(np.int64), totals(c > 0, first) + (m["end"] > 0), logs, value, -value / np.log10(2) / (np.diff(off) + 1)]
 
-    if whole_bytes:
-        learnt = df.where(F.col(trains)).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-        scored = cut(byte_contexts.scored(source, learnt, [id_col, *keep], FIELDS, score, size.bytes))
-    else:
-        scored = cut(annotate(source, [id_col, *keep], FIELDS, score))
+    learnt = df.where(F.col(trains)).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    scored = cut(byte_contexts.scored(source, learnt, [id_col, *keep], FIELDS, score, size.bytes))
 
     def rare(batches):
         m = sent.value

@@ -9,6 +9,8 @@ times weights.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +93,8 @@ def train(rows: list[tuple[int, str, str]]) -> dict | None:
     names = sorted({r[1] for r in rows})
     x = np.vstack([presence(*_texts([r[2] for r in rows[at : at + 64]])) for at in range(0, len(rows), 64)])
     lang = np.array([names.index(r[1]) for r in rows])
-    picked = np.concatenate([np.flatnonzero(lang == k)[:LANDMARKS_PER_LANGUAGE] for k in range(len(names))])
+    order = np.argsort([crc32(str(r[0]).encode()) for r in rows], kind="stable")  # landmarks by hash, not by age
+    picked = np.concatenate([np.sort(order[lang[order] == k][:LANDMARKS_PER_LANGUAGE]) for k in range(len(names))])
     marks = x[picked]
     k_nm, k_mm = _kernel(x, marks).astype(float), _kernel(marks, marks).astype(float)
     target = np.where(lang[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
@@ -104,7 +107,8 @@ def identify_language(df: DataFrame, model: dict | None, text: str = "text", kee
     """keep (all columns of df by default), lang_pred and score (0 to 1) for each row of df.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if there is
-    no model. Ties go to the language first in the alphabet. Columns of df named lang_pred or score
+    no model. Ties go to the language first in the alphabet. Repeated
+    rows are answered alike, texts of any length are read whole, an empty table gives an empty result. Columns of df named lang_pred or score
     are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)

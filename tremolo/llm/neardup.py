@@ -29,7 +29,7 @@ from tremolo.llm.textkit import LOWER, annotate, buffers, cut, mix, word_hashes
 LANES, CHUNKS = 50, 10
 #: Nodes of a key that are compared in one task, against as many.
 BLOCK = 512
-#: Pairs whose signatures differ in more lanes aren't verified: at J = 0.8 that is 3e-6 of the links.
+#: By default, pairs whose signatures differ in more lanes aren't verified: at J = 0.8 that is 3e-6 of the links. LANES verifies all that meet.
 MOST_DIFFERING = 24
 
 _RNG = np.random.default_rng(41)
@@ -111,7 +111,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "key long, slot int, node long")
 
 
-def close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def close(pairs: DataFrame, nodes: DataFrame, similarity: float, most: int) -> DataFrame:
     """Distinct pairs whose signatures and set sizes allow a link."""
     half = nodes.select("node", "signature", "n_shingles")
     a = half.toDF("a", "sig_a", "n_a")
@@ -122,7 +122,7 @@ def close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, LANES) for k in (2, 3))
-            near = (x != y).sum(axis=1) <= MOST_DIFFERING
+            near = (x != y).sum(axis=1) <= most
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
@@ -151,7 +151,7 @@ def _lanes_of(signature_bytes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(signature_bytes), np.uint16).reshape(-1, LANES)
 
 
-def _due(sig: np.ndarray, component: np.ndarray, block: np.ndarray, slot: int, across: bool) -> np.ndarray:
+def _due(sig: np.ndarray, component: np.ndarray, block: np.ndarray, slot: int, across: bool, most: int) -> np.ndarray:
     """Which pairs (row < column) must be compared under this key: close, of two components, first met here."""
     per, n = LANES // CHUNKS, len(sig)
     due = component[:, None] != component[None, :]
@@ -165,11 +165,11 @@ def _due(sig: np.ndarray, component: np.ndarray, block: np.ndarray, slot: int, a
         errors = differ.reshape(-1, CHUNKS, per).sum(axis=2)
         chunk = (errors <= 1).argmax(axis=1)
         here = differ.reshape(-1, CHUNKS, per)[np.arange(len(p)), chunk]
-        due[p, q] = (errors.sum(axis=1) <= MOST_DIFFERING) & (chunk * per + here.argmax(axis=1) == slot)
+        due[p, q] = (errors.sum(axis=1) <= most) & (chunk * per + here.argmax(axis=1) == slot)
     return due
 
 
-def bridges_within(rest: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def bridges_within(rest: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, most: int) -> DataFrame:
     """Links between components that meet under a key, found tile by tile; of links that join the same two components in a tile, one.
 
     rest: key, slot, node, component. The nodes under a key are dealt into blocks of about BLOCK;
@@ -194,7 +194,7 @@ def bridges_within(rest: DataFrame, nodes: DataFrame, texts: DataFrame, similari
                 rows = batch.column(4)[k].values
                 node, component, block = (rows.field(f).to_numpy() for f in (0, 1, 2))
                 signature = rows.field(3)
-                due = _due(_lanes_of(signature.to_pylist()), component, block, slot[k], i[k] != j[k])
+                due = _due(_lanes_of(signature.to_pylist()), component, block, slot[k], i[k] != j[k], most)
                 use = np.flatnonzero(due.any(axis=0) | due.any(axis=1))
                 if len(use):
                     tile = [pa.array(np.full(len(use), v[k])) for v in (key, slot, i, j)]
@@ -208,7 +208,7 @@ def bridges_within(rest: DataFrame, nodes: DataFrame, texts: DataFrame, similari
         sets = [np.frombuffer(x, _U64) for x in pdf["members"]]
         component = pdf["component"].to_numpy()
         across = int(pdf["i"].iloc[0]) != int(pdf["j"].iloc[0])
-        due = _due(_lanes_of(list(pdf["signature"])), component, pdf["block"].to_numpy(), int(pdf["slot"].iloc[0]), across)
+        due = _due(_lanes_of(list(pdf["signature"])), component, pdf["block"].to_numpy(), int(pdf["slot"].iloc[0]), across, most)
         sizes = np.array([len(s) for s in sets])
         vocabulary, place = np.unique(np.concatenate(sets), return_inverse=True)
         begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -235,7 +235,7 @@ def bridges_within(rest: DataFrame, nodes: DataFrame, texts: DataFrame, similari
     return near.join(texts, "node").groupBy("key", "i", "j").applyInPandas(settle, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, most_differing: int = MOST_DIFFERING) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of df.
 
     A-Z count as a-z; words are runs of bytes other than white space; a text's set holds its distinct
@@ -243,7 +243,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     empty ones too) have the empty set and link with nothing. component_id is the least identifier
     that links reach, kept says that it is the row's own. Rows with one identifier count as one
     document; a row with a null identifier links with nothing and is kept, its component_id is null.
-    An empty table gives an empty result; other columns play no part.
+    An empty table gives an empty result; other columns play no part. Texts are read whole, however
+    long. most_differing: lanes in which two signatures may differ for a pair that meets to be
+    verified; LANES verifies every pair that meets.
     """
     signed = cut(signatures(df, id_col, text, width))
     live = signed.where("n_shingles > 0 and doc is not null")
@@ -261,14 +263,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
 
     texts = cut(annotate(wanted, ["node"], [("members", T.BinaryType())], members))
     first = crowd.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = cut(confirm(close(first, nodes, similarity), texts, width, similarity).distinct())
+    links = cut(confirm(close(first, nodes, similarity, most_differing), texts, width, similarity).distinct())
     alias = live.join(nodes.select("fp_a", "fp_b", "node"), ["fp_a", "fp_b"]).where("doc <> node").groupBy("doc", "node").agg(F.count("*").alias("n"))
     twice = live.groupBy("doc").agg(F.min("fp_a").alias("x"), F.max("fp_a").alias("y")).where("x <> y")
     repeated = alias.join(twice.select("doc"), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     groups = components(links.unionByName(repeated))
     placed = crowd.join(groups, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    bridges = cut(bridges_within(placed.join(mixed, "key", "left_semi"), nodes, texts, similarity).distinct())
+    bridges = cut(bridges_within(placed.join(mixed, "key", "left_semi"), nodes, texts, similarity, most_differing).distinct())
     if not bridges.isEmpty():
         steps = bridges.unionByName(links).unionByName(repeated)
         groups = components(steps)

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremolo.llm.textkit import cut
+
 #: Pieces packed together. More would pack little tighter: a block leaves a few bins part empty.
 BLOCK = 4096
 
@@ -56,18 +58,22 @@ def best_fit(size: np.ndarray, source: list, cluster: list, capacity: int) -> tu
 def pack(df: DataFrame, n_tokens: Column, cluster: Column, capacity: int = 2048, id_col: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
     """(id_col, piece, start, n_tokens, bin_id, place) for each piece of each row of df.
 
-    A row of more than capacity tokens is cut into pieces of capacity tokens and a rest. A row
-    without tokens has one piece of no tokens, whose bin_id and place are null. Rows of a null source
-    conflict by cluster only, rows of a null cluster by source only. Repeated rows are packed as
-    often as they stand, in different bins where they have a cluster. bin_id names the block in its
-    upper bits. An empty table gives an empty result.
+    A row of more than capacity tokens is cut into pieces of capacity tokens and a rest, however
+    long it is. A row without tokens (null and empty texts) has one piece of no tokens, whose bin_id
+    and place are null. Rows of a null source conflict by cluster only, rows of a null cluster by
+    source only. Repeated rows are counted first and then dealt one by one, each to a block of its
+    own hash, so no block fills up with them; they are packed as often as they stand. Pieces of one
+    size are taken in the order of their identifiers. bin_id names the block in its upper bits. An
+    empty table gives an empty result; other columns of df play no part.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("total"))
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / capacity) - 1).cast("int")))).withColumn("start", F.col("piece").cast("long") * capacity)
-    pieces = pieces.withColumn("n", F.least(F.lit(capacity), F.col("total") - F.col("start")))
-    count = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)))).first()[0] or 0
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("total"))
+    counted = cut(rows.groupBy("id", "source", "cluster", "total").agg(F.count("*").alias("copies")))  # the texts are read once
+    upto = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    count = counted.agg(F.sum(F.col("copies") * F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)))).first()[0] or 0
     blocks = max(1, -(-int(count) // block))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("id", "piece", "total", "source", "cluster"), F.lit(blocks)).cast("long"))
+    pieces = counted.withColumn("copy", upto(F.col("copies"))).withColumn("piece", upto(F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)))).withColumn("start", F.col("piece").cast("long") * capacity)
+    pieces = pieces.withColumn("n", F.least(F.lit(capacity), F.col("total") - F.col("start")))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("id", "piece", "total", "source", "cluster", "copy"), F.lit(blocks)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "id", "piece", "source", "cluster"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)

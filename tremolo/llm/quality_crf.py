@@ -140,7 +140,8 @@ def quality_crf(df: DataFrame, model: dict, text: str = "text", keep: list[str]
     """keep (all columns of df by default), score (0 to 1) and predicted (score >= 0.5), for each row of df.
 
     A text without a line that has a word (null and empty ones too) scores the share of good
-    training documents. Columns of df named score or predicted are replaced.
+    training documents (0.5 without any). Repeated rows score alike; a very long text is scored whole; a
+    score of just 0.5 counts as good; an empty table gives an empty result. Columns of df named score or predicted are replaced.
     """
 
     def kernel(batch, _):

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from tremolo.llm.textkit import SEPARATOR, annotate, bound_batches, buffers, lines, mix, owner, prefix_hash, slices, span_hash, totals, words
 
 BUCKETS = 1 << 16
-_TABLES = np.random.default_rng(11).integers(0, BUCKETS, (3, 256), dtype=np.uint16)
+#: Trusted identifiers up to this number are broadcast, more are joined.
+FEW_TRUSTED = 1 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _U64 = np.uint64
@@ -58,8 +59,11 @@ def measures(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
-    a, b, c = _TABLES
-    return a[data[:-2]] ^ b[data[1:-1]] ^ c[data[2:]] if len(data) > 2 else np.zeros(0, np.uint16)
+    """Bucket of each run of three bytes: the upper half of its 32-bit product with a fixed odd number."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    x = data.astype(np.uint32)
+    return (((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64)
 
 
 def counts(df: DataFrame, text: str, trusted: str) -> tuple[np.ndarray, np.ndarray]:
@@ -91,14 +95,16 @@ def counts(df: DataFrame, text: str, trusted: str) -> tuple[np.ndarray, np.ndarr
 def quality_rules(df: DataFrame, trusted_ids: DataFrame, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, threshold: float = -0.5, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """keep (all columns of df by default) and the columns of FIELDS, for each row of df.
 
-    trusted_ids: id_col of the trusted documents, of a bounded number (it is broadcast). base_failed:
-    fewer than min_words words, or more than repeat_percent per cent of them in repeated 3-word
-    windows. kept: not base_failed, and log_ratio >= threshold. A text without trigrams (null, empty,
-    one or two bytes) has log_ratio 0; null counts as empty, so it fails. Repeated rows each get the
-    same verdict. Columns of df that bear a name of FIELDS are replaced. With no trusted text
-    every log_ratio is 0 and only the base rules decide.
+    trusted_ids: id_col of the trusted documents, any number. base_failed: fewer than min_words words,
+    or more than repeat_percent per cent of them in repeated 3-word windows. kept: not base_failed, and
+    log_ratio >= threshold (equal counts). A text without trigrams (null, empty, one or two bytes) has
+    log_ratio 0; null counts as empty, so it fails. Repeated rows each count and get the same verdict;
+    very long texts are read whole. Columns of df that bear a name of FIELDS are replaced. With no
+    trusted text every log_ratio is 0 and only the base rules decide. An empty table gives an empty result.
     """
-    flagged = df.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(trusted_ids.select(F.col(id_col).alias("i")).distinct().withColumn("g", F.lit(True))), "i", "left")
+    trusted = trusted_ids.select(F.col(id_col).alias("i")).where("i is not null").distinct().withColumn("g", F.lit(True))
+    trusted = F.broadcast(trusted) if trusted.count() <= FEW_TRUSTED else trusted
+    flagged = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t")).join(trusted, "i", "left")
     every, good = counts(flagged.withColumn("g", F.coalesce("g", F.lit(False))), "t", "g")
     ratio = np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((every + 1) / (every.sum() + BUCKETS)) if good.sum() else np.zeros(BUCKETS)
 
@@ -108,14 +114,13 @@ def quality_rules(df: DataFrame, trusted_ids: DataFrame, text: str = "text", id_
         run = np.concatenate([[0.0], np.cumsum(ratio[trigrams(data)])])
         n = np.maximum(np.diff(off) - 2, 0)
         to = np.minimum(off[:-1] + n, len(run) - 1)
-        mean = np.round((run[to] - run[np.minimum(off[:-1], len(run) - 1)]) / np.maximum(n, 1), 9)
+        mean = np.round((run[to] - run[np.minimum(off[:-1], len(run) - 1)]) / np.maximum(n, 1), 6)
         failed = (measured[0] < min_words) | (100 * measured[4] > repeat_percent * measured[0])
         return [*(m.astype(np.int64) for m in measured), failed, mean, ~failed & (mean >= threshold)]
 
     return annotate(df, df.columns if keep is None else keep, FIELDS, kernel, text)
 
 
-def trusted_documents(labels: DataFrame, most: int = 20000) -> DataFrame:
-    """doc_id of at most ``most`` documents labelled good, in the order of a hash: a documented bound, so it may be broadcast."""
-    able = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return able.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """doc_id of all documents labelled good."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()

@@ -20,6 +20,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the rows outside the fold; null texts and texts without a letter are und. One row a row of documents."""
     docs = read_table(spark, sf_dir, "documents")
     apart = held_out("doc_id", 4, 2)
     model = language.train(language.sample(docs, ~apart))
@@ -34,23 +35,25 @@ def op3_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     docs = read_table(spark, sf_dir, "documents")
     out = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    manifest = sstable.write_shards(docs, out, tokenizer, 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    manifest = sstable.write_shards(docs, out, tokenizer, 2, sstable.shards_for(docs.select("doc_id", "text"), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return sstable.read_shards(spark, manifest)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every whole text; all documents labelled good are the trusted ones. One row a row of documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs, quality_rules.trusted_documents(read_table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A budget of all tokens, no source read more than 1.25 times."""
-    planned, measured = mixing.mixture(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    rows = mixing.read_times(planned, measured)
-    return rows.select("doc_id", "source", "n_tokens", F.round("exponent", 6).alias("exponent"), F.round("weight", 6).alias("weight"), "copies")
+    """How often each document is read: a budget of all tokens, no source read more than 1.25 times. One row a row of documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = mixing.read_times(mixing.mixture(docs), docs)
+    return rows.select("doc_id", "source", mixing.tokens("text").alias("n_tokens"), F.round("__mix.exponent", 6).alias("exponent"), F.round("__mix.weight", 6).alias("weight"), F.col("__mix.copies").alias("copies"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from labelled rows outside the fold; texts without a word score the share of good examples. One row a row of documents."""
     docs = read_table(spark, sf_dir, "documents")
     sample = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", quality_crf.TRAIN_ROWS, 3, 1)
     model = quality_crf.train([s[1] for s in sample], [s[2] for s in sample])
@@ -58,21 +61,25 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add-one word scores and context-tree scores of every whole text, learned from the rows outside the fold; null counts as empty. One row a row of documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "text")
-    scored = context_tree.language_model(docs.withColumn("trains", ~F.col("held_out")), "trains", keep=["held_out"], whole_bytes=True)
+    scored = context_tree.language_model(docs.withColumn("trains", ~F.col("held_out")), "trains", keep=["held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts whose two-word shingle sets are alike by 0.8; texts without a word link with nothing. One row a row of documents."""
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, similarity=0.8)
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector, by the inner product of quantised components. One row a query and rank."""
     vectors = read_table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by its nearest labelled examples outside the fold, with the examples as evidence. One row a row of documents."""
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.labelled_texts(docs, read_table(spark, sf_dir, "labels"), "toxic", 5, 0))
     return toxicity.toxicity(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])

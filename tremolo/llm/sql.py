@@ -18,8 +18,8 @@ z AS (SELECT exponent, total, list_sum(list_transform(sizes, lambda x: pow(x / t
 p AS (SELECT s, tok, exponent, CASE WHEN tok > 0 THEN pow(tok / total, exponent) / norm ELSE 0 END AS weight, total FROM t, z),
 q AS (SELECT *, floor(total * weight + 1e-6)::BIGINT AS target FROM p),
 g AS (SELECT s, place, sum(n) AS n FROM m GROUP BY s, place),
-r AS (SELECT s, place, sum(n) OVER (PARTITION BY s ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM g),
-c AS (SELECT r.s, max(place) AS last_key FROM r JOIN q USING (s) WHERE tok > 0 AND target % tok > 0 AND upto <= target % tok GROUP BY r.s)
+r AS (SELECT s, place, sum(n) OVER (PARTITION BY s ORDER BY place ROWS UNBOUNDED PRECEDING) - n AS ahead FROM g),
+c AS (SELECT r.s, max(place) AS last_key FROM r JOIN q USING (s) WHERE tok > 0 AND target % tok > 0 AND ahead < target % tok GROUP BY r.s)
 SELECT m.doc_id, m.source, m.n AS n_tokens, round(q.exponent, 6) AS exponent, round(q.weight, 6) AS weight,
        (CASE WHEN tok > 0 THEN target // tok ELSE 1 END + CASE WHEN place <= last_key THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM m JOIN q USING (s) LEFT JOIN c USING (s)
@@ -53,4 +53,28 @@ o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM o WHERE rank <= 5
 """
 
-ORACLES = {"op5_mix_sources": _MIX, "op8_near_duplicates": _NEAR, "op9_exact_top_k": _TOP}
+_RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+v AS (SELECT r, i, w, lead(w, 1) OVER p AS x, lead(w, 2) OVER p AS y FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT r, i, w, CASE WHEN y IS NOT NULL AND count(*) OVER (PARTITION BY r, w, x, y) > 1 THEN 1 ELSE 0 END AS again FROM v),
+g AS (SELECT r, w, greatest(again, lag(again, 1, 0) OVER p, lag(again, 2, 0) OVER p) AS covered FROM f WINDOW p AS (PARTITION BY r ORDER BY i)),
+ws AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, sum(covered) AS n_repeat_words FROM g GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d),
+ls AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+h AS (SELECT r, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, hex(encode(t)) AS h FROM d),
+x AS (SELECT r, good, unnest(regexp_extract_all(h, '.{6}')) AS x FROM h UNION ALL SELECT r, good, unnest(regexp_extract_all(substr(h, 3), '.{6}')) FROM h
+      UNION ALL SELECT r, good, unnest(regexp_extract_all(substr(h, 5), '.{6}')) FROM h),
+b AS (SELECT r, good, ('0x' || x)::BIGINT * 2654435761 % 4294967296 // 65536 AS b, count(*) AS n FROM x GROUP BY ALL),
+c AS (SELECT b, sum(n) AS every, coalesce(sum(n) FILTER (good), 0) AS good FROM b GROUP BY b),
+z AS (SELECT sum(every) AS every, sum(good) AS good FROM c),
+q AS (SELECT c.b, CASE WHEN z.good > 0 THEN ln((c.good + 1) / (z.good + 65536)) - ln((c.every + 1) / (z.every + 65536)) ELSE 0 END AS q FROM c, z),
+m AS (SELECT r, round(sum(n * q) / sum(n), 6) AS log_ratio FROM b JOIN q USING (b) GROUP BY r),
+o AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(log_ratio, 0)::DOUBLE AS log_ratio
+      FROM d LEFT JOIN ws USING (r) LEFT JOIN ls USING (r) LEFT JOIN m USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, log_ratio,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND log_ratio >= -0.5 AS kept FROM o
+"""
+
+ORACLES = {"op4_quality_rules": _RULES, "op5_mix_sources": _MIX, "op8_near_duplicates": _NEAR, "op9_exact_top_k": _TOP}

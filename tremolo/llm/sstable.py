@@ -37,6 +37,7 @@ from tremolo.llm.textkit import slices
 MAGIC = b"TRMLSST1"
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 1 << 18, 10, 7
 _FOOTER = struct.Struct("<QQQQQQQ8s")
+SHARD_BYTES = 256 << 20
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 1_300_000
 
@@ -128,10 +129,11 @@ class Writer:
         self._end_block()
         index = b"".join(varint(len(k)) + k + varint(at) + varint(n) for k, at, n in self.index)
         bits = max(64, BLOOM_BITS * len(self.names))
-        bloom = np.zeros(bits, np.uint8)
+        bloom = bytearray(-(-bits // 8))
         for name in self.names:
-            bloom[bloom_places(name, bits)] = 1
-        packed = np.packbits(bloom).tobytes()
+            for p in bloom_places(name, bits):
+                bloom[p >> 3] |= 128 >> (p & 7)
+        packed = bytes(bloom)
         index_at = self.at
         self._put(index + packed)
         self._put(_FOOTER.pack(index_at, len(index), index_at + len(index), bits, self.n_docs, self.n_ids, zlib.crc32(index + packed), MAGIC))
@@ -157,6 +159,9 @@ class Reader:
             length, at = read_varint(tail, at)
             self.index.append((key, offset, length))
 
+    def close(self) -> None:
+        self.file.close()
+
     def block(self, k: int) -> list[tuple[bytes, np.ndarray]]:
         _, offset, length = self.index[k]
         self.file.seek(offset)
@@ -273,11 +278,18 @@ class Encoder:
         return out
 
 
+def shards_for(df: DataFrame, least: int) -> int:
+    """Shards of about SHARD_BYTES of input by the size that the plan expects, at least ``least``."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(least, min(-(-size // SHARD_BYTES), 1 << 20)) if size < 1 << 60 else least
+
+
 def write_shards(df: DataFrame, out: str, tokenizer: str, end_id: int, shards: int, id_col: str = "doc_id", text: str = "text") -> list[tuple]:
     """Writes df in ascending order of id_col as shards under out; one row (number, uri, documents, ids) a shard, in order.
 
     A null text is the empty text (its end id alone). Null identifiers come first. Documents of one
-    identifier stand in the order of a hash of their text. tokenizer must be readable on all executors.
+    identifier stand in the order of a hash of their text; they may span two shards, each of which
+    numbers its own. A text of any length is encoded whole. An empty table gives no shard. tokenizer must be readable on all executors.
     """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     ordered = source.repartitionByRange(shards, "id", F.xxhash64("t")).sortWithinPartitions("id", F.xxhash64("t"))
@@ -320,6 +332,7 @@ def read_shards(spark, manifest: list[tuple], id_col: str = "doc_id") -> DataFra
                     begin = start + np.concatenate([[0], np.cumsum(n)[:-1]])
                     start += int(n.sum())
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(begin), pa.array(n), pa.array([r[2] for r in rows], pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
+                shard.close()
 
     listed = spark.createDataFrame(starts, "uri string, start long").repartition(max(1, len(starts)))
     return listed.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")

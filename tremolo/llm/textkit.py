@@ -176,6 +176,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at or context._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read from there; survives lost executors."""
     shared_dir(df.sparkSession)

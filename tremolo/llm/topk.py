@@ -32,6 +32,8 @@ def quantised(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
                 if row.is_valid and batch.column(0)[k].is_valid and not row.values.null_count and len(row.values):
                     x = row.values.to_numpy(zero_copy_only=False).astype(float)
                     if np.isfinite(x).all():
+                        if len(x) * np.square(scale * x).max() >= 2.0**62:
+                            raise ValueError("a component is beyond the range of 64-bit scores")
                         ids.append(batch.column(0)[k].as_py())
                         dims.append(len(x))
                         out.append(np.floor(scale * x).astype(np.int64).tobytes())
@@ -80,7 +82,7 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str
 
     queries has the columns of df. Vectors (and queries) that are null, empty or hold null or
     non-finite components take no part, nor do rows with a null identifier; vectors of another
-    length are no candidates. Queries repeated with the same vector count once; repeated candidates
+    length are no candidates. Components so large that a score could pass 2^62 raise an error. Queries repeated with the same vector count once; repeated candidates
     stay as often as they stand. No vectors or no queries: an empty result.
     """
     rows = quantised(df, id_col, vector, scale)
