@@ -1,35 +1,107 @@
-"""Command line: scores of a folder of judgment logs."""
+"""Command line: collect judgments of prompt pairs, score a folder of logs, write the prompt pairs."""
 
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremolo import schemas
 from tremolo.functions import decisions as D
-from tremolo.operators import agreement
-from tremolo.sources import readers, sinks
+from tremolo.functions import fixed
+from tremolo.operators import agreement, generate, report, runs
+from tremolo.sources import judges, readers, sinks
 
+TASKS = [t for t, _, _ in fixed.TASKS]
 
-def summarize(spark: SparkSession, logs: str, out: str | None = None) -> dict:
-    """All seven metrics of every judge and task in a folder of JSON-lines logs."""
-    rows = readers.jsonl(spark, logs, schemas.JUDGMENT, bad="drop", pattern="*.jsonl")
+
+def usable(rows: DataFrame) -> DataFrame:
+    """Log rows with the decisions a and b, without excluded pairs, errors and unclear decisions."""
     a, b = (D.first_filled(F.col(f"normalized_{s}"), F.col(f"prompt_{s}_decision")) for s in "ab")
     able = rows.withColumns({"a": a, "b": b, "model": F.coalesce("model", F.lit("unknown")), "task_type": F.coalesce("task_type", F.lit("unknown"))})
-    able = able.where(D.not_excluded(F.col("pair_id")) & D.no_error(F.col("error")) & D.clear(F.col("a"), F.col("b")))
-    keys = ["model", "task_type"]
-    suite = agreement.metric_suite(able, keys, agreement.bootstrap_exact(able, keys, ["pair_id", "run", "timestamp"]))
-    return sinks.summary_json(suite, out or f"{logs}/../metrics_summary.json")
+    return able.where(D.not_excluded(F.col("pair_id")) & D.no_error(F.col("error")) & D.clear(F.col("a"), F.col("b")))
+
+
+def suite_of_files(rows: DataFrame, exact: bool) -> DataFrame:
+    """The metrics of every judge and task, each file scored by itself; of files that score the same judge and task the last by name counts."""
+    keys = ["file", "model", "task_type"]
+    suite = agreement.metric_suite(rows, keys, agreement.bootstrap_exact(rows, keys, ["line"]) if exact else None)
+    last = Window.partitionBy("model", "task_type").orderBy(F.desc("file"))  # a row a file
+    return suite.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "file")
+
+
+def summarize(spark: SparkSession, logs: str, out: str | None = None, exact: bool = True) -> dict:
+    """All seven metrics of every judge and task in a folder of JSON-lines logs, printed and written as JSON.
+
+    exact: intervals of the published generator, drawn in the order of each file's lines, a group in
+    one task; otherwise the limit of many replicates, from counts alone.
+    """
+    rows, malformed = readers.jsonl_in_order(spark, logs, schemas.JUDGMENT)
+    readers.warn_malformed(malformed)
+    suite = suite_of_files(usable(rows), exact).cache()
+    print(report.CONSOLE_HEAD, *(r.line for r in report.console_rows(suite).collect()), sep="\n")
+    found = sinks.summary_json(suite, out or f"{logs}/../metrics_summary.json")
+    suite.unpersist()
+    return found
+
+
+def evaluate(
+    spark: SparkSession, models: list[str], tasks: list[str], n_runs: int, source: str, out: str, dry_run: bool = False, make: Callable[[str], Callable[[], judges.Judge]] = judges.maker, wait: float = 5.0,
+) -> float:
+    """Asks each judge for each task n_runs times what its log lacks; the estimated cost. A judge without a key or a task without pairs is skipped."""
+    total = 0.0
+    for model in models:
+        try:
+            made, known = make(model), judges.spec(model)
+        except (RuntimeError, ValueError) as e:
+            print(f"skipped {model}: {e}")
+            continue
+        for task in tasks:
+            path = f"{source}/{task}.jsonl"
+            if not readers.exists(spark, path):
+                print(f"no pairs at {path}")
+                continue
+            pairs = readers.jsonl(spark, path, schemas.PROMPT_PAIR, bad="drop")
+            if dry_run:
+                pairs = pairs.orderBy("pair_id").limit(5)
+            log = f"{out}/{model}_{task}.jsonl"
+            done = readers.jsonl(spark, log, schemas.JUDGMENT, bad="drop", missing_ok=True)
+            n_ok, cost = runs.evaluate(pairs, model, task, n_runs, made, done, lambda rows, at=log: sinks.append_jsonl(rows, at), known.max_tokens, known.cost_per_1k, wait)
+            print(f"{model} {task}: {n_ok} judged, about {cost:.4f} USD")
+            total += cost
+    return total
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("logs")
-    p.add_argument("--out")
-    args = p.parse_args()
-    summarize(SparkSession.builder.getOrCreate(), args.logs, args.out)
+    todo = p.add_subparsers(dest="command", required=True)
+    s = todo.add_parser("summarize", help="metrics of a folder of logs")
+    s.add_argument("logs")
+    s.add_argument("--out")
+    s.add_argument("--from-counts", action="store_true", help="intervals from counts, for large logs")
+    e = todo.add_parser("evaluate", help="ask judges")
+    e.add_argument("--model", required=True, choices=[*judges.REGISTRY, "all"])
+    e.add_argument("--task", required=True, choices=[*TASKS, "all"])
+    e.add_argument("--runs", type=int, default=3)
+    e.add_argument("--input", default="data/prompt_pairs")
+    e.add_argument("--output", default="data/results/raw_outputs")
+    e.add_argument("--dry-run", action="store_true", help="five pairs a task")
+    g = todo.add_parser("generate", help="write the prompt pairs")
+    g.add_argument("out")
+    args = p.parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    if args.command == "summarize":
+        summarize(spark, args.logs, args.out, not args.from_counts)
+    elif args.command == "evaluate":
+        if Path(".env").is_file():
+            readers.load_env()
+        models = list(judges.REGISTRY) if args.model == "all" else [args.model]
+        evaluate(spark, models, TASKS if args.task == "all" else [args.task], args.runs, args.input, args.output, args.dry_run)
+    else:
+        sinks.by_task_jsonl(generate.generate_pairs(spark), args.out, TASKS)
 
 
 if __name__ == "__main__":

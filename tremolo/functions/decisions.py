@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tremolo.functions import fixed
 
 UNCLEAR = "UNCLEAR"
-_SPACE = " \t\n\r\f\v"
+# Every character that counts as white space at the ends of an answer, by code point.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _first(text: Column, pattern: str, group: int) -> Column:
@@ -17,7 +18,7 @@ def _first(text: Column, pattern: str, group: int) -> Column:
 
 def tidy(raw: Column) -> Column:
     """Upper case without white space at the ends."""
-    return F.upper(F.btrim(raw, F.lit(_SPACE)))
+    return F.upper(F.btrim(raw, F.lit(SPACE)))
 
 
 def yes_no(raw: Column) -> Column:
@@ -141,7 +142,7 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, summed as doubles, to four places; null if either has no length."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.round(F.try_divide(dot, norm(a) * norm(b)), 4)
+    return python_round(F.try_divide(dot, norm(a) * norm(b)), 4)
 
 
 def cost(n_ok: Column, max_tokens: Column, cost_per_1k: Column) -> Column:
@@ -150,11 +151,22 @@ def cost(n_ok: Column, max_tokens: Column, cost_per_1k: Column) -> Column:
 
 
 def python_round(value: Column, digits: int) -> Column:
-    """Rounded from the double's exact binary value, ties to even; for values below 2 in size."""
+    """Rounded from the double's exact binary value, ties to even. Infinities, NaN and values of 2^40 or more stay as they are."""
     one = 1 << 62
-    units = F.abs((value * float(one)).cast("long")).cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(6,0)")
-    whole = F.call_function("div", units, F.lit(one).cast("decimal(19,0)"))
-    rest = units - whole.cast("decimal(10,0)") * F.lit(one).cast("decimal(19,0)")
+    size = F.abs(value)
+    whole = F.floor(size)
+    units = ((size - whole) * float(one)).cast("long").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(6,0)")
+    steps = F.call_function("div", units, F.lit(one).cast("decimal(19,0)"))
+    rest = units - steps.cast("decimal(10,0)") * F.lit(one).cast("decimal(19,0)")
     half = F.lit(one >> 1).cast("decimal(19,0)")
-    up = F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)
-    return F.signum(value) * (whole + up) / float(10**digits)
+    up = F.when((rest > half) | ((rest == half) & ((whole * 10**digits + steps) % 2 == 1)), 1).otherwise(0)
+    rounded = F.signum(value) * (whole * 10**digits + steps + up) / float(10**digits)
+    return F.when(F.isnan(value) | (size >= float(1 << 40)), value).otherwise(rounded)
+
+
+def sql_round(value: str, digits: int) -> str:
+    """python_round as DuckDB SQL over a DOUBLE expression."""
+    units = f"((abs({value}) * 4611686018427387904)::HUGEINT * {10**digits})"
+    rest = f"({units} % 4611686018427387904)"
+    up = f"CASE WHEN {rest} > 2305843009213693952 OR ({rest} = 2305843009213693952 AND ({units} // 4611686018427387904) % 2 = 1) THEN 1 ELSE 0 END"
+    return f"(sign({value}) * (({units} // 4611686018427387904) + {up})::DOUBLE / {10**digits})"

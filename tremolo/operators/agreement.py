@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremolo.functions import decisions as D
 
@@ -18,23 +21,26 @@ def jss(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     return out.select(*keys, "n_pairs", "n_matches", (F.col("n_pairs") - F.col("n_matches")).alias("n_flips"), share.alias("jss"), (1 - share).alias("flip_rate"))
 
 
+def cells(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cells (a, b, n): how often each pair of decisions occurs, by group; the rows are read once."""
+    counted = df.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
+    return counted.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"))
+
+
+_TOTAL = "aggregate(cells, 0L, (s, x) -> s + x.n)"
+_EQUAL = "aggregate(cells, 0L, (s, x) -> s + IF(x.a <=> x.b, x.n, 0L))"
+_CHANCE = "aggregate(cells, 0D, (s, x) -> s + x.n * aggregate(cells, 0D, (t, y) -> t + IF(x.a <=> y.b, double(y.n), 0D)))"
+
+
 def kappa(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_pairs, p_o, p_e, cohens_kappa (1 where agreement by chance is certain), from counts of decision pairs."""
-    cells = df.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
-    side = lambda c: cells.groupBy(*keys, F.col(c).alias("label")).agg(F.sum("n").alias(f"n_{c}"))
-    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in [*keys, "label"]]
-    chance = (
-        side("a").alias("x").join(side("b").alias("y"), on).groupBy(*[F.col(f"x.{k}").alias(k) for k in keys])
-        .agg(F.sum(F.col("n_a").cast("double") * F.col("n_b")).alias("both"))
-    )
-    seen = cells.groupBy(*keys).agg(F.sum("n").alias("n_pairs"), F.sum(F.when(D.same(F.col("a"), F.col("b")), F.col("n")).otherwise(0)).alias("agree"))
-    joined = seen.alias("s").join(chance.alias("c"), [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "left")
-    p_o, p_e = F.col("agree") / F.col("n_pairs"), F.coalesce("both", F.lit(0.0)) / (F.col("n_pairs").cast("double") * F.col("n_pairs"))
-    out = joined.select(*[F.col(f"s.{k}").alias(k) for k in keys], "n_pairs", p_o.alias("p_o"), p_e.alias("p_e"))
+    """keys, n_pairs, n_matches, p_o, p_e, cohens_kappa (1 where agreement by chance is certain), from counts of decision pairs."""
+    counted = cells(df, keys).select(*keys, F.expr(_TOTAL).alias("n_pairs"), F.expr(_EQUAL).alias("n_matches"), F.expr(_CHANCE).alias("both"))
+    p_o, p_e = F.col("n_matches") / F.col("n_pairs"), F.col("both") / (F.col("n_pairs").cast("double") * F.col("n_pairs"))
+    out = counted.select(*keys, "n_pairs", "n_matches", p_o.alias("p_o"), p_e.alias("p_e"))
     return out.withColumn("cohens_kappa", F.when(F.abs(1 - F.col("p_e")) < 1e-12, 1.0).otherwise(F.try_divide(F.col("p_o") - F.col("p_e"), 1 - F.col("p_e"))))
 
 
-def bootstrap_hash(df: DataFrame, keys: list[str], order: list[str], replicates: int = 100) -> DataFrame:
+def bootstrap_hash(df: DataFrame, keys: list[str], order: list[str], replicates: int = 1000) -> DataFrame:
     """keys, ci_lower, ci_upper of the agreement share; resampled indices come from digests, so that SQL can repeat them.
 
     Costs replicates times the rows; order must be a total order within a group.
@@ -49,19 +55,87 @@ def bootstrap_hash(df: DataFrame, keys: list[str], order: list[str], replicates:
     return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("ci_lower"), F.percentile("mean", F.lit(0.975)).alias("ci_upper"))
 
 
-def bootstrap_exact(df: DataFrame, keys: list[str], order: list[str], replicates: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """keys, ci_lower, ci_upper by a seeded generator per group; a group is resampled in one task, of its matches only (a byte a row)."""
+Metric = Callable[[Sequence, Sequence], float]
+
+
+def bootstrap_exact(
+    df: DataFrame, keys: list[str], order: list[str], replicates: int = 1000, seed: int = 42, confidence: float = 0.95, metric_fn: Metric | None = None,
+) -> DataFrame:
+    """keys, ci_lower, ci_upper by a seeded generator per group, of metric_fn(decisions_a, decisions_b), by default of the share of equal ones.
+
+    A group is resampled in one task: a byte a row for the default, else its decisions. order: the
+    order that the generator's indices refer to, such as the file and line of a log.
+    """
     tail = 100 * (1 - confidence) / 2
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.sort_values(order, kind="stable")["m"].to_numpy(np.float64)
-        rng = np.random.default_rng(seed)
-        means = np.array([m[rng.integers(0, len(m), size=len(m))].mean() for _ in range(replicates)])
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci_lower": [np.percentile(means, tail)], "ci_upper": [np.percentile(means, 100 - tail)]})
+        pdf = pdf.sort_values(order, kind="stable")
+        rng, n = np.random.default_rng(seed), len(pdf)
+        if metric_fn is None:
+            m = pdf["m"].to_numpy(np.float64)
+            found = [m[rng.integers(0, n, size=n)].mean() for _ in range(replicates)]
+        else:
+            a, b = pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)
+            found = [metric_fn(list(a[at]), list(b[at])) for at in (rng.integers(0, n, size=n) for _ in range(replicates))]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci_lower": [np.percentile(found, tail)], "ci_upper": [np.percentile(found, 100 - tail)]})
+
+    use = [D.same(F.col("a"), F.col("b")).cast("byte").alias("m")] if metric_fn is None else ["a", "b"]
+    source = df.select(*keys, *[c for c in order if c not in keys], *use)
+    return source.groupBy(*keys).applyInPandas(one, _interval_schema(source, keys))
+
+
+def bootstrap_cells(df: DataFrame, keys: list[str], metric_fn: Callable[[list, list, np.ndarray], float], replicates: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """keys, ci_lower, ci_upper of metric_fn(a, b, n) over the counted pairs of decisions, at any group size: a resample's counts are multinomial."""
+    tail = 100 * (1 - confidence) / 2
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for c in pdf["cells"]:
+                c = sorted(c, key=lambda x: (str(x["a"]), str(x["b"])))
+                a, b, n = [x["a"] for x in c], [x["b"] for x in c], np.array([x["n"] for x in c], float)
+                found = [metric_fn(a, b, k) for k in np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), replicates)]
+                rows.append(np.percentile(found, [tail, 100 - tail]))
+            yield pdf[keys].assign(ci_lower=[r[0] for r in rows], ci_upper=[r[1] for r in rows])
 
-    source = df.select(*keys, *[c for c in order if c not in keys], D.same(F.col("a"), F.col("b")).cast("byte").alias("m"))
-    schema = ", ".join([*(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys), "ci_lower double, ci_upper double"])
-    return source.groupBy(*keys).applyInPandas(one, schema)
+    counted = cells(df, keys)
+    return counted.mapInPandas(draw, _interval_schema(counted, keys))
+
+
+def _interval_schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "ci_lower double, ci_upper double"])
+
+
+def binomial_quantiles(n: int, matches: int, tail: float) -> tuple[float, float]:
+    """The least shares k / n at which the binomial distribution reaches tail and 1 - tail."""
+    if matches in (0, n):
+        return matches / n, matches / n
+    p = matches / n
+    sd = np.sqrt(n * p * (1 - p))
+    k = np.arange(max(0, int(matches - 12 * sd - 12)), min(n, int(matches + 12 * sd + 12)) + 1)
+    step = np.log((n - k[:-1]) / (k[:-1] + 1.0)) + np.log(p / (1 - p))
+    logs = np.concatenate([[0.0], np.cumsum(step)])
+    mass = np.exp(logs - logs.max())
+    reached = np.cumsum(mass) / mass.sum()
+    return tuple(float(k[np.searchsorted(reached, t - 1e-12)]) / n for t in (tail, 1 - tail))
+
+
+def bootstrap_limit(df: DataFrame, keys: list[str], confidence: float = 0.95) -> DataFrame:
+    """keys, ci_lower, ci_upper of the agreement share: what percentiles of resamples tend to as their number grows. No draws, so the counts suffice."""
+    return limits(kappa(df, keys), keys, confidence).select(*keys, "ci_lower", "ci_upper")
+
+
+def limits(counted: DataFrame, keys: list[str], confidence: float = 0.95) -> DataFrame:
+    """counted, which has n_pairs and n_matches, with ci_lower and ci_upper."""
+    tail = (1 - confidence) / 2
+
+    def add(batches):
+        for pdf in batches:
+            both = [binomial_quantiles(int(n), int(m), tail) for n, m in zip(pdf["n_pairs"], pdf["n_matches"], strict=True)]
+            yield pdf.assign(ci_lower=[x[0] for x in both], ci_upper=[x[1] for x in both])
+
+    fields = [*counted.schema.fields, T.StructField("ci_lower", T.DoubleType()), T.StructField("ci_upper", T.DoubleType())]
+    return counted.mapInPandas(add, T.StructType(fields))
 
 
 def bootstrap_binomial(df: DataFrame, keys: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -76,15 +150,19 @@ def bootstrap_binomial(df: DataFrame, keys: list[str], replicates: int = 1000, s
             yield pdf[keys].assign(ci_lower=[r[0] for r in rows], ci_upper=[r[1] for r in rows])
 
     counted = jss(df, keys, 1).select(*keys, "n_pairs", "n_matches")
-    schema = ", ".join([*(f"`{k}` {counted.schema[k].dataType.simpleString()}" for k in keys), "ci_lower double, ci_upper double"])
-    return counted.mapInPandas(draw, schema)
+    return counted.mapInPandas(draw, _interval_schema(counted, keys))
 
 
-def metric_suite(df: DataFrame, keys: list[str], intervals: DataFrame) -> DataFrame:
-    """All seven metrics by group of at least two rows, rounded to four places."""
-    four = lambda c: F.round(c, 4).alias(c)
-    joined = jss(df, keys).join(kappa(df, keys).select(*keys, "cohens_kappa"), keys).join(intervals, keys)
-    return joined.select(*keys, four("jss"), four("flip_rate"), four("cohens_kappa"), four("ci_lower"), four("ci_upper"), "n_pairs", "n_flips")
+def metric_suite(df: DataFrame, keys: list[str], intervals: DataFrame | None = None) -> DataFrame:
+    """All seven metrics by group of at least two rows, to four places of the exact value; one pass over the rows.
+
+    intervals: keys, ci_lower, ci_upper of a bootstrap; without it the limit of many replicates.
+    """
+    counted = kappa(df, keys).where("n_pairs >= 2")
+    counted = limits(counted, keys) if intervals is None else counted.join(intervals, keys)
+    share = F.col("n_matches") / F.col("n_pairs")
+    made = {"jss": share, "flip_rate": 1 - share, "cohens_kappa": F.col("cohens_kappa"), "ci_lower": F.col("ci_lower"), "ci_upper": F.col("ci_upper")}
+    return counted.select(*keys, *[D.python_round(v, 4).alias(k) for k, v in made.items()], "n_pairs", (F.col("n_pairs") - F.col("n_matches")).alias("n_flips"))
 
 
 def checked(a: list, b: list) -> tuple[list, list]:
@@ -115,8 +193,7 @@ compute_jss = judge_sensitivity_score
 
 
 def last_write(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
-    """For each key the row that stands last by sequence; a partial aggregate, so a hot key meets no window."""
-    rest = [c for c in df.columns if c not in keys]
-    order = F.struct(*sequence, *[c for c in rest if c not in sequence])
-    won = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("w"))
-    return won.select(*keys, *[F.col(f"w.{c}").alias(c) for c in rest])
+    """For each key the row that stands last by sequence: one exchange and one sort; the limit of a row a key is applied before the exchange as well."""
+    rest = [c for c in df.columns if c not in keys and c not in sequence]
+    order = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in [*sequence, *rest]])
+    return df.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")

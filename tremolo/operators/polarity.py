@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from tremolo.functions import decisions as D
 
+#: A pair dimension of at most this many rows is broadcast.
+FEW_PAIRS = 1 << 20
+
+
+def with_templates(log: DataFrame, pairs: DataFrame, known_only: bool = False) -> DataFrame:
+    """log with the templates ta and tb of its pair, UNKNOWN for a pair that the dimension (pair_id, ta, tb) lacks; such rows go if known_only."""
+    side = pairs.select("pair_id", "ta", "tb").dropDuplicates(["pair_id"])
+    side = F.broadcast(side) if pairs.count() <= FEW_PAIRS else side
+    joined = log.drop("ta", "tb").join(side, "pair_id", "inner" if known_only else "left")
+    return joined.withColumns({t: F.coalesce(t, F.lit("UNKNOWN")) for t in ("ta", "tb")})
 
 
 def _fixed_match() -> Column:
@@ -21,7 +31,7 @@ def corrected_jss(df: DataFrame) -> DataFrame:
     """model, jss_fixed, jss_original, delta, n: agreement with and without the inverted template's answers turned round."""
     raw = D.same(F.col("a"), F.col("b"))
     out = df.groupBy("model").agg(_share(_fixed_match()).alias("fixed"), _share(raw).alias("original"), F.count("*").alias("n"))
-    four = lambda c, n: F.round(c, 4).alias(n)
+    four = lambda c, n: D.python_round(c, 4).alias(n)
     return out.select("model", four(F.col("fixed"), "jss_fixed"), four(F.col("original"), "jss_original"), four(F.col("fixed") - F.col("original"), "delta"), "n")
 
 
@@ -38,7 +48,8 @@ def macro_delta(pairs: DataFrame) -> DataFrame:
         F.nullif(F.avg(F.when(~with_t4, F.col("jss"))), F.lit(0.0)).alias("without"), F.nullif(F.avg(F.when(with_t4, F.col("jss"))), F.lit(0.0)).alias("with"),
         F.coalesce(F.sum(F.when(~with_t4, F.col("n"))), F.lit(0)).alias("n_no_t4"), F.coalesce(F.sum(F.when(with_t4, F.col("n"))), F.lit(0)).alias("n_with_t4"),
     )
-    return out.select("model", F.round("without", 4).alias("jss_no_t4"), F.round("with", 4).alias("jss_with_t4"), F.round(F.col("without") - F.col("with"), 4).alias("delta"), "n_no_t4", "n_with_t4")
+    four = lambda c, n: D.python_round(F.col(c) if isinstance(c, str) else c, 4).alias(n)
+    return out.select("model", four("without", "jss_no_t4"), four("with", "jss_with_t4"), four(F.col("without") - F.col("with"), "delta"), "n_no_t4", "n_with_t4")
 
 
 def inverted_audit(df: DataFrame, first: str = "T3", second: str = "T4") -> DataFrame:
@@ -52,14 +63,37 @@ def inverted_audit(df: DataFrame, first: str = "T3", second: str = "T4") -> Data
     )
 
 
-def flip_overlap(df: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """pair_id, has_t4, flip_count, flipping_models: judges that flip in any run, in the order of the dimension (model, ord), else by name."""
+def ordered_pair_jss(df: DataFrame) -> DataFrame:
+    """pair_jss by template pair, best score first, then by judge."""
+    return pair_jss(df).orderBy("template_pair", F.desc("jss"), "model")
+
+
+def flip_overlap(df: DataFrame, order: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """pair_id, has_t4, flip_count, flipping_models: judges that flip in any run, in the order of the dimension (model, ord; a row a judge), else by name.
+
+    pairs: the pair dimension (pair_id, ta, tb). With it every pair of it has a row, one without usable judgments counts 0 flips.
+    """
     per = df.groupBy("pair_id", "model").agg(F.max(D.flipped(F.col("a"), F.col("b"))).alias("flips"), F.max(D.has_inverted(F.col("ta"), F.col("tb"))).alias("has_t4"))
-    per = per.withColumn("ord", F.lit(0)) if order is None else per.join(F.broadcast(order), "model", "left")
+    per = per.withColumn("ord", F.lit(0)) if order is None else per.join(order, "model", "left")
     names = F.array_sort(F.collect_list(F.when(F.col("flips"), F.struct("ord", "model"))))
-    return per.groupBy("pair_id").agg(
+    out = per.groupBy("pair_id").agg(
         F.max("has_t4").alias("has_t4"), F.count_if("flips").alias("flip_count"), F.array_join(F.transform(names, lambda s: s["model"]), ",").alias("flipping_models"),
     )
+    if pairs is None:
+        return out
+    every = pairs.select("pair_id", D.has_inverted(F.col("ta"), F.col("tb")).alias("has_t4")).dropDuplicates(["pair_id"])
+    found = every.join(out.drop("has_t4"), "pair_id", "left")
+    return found.select("pair_id", "has_t4", F.coalesce("flip_count", F.lit(0)).alias("flip_count"), F.coalesce("flipping_models", F.lit("")).alias("flipping_models"))
+
+
+def overlap_extremes(overlap: DataFrame, n_models: int, t4_least: float = 8, other_most: float = 1) -> DataFrame:
+    """One row: pairs on which all n_models judges flip, none, any; the most flips; mean flips with and without the inverted template, and the verdict on them."""
+    flips = F.col("flip_count")
+    out = overlap.agg(
+        F.count_if(flips == n_models).alias("n_all"), F.count_if(flips == 0).alias("n_none"), F.count_if(flips >= 1).alias("n_any"), F.max(flips).alias("most"),
+        F.round(F.avg(F.when(F.col("has_t4"), flips)), 6).alias("t4_mean"), F.round(F.avg(F.when(~F.col("has_t4"), flips)), 6).alias("other_mean"),
+    )
+    return out.withColumn("verdict", F.when((F.col("t4_mean") >= t4_least) & (F.col("other_mean") <= other_most), "YES").otherwise("NO"))
 
 
 def overlap_verdict(overlap: DataFrame, top: int = 10, most: int = 6) -> DataFrame:

@@ -15,15 +15,15 @@ def task_jss(df: DataFrame) -> DataFrame:
 
 
 def heatmap(scores: DataFrame, tasks: list[str], models: DataFrame) -> DataFrame:
-    """One row a model of the dimension, one column a task; null where nothing was judged."""
+    """One row a model of the dimension, one column a task; null where nothing was judged. scores has a row a judge and task, so its pivot is broadcast."""
     wide = scores.groupBy("model").pivot("task_type", tasks).agg(F.first("jss"))
-    return F.broadcast(models.select("model")).join(wide, "model", "left").select("model", *[F.round(F.col(f"`{t}`"), 6).alias(f"jss_{t.lower()}") for t in tasks])
+    return models.select("model").join(F.broadcast(wide), "model", "left").select("model", *[F.round(F.col(f"`{t}`"), 6).alias(f"jss_{t.lower()}") for t in tasks])
 
 
 def bars(scores: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Score, interval, the two widths of its error bar, and band."""
+    """Score, interval, the two widths of its error bar, and band; lowest score first."""
     j = scores.join(intervals, keys)
-    return j.select(*keys, F.round("jss", 6).alias("jss"), F.round(F.col("jss") - F.col("ci_lower"), 6).alias("err_lo"), F.round(F.col("ci_upper") - F.col("jss"), 6).alias("err_hi"), D.band(F.col("jss")).alias("band"))
+    return j.select(*keys, F.round("jss", 6).alias("jss"), F.round(F.col("jss") - F.col("ci_lower"), 6).alias("err_lo"), F.round(F.col("ci_upper") - F.col("jss"), 6).alias("err_hi"), D.band(F.col("jss")).alias("band")).orderBy("jss", *keys)
 
 
 def paper_rows(corrected: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -39,5 +39,21 @@ def paper_rows(corrected: DataFrame, names: DataFrame | None = None) -> DataFram
 
 def raw_and_corrected(corrected: DataFrame, models: DataFrame) -> DataFrame:
     """Both scores of every model of the dimension with the label of the change and the height it stands at."""
-    j = F.broadcast(models.select("model")).join(corrected, "model", "left")
+    j = models.select("model").join(F.broadcast(corrected), "model", "left")  # corrected has a row a judge
     return j.select("model", "jss_original", "jss_fixed", F.when(F.col("delta").isNull(), "N/A").otherwise(F.format_string("%+.2f", D.python_round(F.col("delta"), 2))).alias("label"), F.round(F.greatest("jss_original", "jss_fixed") + 0.02, 6).alias("height"), D.significance(F.col("delta")).alias("mark"))
+
+
+def interval_text(lower, upper, digits: int = 3):
+    """[lower,upper], N/A where there is none."""
+    text = F.format_string(f"[%.{digits}f,%.{digits}f]", D.python_round(lower, digits), D.python_round(upper, digits))
+    return F.when(lower.isNull() | F.isnan(lower), "N/A").otherwise(text)
+
+
+def console_rows(suite: DataFrame) -> DataFrame:
+    """model, task_type, line: the suite as lines of a fixed-width table, in the order of model and task."""
+    three = [D.python_round(F.col(c), 3) for c in ("jss", "flip_rate", "cohens_kappa")]
+    line = F.format_string("%-20s %-12s %6.3f %6.3f %7.3f %14s %6d", "model", "task_type", *three, interval_text(F.col("ci_lower"), F.col("ci_upper")), "n_pairs")
+    return suite.select("model", "task_type", line.alias("line")).orderBy("model", "task_type")
+
+
+CONSOLE_HEAD = f"{'Model':<20} {'Task':<12} {'JSS':>6} {'Flip':>6} {'Kappa':>7} {'CI 95%':>14} {'N':>6}"

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tremolo import schemas
 from tremolo.functions import decisions as D
+from tremolo.functions import fixed
 
 Judge = Callable[[str], str]
 
@@ -20,8 +23,8 @@ def pending(work: DataFrame, log: DataFrame, keys: list[str], done: Column) -> D
     return work.dropDuplicates(keys).join(finished, keys, "left_anti")
 
 
-def call(judge: Judge, prompt: str, wait: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> str:
-    """The judge's answer; after one failure and a wait it is asked again, after two the answer says so."""
+def call(judge: Judge, prompt: str, wait: float = 5.0, sleep: Callable[[float], None] = time.sleep, failed: Callable[[Exception], object] = lambda e: f"ERROR:{e}"):
+    """The judge's answer; after one failure and a wait it is asked again, after two comes failed(the second error), a text that says so."""
     try:
         return judge(prompt)
     except Exception:
@@ -29,23 +32,63 @@ def call(judge: Judge, prompt: str, wait: float = 5.0, sleep: Callable[[float],
         try:
             return judge(prompt)
         except Exception as e:
-            return f"ERROR: {e}"
+            return failed(e)
 
 
-def run_judge(work: DataFrame, make_judge: Callable[[], Judge], wait: float = 5.0) -> DataFrame:
-    """work (pair_id, task_type, model, run, prompt_a, prompt_b) with both answers, decisions, flip and error.
+def run_judge(work: DataFrame, make_judge: Callable[[], Judge], wait: float = 5.0, stamp: bool = False) -> DataFrame:
+    """work (pair_id, task_type, model, run, prompt_a, prompt_b) with both answers, decisions, flip and error; stamp adds the time of the calls, UTC as text.
 
-    make_judge builds a client in each task; the number of partitions of work caps the calls at once.
+    make_judge builds a client in each task, which keeps its own pause between calls; the number of
+    partitions of work caps the calls at once.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = make_judge()
         for pdf in batches:
-            yield pdf.assign(prompt_a_raw=[call(judge, p, wait) for p in pdf["prompt_a"]], prompt_b_raw=[call(judge, p, wait) for p in pdf["prompt_b"]])
+            rows = [(call(judge, a, wait), call(judge, b, wait), datetime.now(UTC).isoformat()) for a, b in zip(pdf["prompt_a"], pdf["prompt_b"], strict=True)]
+            yield pdf.assign(prompt_a_raw=[r[0] for r in rows], prompt_b_raw=[r[1] for r in rows], timestamp=[r[2] for r in rows])
 
     keep = work.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b")
-    raw = keep.mapInPandas(ask, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + ", prompt_a_raw string, prompt_b_raw string")
-    return decided(raw).drop("prompt_a", "prompt_b")
+    raw = keep.mapInPandas(ask, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + ", prompt_a_raw string, prompt_b_raw string, timestamp string")
+    out = decided(raw).drop("prompt_a", "prompt_b")
+    return out if stamp else out.drop("timestamp")
+
+
+def evaluate(pairs: DataFrame, model: str, task: str, runs: int, make_judge: Callable[[], Judge], log: DataFrame, append: Callable[[DataFrame], None], max_tokens: int, cost_per_1k: float, wait: float = 5.0) -> tuple[int, float]:
+    """Judges what the log (pair_id, run, error) lacks, appends full log rows, and returns (successful pairs, estimated cost).
+
+    Rows are written once, by the tasks that asked; the totals come from a count kept while writing. A missing task is the given one.
+    """
+    asked = pairs.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumns({"model": F.lit(model), "task_type": F.coalesce("task_type", F.lit(task))})
+    todo = pending(asked.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b"), log, ["pair_id", "run"], D.no_error(F.col("error")))
+    judged = run_judge(todo, make_judge, wait, stamp=True)
+    full = judged.withColumns({"prompt_a_decision": F.col("normalized_a"), "prompt_b_decision": F.col("normalized_b")}).select(*schemas.JUDGMENT.names)
+    seen = Observation()
+    append(full.observe(seen, F.count_if(D.no_error(F.col("error"))).alias("n_ok")))
+    n_ok = seen.get["n_ok"]
+    return n_ok, n_ok * (fixed.PROMPT_TOKENS + max_tokens) * 2 / 1000.0 * cost_per_1k
+
+
+def validate(judge: Judge, prompt: str, wait: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str, str | None]:
+    """(decision, raw answer, error): YES, NO or UNCLEAR by what the answer holds; ERROR after two failures."""
+    answer = call(judge, prompt, wait, sleep, failed=lambda e: e)
+    if isinstance(answer, Exception):
+        return "ERROR", "", str(answer)
+    raw = answer.strip().upper()
+    return ("YES" if "YES" in raw else "NO" if "NO" in raw else "UNCLEAR"), raw, None
+
+
+def run_validation(pairs: DataFrame, make_judge: Callable[[], Judge], question: str, wait: float = 3.0) -> DataFrame:
+    """pair_id, task_type, validation_decision, raw_response, error of each pair. question: a text with {prompt_a} and {prompt_b}."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = make_judge()
+        for pdf in batches:
+            rows = [validate(judge, question.replace("{prompt_a}", a or "").replace("{prompt_b}", b or ""), wait) for a, b in zip(pdf["prompt_a"], pdf["prompt_b"], strict=True)]
+            yield pdf[["pair_id", "task_type"]].assign(validation_decision=[r[0] for r in rows], raw_response=[r[1] for r in rows], error=[r[2] for r in rows])
+
+    keep = pairs.select("pair_id", F.coalesce("task_type", F.lit("unknown")).alias("task_type"), "prompt_a", "prompt_b")
+    return keep.mapInPandas(ask, f"pair_id {keep.schema['pair_id'].dataType.simpleString()}, task_type string, validation_decision string, raw_response string, error string")
 
 
 def decided(raw: DataFrame) -> DataFrame:
@@ -76,7 +119,7 @@ def migrate(log: DataFrame) -> DataFrame:
 def run_cost(log: DataFrame, judges: DataFrame) -> DataFrame:
     """model, n_rows, n_ok, cost: successful pairs and their estimated price. judges: model, max_tokens, cost_per_1k, a small dimension."""
     totals = log.groupBy("model").agg(F.count("*").alias("n_rows"), F.count_if(D.no_error(F.col("error"))).alias("n_ok"))
-    joined = totals.join(F.broadcast(judges), "model", "left")
+    joined = totals.join(judges, "model", "left")  # a row a judge on both sides; the planner sees their sizes
     price = D.cost(F.col("n_ok"), F.coalesce("max_tokens", F.lit(20)), F.coalesce("cost_per_1k", F.lit(0.0)))
     return joined.select("model", "n_rows", "n_ok", F.round(price, 6).alias("cost"))
 

@@ -23,7 +23,8 @@ def run_counters(auto: DataFrame) -> DataFrame:
 
 
 def flagged(auto: DataFrame) -> DataFrame:
-    return auto.where(F.col("validation_decision") == "NO").select("pair_id", "task_type")
+    """pair_id, task_type of the pairs decided NO, in the order of pair_id."""
+    return auto.where(F.col("validation_decision") == "NO").select("pair_id", "task_type").orderBy("pair_id", "task_type")
 
 
 def manual_counts(manual: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def manual_counts(manual: DataFrame) -> DataFrame:
 
 def classifier_label(*columns: Column) -> Column:
     """The first filled of several columns, without white space, in upper case; true is YES, false is NO."""
-    found = F.upper(F.btrim(D.first_filled(*[c.cast("string") for c in columns]), F.lit(" \t\n\r\f\v")))
+    found = F.upper(F.btrim(D.first_filled(*[c.cast("string") for c in columns]), F.lit(D.SPACE)))
     return F.when(found == "TRUE", "YES").when(found == "FALSE", "NO").otherwise(found)
 
 

@@ -60,7 +60,7 @@ def kappa_by_group(spark, sf_dir):
     return agreement.kappa(_usable(spark, sf_dir), GROUP).select(*GROUP, "n_pairs", _six("p_o"), _six("p_e"), _six("cohens_kappa"))
 
 
-_TIDY = "replace(upper(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), 'ẞ', 'SS')"
+_TIDY = f"replace(upper(trim(text, '{D.SPACE}')), 'ẞ', 'SS')"
 
 
 def _normal(name: str, task: str, sql: str) -> None:
@@ -191,8 +191,9 @@ def template_pair_histogram(spark, sf_dir):
     return B.by_template(spark, sf_dir).groupBy(D.template_pair(F.col("ta"), F.col("tb")).alias("template_pair")).agg(F.countDistinct("pair_id").alias("n_pairs"), F.count("*").alias("n_rows"))
 
 
-_CORRECTED = """cj AS (SELECT model, round(avg((fa = fb)::INT::DOUBLE), 4) AS jss_fixed, round(avg((a = b)::INT::DOUBLE), 4) AS jss_original,
-  round(avg((fa = fb)::INT::DOUBLE) - avg((a = b)::INT::DOUBLE), 4) AS delta, count(*) AS n FROM t GROUP BY model)"""
+_four = lambda x: D.sql_round(x, 4)
+_CORRECTED = f"""cu AS (SELECT model, avg((fa = fb)::INT::DOUBLE) AS x, avg((a = b)::INT::DOUBLE) AS y, count(*) AS n FROM t GROUP BY model),
+  cj AS (SELECT model, {_four('x')} AS jss_fixed, {_four('y')} AS jss_original, {_four('(x - y)')} AS delta, n FROM cu)"""
 
 
 @query(f"WITH {B.BY_TEMPLATE}, {_CORRECTED} SELECT * FROM cj")
@@ -210,7 +211,7 @@ def template_pair_jss(spark, sf_dir):
 
 @query(f"""WITH {B.BY_TEMPLATE}, {_PAIR_JSS}, g AS (SELECT model, nullif(avg(jss) FILTER (NOT contains(template_pair, 'T4')), 0) AS x, nullif(avg(jss) FILTER (contains(template_pair, 'T4')), 0) AS y,
   coalesce(sum(n) FILTER (NOT contains(template_pair, 'T4')), 0)::BIGINT AS n_no_t4, coalesce(sum(n) FILTER (contains(template_pair, 'T4')), 0)::BIGINT AS n_with_t4 FROM pj GROUP BY model)
-  SELECT model, round(x, 4) AS jss_no_t4, round(y, 4) AS jss_with_t4, round(x - y, 4) AS delta, n_no_t4, n_with_t4 FROM g""")
+  SELECT model, {_four('x')} AS jss_no_t4, {_four('y')} AS jss_with_t4, {_four('(x - y)')} AS delta, n_no_t4, n_with_t4 FROM g""")
 def t4_macro_delta(spark, sf_dir):
     return polarity.macro_delta(polarity.pair_jss(B.by_template(spark, sf_dir)))
 
@@ -235,15 +236,42 @@ def flip_mean_by_t4(spark, sf_dir):
     return polarity.flip_overlap(B.by_template(spark, sf_dir)).groupBy("has_t4").agg(F.round(F.avg("flip_count"), 6).alias("mean_flips"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {B.BY_TEMPLATE}, {_OVERLAP}, x AS (SELECT count(*) FILTER (flip_count = 0) AS n_none, count(*) FILTER (flip_count >= 1) AS n_any, max(flip_count) AS most,
+@query(f"""WITH {B.BY_TEMPLATE}, {_OVERLAP}, x AS (SELECT count(*) FILTER (flip_count = (SELECT count(DISTINCT model) FROM t)) AS n_all, count(*) FILTER (flip_count = 0) AS n_none, count(*) FILTER (flip_count >= 1) AS n_any, max(flip_count) AS most,
   round(avg(flip_count) FILTER (has_t4), 6) AS t4_mean, round(avg(flip_count) FILTER (NOT has_t4), 6) AS other_mean FROM ov)
   SELECT *, CASE WHEN t4_mean >= 8 AND other_mean <= 1 THEN 'YES' ELSE 'NO' END AS verdict FROM x""")
 def flip_extremes(spark, sf_dir):
-    out = polarity.flip_overlap(B.by_template(spark, sf_dir)).agg(
-        F.count_if(F.col("flip_count") == 0).alias("n_none"), F.count_if(F.col("flip_count") >= 1).alias("n_any"), F.max("flip_count").alias("most"),
-        F.round(F.avg(F.when(F.col("has_t4"), F.col("flip_count"))), 6).alias("t4_mean"), F.round(F.avg(F.when(~F.col("has_t4"), F.col("flip_count"))), 6).alias("other_mean"),
-    )
-    return out.withColumn("verdict", F.when((F.col("t4_mean") >= 8) & (F.col("other_mean") <= 1), "YES").otherwise("NO"))
+    return polarity.overlap_extremes(polarity.flip_overlap(B.by_template(spark, sf_dir)), n_models=5)
+
+
+_PAIR_DIMENSION = """pd AS (SELECT o_orderkey AS pair_id, 'T' || ((o_orderkey * 2) % 5 + 1)::VARCHAR AS ta, 'T' || ((o_orderkey * 2 + 1) % 5 + 1)::VARCHAR AS tb
+  FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (40, 45, 50, 90, 95, 100))"""
+
+
+def _pair_dimension(spark, sf_dir):
+    """The orders that are done, as pairs with their templates."""
+    o = B.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("pair_id"))
+    return o.where(D.not_excluded(F.col("pair_id"), B.EXCLUDED)).withColumns({"ta": D.cycle_template(F.col("pair_id"), False), "tb": D.cycle_template(F.col("pair_id"), True)})
+
+
+@query(f"WITH {B.JUDGMENTS}, {_PAIR_DIMENSION} SELECT coalesce(ta, 'UNKNOWN') AS ta, coalesce(tb, 'UNKNOWN') AS tb, count(*) AS n, count(*) FILTER (error IS NULL) AS n_ok FROM j LEFT JOIN pd USING (pair_id) GROUP BY 1, 2")
+def template_join(spark, sf_dir):
+    """Judgments by the templates of their pair; pairs that the dimension lacks are UNKNOWN."""
+    joined = polarity.with_templates(B.judgments(spark, sf_dir), _pair_dimension(spark, sf_dir))
+    return joined.groupBy("ta", "tb").agg(F.count("*").alias("n"), F.count_if(D.no_error(F.col("error"))).alias("n_ok"))
+
+
+@query(f"WITH {B.JUDGMENTS}, {_PAIR_DIMENSION} SELECT ta, tb, count(*) AS n, count(*) FILTER (a = b) AS n_matches FROM j JOIN pd USING (pair_id) GROUP BY 1, 2")
+def template_inner_join(spark, sf_dir):
+    """Judgments of known pairs by template."""
+    joined = polarity.with_templates(B.judgments(spark, sf_dir), _pair_dimension(spark, sf_dir), known_only=True)
+    return joined.groupBy("ta", "tb").agg(F.count("*").alias("n"), F.count_if(D.same(F.col("a"), F.col("b"))).alias("n_matches"))
+
+
+@query(f"""WITH {B.BY_TEMPLATE}, {_OVERLAP}, {_PAIR_DIMENSION} SELECT pd.pair_id, pd.ta = 'T4' OR pd.tb = 'T4' AS has_t4, coalesce(flip_count, 0) AS flip_count, coalesce(flipping_models, '') AS flipping_models
+  FROM pd LEFT JOIN ov USING (pair_id)""")
+def pair_dimension_overlap(spark, sf_dir):
+    """Flips of every pair of the dimension; pairs without usable judgments count none."""
+    return polarity.flip_overlap(B.by_template(spark, sf_dir), pairs=_pair_dimension(spark, sf_dir))
 
 
 @query(f"WITH {B.BY_TEMPLATE}, {_OVERLAP}, h AS (SELECT * FROM ov ORDER BY flip_count DESC, pair_id LIMIT 10) SELECT count(*) FILTER (has_t4) AS t4_in_top, count(*) AS n_top, CASE WHEN count(*) FILTER (has_t4) >= 6 THEN 'YES' ELSE 'NO' END AS verdict FROM h")
@@ -252,7 +280,7 @@ def top10_concentration(spark, sf_dir):
 
 
 _BOOT = """rk AS (SELECT task_type, (a = b)::INT::DOUBLE AS m, row_number() OVER (PARTITION BY task_type ORDER BY pair_id) - 1 AS rn, count(*) OVER (PARTITION BY task_type) AS n FROM j2),
-  dr AS (SELECT task_type, r, ('0x' || substr(md5(r::VARCHAR || '-' || rn::VARCHAR), 1, 8))::BIGINT % n AS at FROM rk, range(1, 101) AS x(r)),
+  dr AS (SELECT task_type, r, ('0x' || substr(md5(r::VARCHAR || '-' || rn::VARCHAR), 1, 8))::BIGINT % n AS at FROM rk, range(1, 1001) AS x(r)),
   me AS (SELECT dr.task_type, r, avg(m) AS mean FROM dr JOIN rk ON rk.task_type = dr.task_type AND rk.rn = dr.at GROUP BY ALL),
   ci AS (SELECT task_type, quantile_cont(mean, 0.025) AS ci_lower, quantile_cont(mean, 0.975) AS ci_upper FROM me GROUP BY task_type)"""
 
@@ -272,15 +300,22 @@ def bootstrap_ci_exact(spark, sf_dir):
     return agreement.bootstrap_exact(B.labelled(spark, sf_dir), ["task_type"], ["pair_id"])
 
 
-@query()
-def bootstrap_ci_binomial(spark, sf_dir):
-    return agreement.bootstrap_binomial(_usable(spark, sf_dir), GROUP)
+_LIMIT = """g AS (SELECT {k}, count(*) AS n, count(*) FILTER (a = b) AS m FROM {t} GROUP BY ALL),
+  pk AS (SELECT *, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(m / n) + (n - k) * ln(1 - m / n)) AS p FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM g WHERE m > 0 AND m < n)),
+  ck AS (SELECT *, sum(p) OVER (PARTITION BY {k} ORDER BY pk.k) AS reached FROM pk),
+  li AS (SELECT {k}, min(ck.k) FILTER (reached >= 0.025 - 1e-12) / any_value(n) AS ci_lower, min(ck.k) FILTER (reached >= 0.975 - 1e-12) / any_value(n) AS ci_upper FROM ck GROUP BY {k}
+    UNION ALL SELECT {k}, m / n, m / n FROM g WHERE m = 0 OR m = n)"""
+
 
+@query(f"WITH {_USABLE}, {_LIMIT.format(k='model, task_type', t='u')} SELECT model, task_type, round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper FROM li")
+def bootstrap_ci_limit(spark, sf_dir):
+    return agreement.bootstrap_limit(_usable(spark, sf_dir), GROUP).select(*GROUP, _six("ci_lower"), _six("ci_upper"))
 
-@query(f"""WITH {B.LABELLED}, {_BOOT}, {_KAPPA.format(k='task_type', t='j2')}, sc AS (SELECT task_type, count(*) AS n_pairs, count(*) FILTER (a <> b) AS n_flips, avg((a = b)::INT::DOUBLE) AS jss FROM j2 GROUP BY 1 HAVING count(*) >= 2)
-  SELECT task_type, round(jss, 4) AS jss, round(1 - jss, 4) AS flip_rate, round(kappa, 4) AS cohens_kappa, round(ci_lower, 4) AS ci_lower, round(ci_upper, 4) AS ci_upper, sc.n_pairs, n_flips FROM sc JOIN kk USING (task_type) JOIN ci USING (task_type)""")
+
+@query(f"""WITH {B.LABELLED}, {_LIMIT.format(k='task_type', t='j2')}, {_KAPPA.format(k='task_type', t='j2')}, sc AS (SELECT task_type, count(*) AS n_pairs, count(*) FILTER (a <> b) AS n_flips, count(*) FILTER (a = b) / count(*) AS jss FROM j2 GROUP BY 1 HAVING count(*) >= 2)
+  SELECT task_type, {_four('jss')} AS jss, {_four('(1 - jss)')} AS flip_rate, {_four('kappa')} AS cohens_kappa, {_four('ci_lower')} AS ci_lower, {_four('ci_upper')} AS ci_upper, sc.n_pairs, n_flips FROM sc JOIN kk USING (task_type) JOIN li USING (task_type)""")
 def metric_suite(spark, sf_dir):
-    return agreement.metric_suite(*(lambda r, c: (r, ["task_type"], c))(*_boot(spark, sf_dir)))
+    return agreement.metric_suite(B.labelled(spark, sf_dir), ["task_type"])
 
 
 @query(f"""WITH {B.VALIDATIONS} SELECT coalesce(task_type, 'ALL') AS task_type, count(*) AS n, count(*) FILTER (validation_decision = 'YES') AS n_yes, count(*) FILTER (validation_decision = 'NO') AS n_no,
@@ -343,7 +378,7 @@ def backfill_changes(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT x.vec_id // 2 AS pair, list_transform(x.embedding, lambda v: v::DOUBLE) AS u, list_transform(y.embedding, lambda v: v::DOUBLE) AS w FROM embeddings x JOIN embeddings y ON x.vec_id % 2 = 0 AND y.vec_id = x.vec_id + 1)
-  SELECT pair, round(list_inner_product(u, w) / (sqrt(list_inner_product(u, u)) * sqrt(list_inner_product(w, w))), 4) AS similarity FROM p""")
+  SELECT pair, """ + D.sql_round("(list_inner_product(u, w) / (sqrt(list_inner_product(u, u)) * sqrt(list_inner_product(w, w))))", 4) + " AS similarity FROM p")
 def cosine_pairs(spark, sf_dir):
     e = B.table(spark, sf_dir, "embeddings")
     first = e.where("vec_id % 2 = 0").select(F.floor(F.col("vec_id") / 2).alias("pair"), F.col("embedding").alias("u"))
@@ -361,15 +396,20 @@ def heatmap_pivot(spark, sf_dir):
     return report.heatmap(report.task_jss(B.judgments(spark, sf_dir)), ["A", "N", "R"], readers.dimension(spark, _MODELS, "model string"))
 
 
-@query(f"WITH {B.LABELLED}, {_BOOT}, sc AS (SELECT task_type, avg((a = b)::INT::DOUBLE) AS jss FROM j2 GROUP BY 1) SELECT task_type, round(jss, 6) AS jss, round(jss - ci_lower, 6) AS err_lo, round(ci_upper - jss, 6) AS err_hi, CASE WHEN jss > 0.9 THEN 'high' WHEN jss >= 0.65 THEN 'mid' ELSE 'low' END AS band FROM sc JOIN ci USING (task_type)")
+@query(f"WITH {B.LABELLED}, {_LIMIT.format(k='task_type', t='j2')}, sc AS (SELECT task_type, avg((a = b)::INT::DOUBLE) AS jss FROM j2 GROUP BY 1) SELECT task_type, round(jss, 6) AS jss, round(jss - ci_lower, 6) AS err_lo, round(ci_upper - jss, 6) AS err_hi, CASE WHEN jss > 0.9 THEN 'high' WHEN jss >= 0.65 THEN 'mid' ELSE 'low' END AS band FROM sc JOIN li USING (task_type)")
 def bar_feed(spark, sf_dir):
-    rows, intervals = _boot(spark, sf_dir)
-    return report.bars(agreement.jss(rows, ["task_type"]), intervals, ["task_type"])
+    rows = B.labelled(spark, sf_dir)
+    return report.bars(agreement.jss(rows, ["task_type"], 1), agreement.bootstrap_limit(rows, ["task_type"]), ["task_type"])
+
+
+_NAMES = [("1-URGENT", "Urgent"), ("5-LOW", "Low")]
+_three = lambda x: D.sql_round(x, 3)
 
 
-@query(f"WITH {B.BY_TEMPLATE}, {_CORRECTED} SELECT row_number() OVER (ORDER BY jss_fixed DESC, jss_original DESC, model)::INTEGER AS place, model AS name, printf('%-22s & %.3f & %.3f & %+.3f \\\\', model, jss_original, jss_fixed, delta) AS line FROM cj")
+@query(f"WITH {B.BY_TEMPLATE}, {_CORRECTED}, nm(model, name) AS (VALUES {', '.join(map(str, _NAMES))}), cn AS (SELECT cj.*, coalesce(name, model) AS name FROM cj LEFT JOIN nm USING (model)) SELECT row_number() OVER (ORDER BY jss_fixed DESC, jss_original DESC, name)::INTEGER AS place, name, printf('%-22s & %.3f & %.3f & %+.3f \\\\', name, {_three('jss_original')}, {_three('jss_fixed')}, {_three('delta')}) AS line FROM cn")
 def paper_table(spark, sf_dir):
-    return report.paper_rows(polarity.corrected_jss(B.by_template(spark, sf_dir)))
+    """Two judges have names of their own, the others keep their keys."""
+    return report.paper_rows(polarity.corrected_jss(B.by_template(spark, sf_dir)), readers.dimension(spark, _NAMES, "model string, name string"))
 
 
 @query(f"WITH {B.BY_TEMPLATE}, {_CORRECTED}, {_MV} SELECT mo.model, jss_original, jss_fixed, CASE WHEN delta IS NULL THEN 'N/A' ELSE printf('%+.2f', delta) END AS label, round(greatest(jss_original, jss_fixed) + 0.02, 6) AS height, CASE WHEN abs(delta) > 0.05 THEN '***' ELSE '' END AS mark FROM mo LEFT JOIN cj USING (model)")
@@ -388,9 +428,9 @@ def set_ops_pairs(spark, sf_dir):
     return have.exceptAll(want).select(F.lit("unexpected").alias("kind"), "item").union(have.intersect(want).select(F.lit("expected"), "item")).union(present)
 
 
-@query("""WITH w AS (SELECT conv_id AS pair_id, turn::INTEGER AS run, text FROM conversations), r AS (SELECT pair_id, run, CASE WHEN length(text) % 7 = 0 THEN 'ERROR: stub' WHEN contains(text, 'e') THEN 'Yes' ELSE 'No' END AS x, CASE WHEN length(text) % 3 = 0 THEN 'Yes' ELSE 'No' END AS y FROM w),
-  n AS (SELECT *, CASE WHEN x = 'ERROR: stub' THEN 'UNCLEAR' ELSE upper(x) END AS na, upper(y) AS nb FROM r)
-  SELECT pair_id, run, na AS normalized_a, nb AS normalized_b, na <> nb AS flipped, CASE WHEN x = 'ERROR: stub' THEN x END AS error FROM n""")
+@query("""WITH w AS (SELECT conv_id AS pair_id, turn::INTEGER AS run, text FROM conversations), r AS (SELECT pair_id, run, CASE WHEN length(text) % 7 = 0 THEN 'ERROR:stub' WHEN contains(text, 'e') THEN 'Yes' ELSE 'No' END AS x, CASE WHEN length(text) % 3 = 0 THEN 'Yes' ELSE 'No' END AS y FROM w),
+  n AS (SELECT *, CASE WHEN x = 'ERROR:stub' THEN 'UNCLEAR' ELSE upper(x) END AS na, upper(y) AS nb FROM r)
+  SELECT pair_id, run, na AS normalized_a, nb AS normalized_b, na <> nb AS flipped, CASE WHEN x = 'ERROR:stub' THEN x END AS error FROM n""")
 def judge_offline(spark, sf_dir):
     work = B.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("pair_id"), F.lit("factuality").alias("task_type"), F.lit("stub").alias("model"), F.col("turn").cast("int").alias("run"),
@@ -418,9 +458,8 @@ def jsonl_permissive_scan(spark, sf_dir):
 
     events = B.table(spark, sf_dir, "events")
     line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{bad "), F.col("props"))).otherwise(F.col("props"))
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField(readers.CORRUPT, T.StringType())])
-    parsed = events.select(F.from_json(line, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": readers.CORRUPT}).alias("r"))
-    return parsed.groupBy(F.col(f"r.{readers.CORRUPT}").isNotNull().alias("corrupt")).agg(F.count("*").alias("n"), F.sum("r.k").alias("k"))
+    records = readers.parsed(events.select(line.alias("text")), T.StructType([T.StructField("k", T.LongType())]))
+    return records.groupBy(F.col(f"r.{readers.CORRUPT}").isNotNull().alias("corrupt")).agg(F.count("*").alias("n"), F.sum("r.k").alias("k"))
 
 
 ORACLES["jsonl_permissive_scan"] = "SELECT event_id % 10 = 0 AS corrupt, count(*) AS n, sum(CASE WHEN event_id % 10 <> 0 THEN (props->>'k')::BIGINT END)::BIGINT AS k FROM events GROUP BY 1"

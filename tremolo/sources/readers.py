@@ -64,3 +64,70 @@ def judges(spark: SparkSession) -> DataFrame:
 
     rows = [(m, k, p, i, t, c, d) for k, (m, p, i, _, t, c, d) in enumerate(JUDGES)]
     return dimension(spark, rows, "model string, ord int, provider string, model_id string, max_tokens int, cost_per_1k double, display string")
+
+
+def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """file, line (from 1), text of every line that isn't blank. A file is one task's work, as a log of one judge and task is small."""
+    reader = spark.read
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("k", "text"))
+    return whole.select("file", (F.col("k") + 1).alias("line"), F.btrim("text", F.lit(" \t\r\f\v")).alias("text")).where("text <> ''")
+
+
+def parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """lines with r: the column text as a record; a malformed one stands whole in its field _corrupt_record."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    return lines.withColumn("r", F.from_json("text", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+
+
+def jsonl_in_order(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed): rows with the columns file and line added; file, line and text of the lines that are no JSON object."""
+    found, bad = parsed(numbered_lines(spark, path, pattern), schema), F.col(f"r.{CORRUPT}").isNotNull()
+    return found.where(~bad).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields], "file", "line"), found.where(bad).select("file", "line", "text")
+
+
+def warn_malformed(malformed: DataFrame, most: int = 100) -> list[str]:
+    """A warning for each malformed line, in order, at most ``most`` and then their number; they are also printed."""
+    import warnings
+
+    found = malformed.orderBy("file", "line").limit(most + 1).collect()
+    said = [f"skipping malformed line {r.line} in {r.file}" for r in found[:most]]
+    if len(found) > most:
+        said.append(f"{malformed.count()} malformed lines in all")
+    for text in said:
+        warnings.warn(text, stacklevel=2)
+    return said
+
+
+def judgments_by_file(spark: SparkSession, folder: str, schema: T.StructType, model: str, task: str, missing_ok: bool = True) -> DataFrame:
+    """The log that is named after its judge and task; if there is none, an empty table or FileNotFoundError."""
+    path = f"{folder}/{model}_{task}.jsonl"
+    if not exists(spark, path):
+        if not missing_ok:
+            raise FileNotFoundError(path)
+        return spark.createDataFrame([], schema)
+    return jsonl(spark, path, schema, bad="drop")
+
+
+def columns_of(df: DataFrame) -> list[str]:
+    """Names of the columns, sorted: what a look at a log's first record would show."""
+    return sorted(df.columns)
+
+
+def env_values(text: str) -> dict[str, str]:
+    """key=value lines of an environment file: the first = parts, # starts a comment line, blanks at the ends go."""
+    pairs = (line.strip().split("=", 1) for line in text.splitlines() if "=" in line and not line.strip().startswith("#"))
+    return {k.strip(): v.strip() for k, v in pairs}
+
+
+def load_env(path: str = ".env", override: bool = False) -> dict[str, str]:
+    """Adds an environment file's values to the driver's environment, where they aren't set unless override; no file, no values."""
+    import os
+    from pathlib import Path
+
+    found = env_values(Path(path).read_text()) if Path(path).is_file() else {}
+    for k, v in found.items():
+        if override or k not in os.environ:
+            os.environ[k] = v
+    return found

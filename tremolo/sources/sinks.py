@@ -37,3 +37,10 @@ def summary_json(metrics: DataFrame, path: str) -> dict:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(json.dumps(out, indent=2))
     return out
+
+
+def by_task_jsonl(df: DataFrame, path: str, tasks: list[str], combined: str = "combined") -> None:
+    """JSON lines: a folder {task}.jsonl for each task, one part each as tasks are small dimensions, and one of them all, by task and pair_id."""
+    for task in tasks:
+        overwrite_jsonl(df.where(df["task_type"] == task).orderBy("pair_id").coalesce(1), f"{path}/{task}.jsonl")
+    overwrite_jsonl(df.where(df["task_type"].isin(tasks)).orderBy("task_type", "pair_id").coalesce(1), f"{path}/{combined}.jsonl")
