@@ -17,7 +17,7 @@ from tremolo.llm.textkit import SEPARATOR, annotate, bound_batches, buffers, lin
 
 BUCKETS = 1 << 16
 #: Trusted identifiers up to this number are broadcast, more are joined.
-FEW_TRUSTED = 1 << 20
+FEW_TRUSTED = 1 << 18
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _U64 = np.uint64

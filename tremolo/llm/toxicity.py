@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,7 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 PREFIX = 6
 #: Bounds: labelled examples, nearest examples, examples in a block of the index, queries answered together.
-EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 128
+EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 32
 #: Terms of more than this share of the examples have their weights in rows, all others in lists; kinds of examples in the layout.
 DENSE, KINDS = 0.05, 16
 #: Cosines are compared to this many decimals, ties by doc_id.
@@ -94,23 +95,32 @@ def train(examples: DataFrame) -> dict:
 
     bound_batches(examples.sparkSession)
     source = examples.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int"))
-    rows = source.mapInArrow(run, "doc_id long, label int, terms binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    raw = rows.column("terms").to_pylist()
-    size = np.array([len(r) // 8 for r in raw], np.int64)
-    every = np.frombuffer(b"".join(raw), _U64)
-    del raw
+    found = source.mapInArrow(run, "doc_id long, label int, terms binary, counts binary")
+    rows = found.orderBy("doc_id", F.xxhash64("terms")).toArrow()
+    ids, labels = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("label").to_numpy().astype(np.int32)
+    size = np.concatenate([pc.binary_length(c).to_numpy().astype(np.int64) // 8 for c in rows.column("terms").chunks] or [np.zeros(0, np.int64)])
+    every, count = _joined(rows.column("terms"), _U64), _joined(rows.column("counts"), np.dtype("<i4")).astype(np.float32)
+    del rows
     vocabulary = np.unique(every)
     term = np.searchsorted(vocabulary, every).astype(np.int32)
     del every
-    count = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<i4").astype(np.float32)
-    labels = rows.column("label").to_numpy().astype(np.int32)
     example = np.repeat(np.arange(len(size), dtype=np.int32), size)
     return {
-        "ids": rows.column("doc_id").to_numpy().astype(np.int64), "labels": labels, "prior": float(labels.mean()) if len(labels) else 0.0, "vocabulary": vocabulary,
+        "ids": ids, "labels": labels, "prior": float(labels.mean()) if len(labels) else 0.0, "vocabulary": vocabulary,
         "example": example, "term": term, "count": count, "relevance": relevance(term, labels[example], labels, len(vocabulary)),
     }
 
 
+def _joined(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """All values of the cells of a binary column, in order, without a copy of each cell."""
+    out = [np.zeros(0, kind)]
+    for c in column.chunks:
+        if len(c):
+            off = np.frombuffer(c.buffers()[1], np.int32 if pa.types.is_binary(c.type) else np.int64)[c.offset : c.offset + len(c) + 1]
+            out.append(np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind) if off[-1] > off[0] else np.zeros(0, kind))
+    return np.concatenate(out)
+
+
 def relevance(term: np.ndarray, label: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
     """One plus the standardised excess of label 1 among the examples that hold the term, at least one."""
     n, p = len(labels), labels.mean() if len(labels) else 0.0
@@ -145,9 +155,10 @@ def document_frequencies(df: DataFrame, text: str, vocabulary: np.ndarray) -> tu
 
 def weigh(text: np.ndarray, count: np.ndarray, factor: np.ndarray, n: int) -> np.ndarray:
     """Unit-length weights; text: the owner of each term, factor: the term's."""
-    w = count * factor
-    norm = np.sqrt(np.bincount(text, weights=w.astype(float) ** 2, minlength=n))
-    return (w / norm[text]).astype(np.float32)
+    w = (count * factor).astype(np.float32)
+    norm = np.sqrt(np.bincount(text, weights=w * w, minlength=n)).astype(np.float32)
+    w /= norm[text]
+    return w
 
 
 class BlockMaxIndex:
@@ -167,7 +178,7 @@ class BlockMaxIndex:
         head = row >= 0
         self.head = (row[head], example[head], weight[head])
         example, term, weight = example[~head], term[~head], weight[~head]
-        order = np.argsort(term.astype(np.int64) * (self.n_blocks * self.span) + example, kind="stable")
+        order = np.lexsort((example, term)).astype(np.int32)
         self.example, self.weight, term = example[order], weight[order], term[order]
         del order
         block = self.example // self.span
@@ -181,8 +192,9 @@ class BlockMaxIndex:
         """The examples by likeness in their frequent terms (spherical k-means from evenly spaced ones), so that a block is of one kind."""
         x = np.zeros((self.n, n_rows), np.float32)
         row = self.row[term]
-        x[example[row >= 0], row[row >= 0]] = weight[row >= 0]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        at = np.flatnonzero(row >= 0)
+        x[example[at], row[at]] = weight[at]
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
         centre = x[np.linspace(0, max(self.n - 1, 0), min(KINDS, self.n)).astype(np.int64)] if self.n else x
         kind = np.zeros(self.n, np.int64)
         for _ in range(6 if self.n else 0):
@@ -197,6 +209,7 @@ class BlockMaxIndex:
         self.dense = np.zeros((self.n_blocks, int((self.row >= 0).sum()), self.span), np.float32)
         self.dense[example // self.span, row, example % self.span] = weight
         self.dense_top = self.dense.max(axis=2).T
+        self.head = None
 
     def nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of n texts the k examples of largest positive cosine with these, ties to the smaller example."""
