@@ -28,7 +28,7 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 PREFIX = 6
 #: Bounds: labelled examples, nearest examples, examples in a block of the index, queries answered together.
-EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 32
+EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 64
 #: Terms of more than this share of the examples have their weights in rows, all others in lists; kinds of examples in the layout.
 DENSE, KINDS = 0.05, 16
 #: Cosines are compared to this many decimals, ties by doc_id.
@@ -96,11 +96,18 @@ def train(examples: DataFrame) -> dict:
     bound_batches(examples.sparkSession)
     source = examples.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int"))
     found = source.mapInArrow(run, "doc_id long, label int, terms binary, counts binary")
-    rows = found.orderBy("doc_id", F.xxhash64("terms")).toArrow()
+    rows = found.toArrow()
     ids, labels = rows.column("doc_id").to_numpy().astype(np.int64), rows.column("label").to_numpy().astype(np.int32)
     size = np.concatenate([pc.binary_length(c).to_numpy().astype(np.int64) // 8 for c in rows.column("terms").chunks] or [np.zeros(0, np.int64)])
     every, count = _joined(rows.column("terms"), _U64), _joined(rows.column("counts"), np.dtype("<i4")).astype(np.float32)
     del rows
+    # in the order of doc_id; repeated ones by their number of terms and least hash, so that equal rows alone are interchangeable
+    end = np.cumsum(size)
+    least = np.append(every, _U64(0))[end - size] if len(size) else np.zeros(0, _U64)
+    order = np.lexsort((least, size, ids))
+    at, size = spread((end - size)[order], end[order])
+    every, count, ids, labels = every[at], count[at], ids[order], labels[order]
+    del at
     vocabulary = np.unique(every)
     term = np.searchsorted(vocabulary, every).astype(np.int32)
     del every
