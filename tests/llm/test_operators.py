@@ -177,6 +177,15 @@ def test_token_shards_read_back(spark, tmp_path):
     assert shard.get(10**12) == []
 
 
+def test_token_shards_of_the_query(spark, monkeypatch):
+    docs = docs_of(spark)
+    got = sorted((r.doc_id, r.n_tokens) for r in Q.op3_token_shards(spark, SF, tokenizer()).collect())
+    assert got == sorted((r.doc_id, len(whole(r.text))) for r in docs.collect())
+    assert sstable.shards_for(docs, 3) == 3
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 1000)
+    assert sstable.shards_for(docs, 3) > 30
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="abAB é'É,.|!* \n\t3ß́ \x1c…<|>", max_size=40))
 def test_encoder_equals_the_library(text):
@@ -561,6 +570,30 @@ def test_block_max_search_is_exact(seed, k):
         np.testing.assert_allclose(value, score[want], atol=2e-5)
 
 
+def test_texts_beyond_one_slice_are_read_whole(spark):
+    long = " ".join(f"{PROSE} {k}" for k in range(25000))
+    assert len(long) > 2 * textkit.SLICE_BYTES
+    df = spark.createDataFrame([(1, long, "s"), (2, PROSE, "t"), (3, long, "u")], "doc_id long, text string, source string")
+    n = len(tokens(long))
+    packed = packing.pack(df, mixing.tokens("text"), F.xxhash64("text"), 2048).where("doc_id = 1").agg(F.sum("n_tokens")).first()[0]
+    assert packed == n
+    assert {r["__mix"].copies for r in mixing.read_times(mixing.mixture(df), df).collect()} <= {0, 1, 2}
+    rules = {r.doc_id: r for r in quality_rules.quality_rules(df, df.where("doc_id = 2").select("doc_id")).collect()}
+    assert (rules[1].n_words, rules[1].log_ratio) == (n, rules[3].log_ratio)
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, width=5).collect()}
+    w = tokens(long)
+    assert near[1] == (len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}), 1)
+    assert near[3] == near[1]
+    crf = quality_crf.quality_crf(df, quality_crf.train(["good line", "*** |||"], [1, 0])).collect()
+    lang = language.identify_language(df, language.train([(1, "en", PROSE), (2, "de", "der die und das ist nicht")])).collect()
+    tox = toxicity.toxicity(df, toxicity.train(examples_of(spark, [(k, ("you idiot " if k % 2 else "kind word ") + PROSE, k % 2) for k in range(20)]))).collect()
+    for rows in (crf, lang, tox):  # equal texts are answered alike
+        a, b = (next(r for r in rows if r.doc_id == k) for k in (1, 3))
+        assert a.score == b.score
+    model = {r.doc_id: r for r in context_tree.language_model(df.withColumn("t", F.lit(True)), "t").collect()}
+    assert (model[1].n_tokens, model[1].score) == (n + 1, model[3].score)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

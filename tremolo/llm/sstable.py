@@ -280,7 +280,7 @@ class Encoder:
 
 def shards_for(df: DataFrame, least: int) -> int:
     """Shards of about SHARD_BYTES of input by the size that the plan expects, at least ``least``."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(-(-size // SHARD_BYTES), 1 << 20)) if size < 1 << 60 else least
 
 
