@@ -17,6 +17,7 @@ its shard whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -197,6 +198,27 @@ class Reader:
         return out
 
 
+#: A pre-tokenizer whose pieces don't cross white space: what the pattern matches is kept, the rest goes.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def piecewise(spec: dict) -> bool:
+    """Whether a tokenizers file is of the kind whose texts may be encoded piece by piece: lower case, split at white space, plain merges, nothing added."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = spec.get("model") or {}
+    return (
+        [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+        and (parts[0].get("pattern"), parts[0].get("behavior"), parts[0].get("invert")) == ({"Regex": _SPLIT}, "Removed", True)
+        and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("byte_fallback")
+        and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
+        and all(a["content"].startswith("<|") and not (a.get("lstrip") or a.get("rstrip") or a.get("normalized")) for a in spec.get("added_tokens", []))
+    )
+
+
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -205,7 +227,8 @@ class Encoder:
 
     Such a tokenizer gives a text the ids of its pieces between blanks, one after the other, with
     A-Z as a-z. So each distinct piece is encoded once and its ids are remembered: plain words by the
-    tokenizer's model, all others many in one call with the end-of-text mark between them. A text that may hold a mark of its own is encoded whole.
+    tokenizer's model, all others many in one call with the end-of-text mark between them. A text that may hold a mark of its own is encoded whole,
+    and so is every text if the file says that its tokenizer isn't of this kind.
     """
 
     MARK = "<|endoftext|>"
@@ -215,6 +238,7 @@ class Encoder:
     #: How byte-level vocabularies spell bytes that don't print: the n-th of them as character 256 + n.
     _SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
     _SHARED: dict[str, dict[bytes, bytes]] = {}
+    _PIECEWISE: dict[str, bool] = {}
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -222,6 +246,10 @@ class Encoder:
 
         self.tokenizer, self.known, self.end = Tokenizer.from_file(path), self._SHARED.setdefault(path, {b"": b""}), np.uint32(end_id).tobytes()
         self.mark = self.tokenizer.token_to_id(self.MARK)
+        if path not in self._PIECEWISE:
+            with open(path, encoding="utf-8") as file:
+                self._PIECEWISE[path] = self.mark is not None and piecewise(json.load(file))
+        self.piecewise = self._PIECEWISE[path]
 
     def _learn(self, pieces: list[bytes]) -> None:
         tokenize, match, known, rest, ended = self.tokenizer.model.tokenize, self._WORD.fullmatch, self.known, [], []
@@ -256,7 +284,7 @@ class Encoder:
         cut, new = [], set()
         for text in texts:
             data = text.encode().lower()
-            if b"<|" in data or self.mark is None:
+            if not self.piecewise or b"<|" in data:
                 cut.append(None)
             else:
                 pieces = data.replace(b"\n", b" ").split(b" ")
