@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tremolo.llm.textkit import annotate, buffers, hash_share
 
 MAX_N, DIMENSIONS, RIDGE = 3, 1 << 13, 1e-2
-TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 300, 48
+TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MOST_LANGUAGES = 300, 48, 256
 FIELDS = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
 _RNG = np.random.default_rng(5)
 _BYTE = _RNG.integers(0, DIMENSIONS, (3, 256), dtype=np.uint16)
@@ -66,14 +66,18 @@ def presence(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, allowed: Column, per_language: int = TRAIN_PER_LANGUAGE) -> list[tuple[int, str, str]]:
-    """(doc_id, lang, text), about per_language for each language, chosen by a hash: a documented bound times the few languages."""
+    """(doc_id, lang, text), about per_language for each language, chosen by a hash: a documented bound times the languages.
+
+    More than MOST_LANGUAGES different values of lang raise an error: a model has a row of weights for each.
+    """
     able = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = able.groupBy("lang").count().collect()
+    sizes = able.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if not sizes:
         return []
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (hash_share("doc_id") < per_language / max(r["count"], 1)))
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], per_language / r["count"])])
+    chosen = hash_share("doc_id") < F.element_at(share, F.col("lang"))
     return sorted((r[0], r[1], r[2]) for r in able.where(chosen).select("doc_id", "lang", "text").collect())
 
 
