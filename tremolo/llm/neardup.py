@@ -29,7 +29,9 @@ from tremolo.llm.textkit import LOWER, annotate, buffers, cut, mix, word_hashes
 LANES, CHUNKS = 50, 10
 #: Nodes of a key that are compared in one task, against as many.
 BLOCK = 512
-#: By default, pairs whose signatures differ in more lanes aren't verified: at J = 0.8 that is 3e-6 of the links. LANES verifies all that meet.
+#: Shingles of the nodes of a block, about: a tile holds twice as many hashes of 8 bytes, or those of two longer sets.
+BLOCK_SHINGLES = 1 << 22
+#: By default, pairs whose signatures differ in more lanes aren't verified: at J = 0.8 that is 2.1e-6 of the links. LANES verifies all that meet.
 MOST_DIFFERING = 24
 
 _RNG = np.random.default_rng(41)
@@ -172,12 +174,14 @@ def _due(sig: np.ndarray, component: np.ndarray, block: np.ndarray, slot: int, a
 def bridges_within(rest: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, most: int) -> DataFrame:
     """Links between components that meet under a key, found tile by tile; of links that join the same two components in a tile, one.
 
-    rest: key, slot, node, component. The nodes under a key are dealt into blocks of about BLOCK;
-    a tile holds two blocks, so no task holds more than that, however many nodes a key has. Tiles
+    rest: key, slot, node, component. The nodes under a key are dealt into blocks of about BLOCK
+    nodes and BLOCK_SHINGLES shingles; a tile holds two blocks, so no task holds more than that,
+    however many nodes a key has and however long their texts are. Tiles
     compare signatures first; only nodes with a close partner go on, with their full sets.
     """
     num, den = round(similarity * 100), 100
-    size = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))
+    size = rest.select("key", "node").join(nodes.select("node", "n_shingles"), "node").groupBy("key").agg(F.least(parts, F.count("*")).cast("int").alias("blocks"))
     dealt = rest.join(size, "key").join(nodes.select("node", "signature"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     held = dealt.groupBy("key", "slot", "blocks", "block").agg(F.collect_list(F.struct("node", "component", "block", "signature")).alias("held"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
