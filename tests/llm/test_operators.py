@@ -139,6 +139,10 @@ def test_language(spark):
     assert "kept" in rows.columns
     assert language.identify_language(empty(spark), model).count() == 0
     assert set(language.identify_language(awkward(spark), None).toPandas().lang_pred) == {"und"}
+    dirty = spark.range(300).selectExpr("id AS doc_id", "'a word' AS text", "concat('l', id) AS lang")
+    assert len(language.sample(dirty.where("doc_id < 200"), F.lit(True))) == 200
+    with pytest.raises(ValueError, match="languages"):
+        language.sample(dirty, F.lit(True))
 
 
 def test_kernel_is_the_blended_spectrum_on_ascii():
@@ -193,6 +197,18 @@ def test_encoder_equals_the_library(text):
     assert np.frombuffer(encode([text])[0], "<u4").tolist() == whole(text)
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    texts = ["One  two,\n three's", "", " a\tB "]
+    encode = sstable.Encoder(path, 7)
+    assert not encode.piecewise
+    assert sstable.Encoder(tokenizer(), 7).piecewise
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
 def brute_measures(text):
     w = tokens(text)
     windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -414,6 +430,8 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     for width in (2, 5):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=width).collect()}
         assert got == brute_near(rows, width, 0.8)
+        monkeypatch.setattr(neardup, "BLOCK", 512)  # the second width: blocks by their shingles
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1000)
 
 
 def test_near_duplicates_awkward(spark):
@@ -445,6 +463,8 @@ def test_exact_top_k(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 2, 65536), (0, 2, 3, 65536), (0, 3, 50, 32768), (50, 1, 0, 32768), (50, 2, 2, 32768), (50, 3, 3, 32768)]
     assert topk.top_k(df.limit(0), df).count() == 0
+    with pytest.raises(Exception, match="beyond the range"):
+        topk.top_k(df.unionByName(df.selectExpr("9L AS vec_id", "array(3e30f) AS embedding", "'x' AS score")), df).count()
 
 
 @settings(max_examples=15, deadline=None)

@@ -26,18 +26,21 @@ def quantised(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, dims, out = [], [], []
-            for k in range(batch.num_rows):
-                row = batch.column(1)[k]
-                if row.is_valid and batch.column(0)[k].is_valid and not row.values.null_count and len(row.values):
-                    x = row.values.to_numpy(zero_copy_only=False).astype(float)
-                    if np.isfinite(x).all():
-                        if len(x) * np.square(scale * x).max() >= 2.0**62:
-                            raise ValueError("a component is beyond the range of 64-bit scores")
-                        ids.append(batch.column(0)[k].as_py())
-                        dims.append(len(x))
-                        out.append(np.floor(scale * x).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["id", "dims", "v"])
+            ids, rows = batch.column(0), batch.column(1)
+            off = rows.offsets.to_numpy().astype(np.int64)
+            x = rows.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(float) * scale  # a null is NaN
+            off, dims = off - off[0], np.diff(off)
+            finite = np.isfinite(x)
+            broken = np.concatenate([[0], np.cumsum(~finite)])
+            whole = (dims > 0) & (broken[off[1:]] == broken[off[:-1]])
+            whole &= rows.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+            own = np.repeat(whole, dims)
+            if (np.repeat(dims, dims)[own] * np.square(x[own]) >= 2.0**62).any():
+                raise ValueError("a component is beyond the range of 64-bit scores")
+            ends = np.concatenate([[0], np.cumsum(8 * dims[whole])]).astype(np.int32)
+            data = np.floor(x[own]).astype(np.int64).tobytes()
+            v = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(whole)), pa.array(dims[whole].astype(np.int32)), v], ["id", "dims", "v"])
 
     source = df.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>"))
     return source.mapInArrow(run, "id long, dims int, v binary")
