@@ -28,7 +28,7 @@ def bars(scores: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
 
 def paper_rows(corrected: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """place, name, line: LaTeX rows, best corrected score first, then raw score, then name."""
-    named = corrected.withColumn("name", F.col("model")) if names is None else corrected.join(F.broadcast(names), "model", "left").withColumn("name", F.coalesce("name", "model"))
+    named = corrected.withColumn("name", F.col("model")) if names is None else corrected.join(names, "model", "left").withColumn("name", F.coalesce("name", "model"))
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.orderBy(F.desc("jss_fixed"), F.desc("jss_original"), "name"))  # a row a judge
