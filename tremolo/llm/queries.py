@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables."""
+"""The operators as queries over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import context_tree, language, mixing, neardup, packing, quality_crf, quality_rules, sstable, topk, toxicity
+from tremolo.llm import context_tree, language, mixing, neardup, packing, quality_crf, quality_rules, sstable, topk, toxicity, trie
 from tremolo.llm.sql import ORACLES
 from tremolo.llm.textkit import held_out, labelled_sample, read_table, shared_dir
 
@@ -85,10 +85,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations: each begins with up to eight turns of its family's lead. Null role or text is empty; rows without a conv_id belong to no conversation. One row a node."""
+    nodes, ends = trie.prefix_trie(trie.steps(trie.digests(read_table(spark, sf_dir, "conversations")), family=5, borrowed=8))
+    found = nodes.join(trie.joined_ids(ends), "key", "left")
+    return found.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_language_id, op3_token_shards, op4_quality_rules, op5_mix_sources, op6_quality_classifier,
-        op7_lm_scoring, op8_near_duplicates, op9_exact_top_k, op10_toxicity,
+        op7_lm_scoring, op8_near_duplicates, op9_exact_top_k, op10_toxicity, op11_prefix_trie,
     )}
 
 

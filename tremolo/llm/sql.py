@@ -77,4 +77,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND log_ratio >= -0.5 AS kept FROM o
 """
 
-ORACLES = {"op4_quality_rules": _RULES, "op5_mix_sources": _MIX, "op8_near_duplicates": _NEAR, "op9_exact_top_k": _TOP}
+#: tab: the table of the checksum that zlib calls crc32; _crc(text) is the checksum of an ASCII text.
+_TAB = "tab AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), n)) AS tab)"
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda q: ascii(q)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_TRIE = rf"""
+WITH {_TAB},
+ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 5 AS b, {_crc("c::VARCHAR")} % 9 AS h FROM ids, tab),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p, coalesce(role, '') AS r, coalesce(text, '') AS x
+      FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT h.c, p, r, x FROM h JOIN o ON o.c = h.b WHERE p < h.h UNION ALL SELECT h.c, p, r, x FROM h JOIN o ON o.c = h.c WHERE p >= h.h),
+d AS (SELECT c, row_number() OVER w AS depth, strlen(x) AS size, string_agg(md5(strlen(r) || ':' || r || x), '' ORDER BY p) OVER (PARTITION BY c ORDER BY p) AS key
+      FROM n WINDOW w AS (PARTITION BY c ORDER BY p)),
+s AS (SELECT c, depth, size, key FROM d UNION ALL SELECT c, 0, 0, '' FROM ids),
+e AS (SELECT c, max(depth) AS depth FROM s GROUP BY c),
+v AS (SELECT key, depth, min(c) AS conv_id, count(*) AS n_convs, min(size) AS size FROM s GROUP BY key, depth),
+u AS (SELECT v.*, p.conv_id AS parent_conv_id, q.key AS parent FROM v LEFT JOIN s q ON q.c = v.conv_id AND q.depth = v.depth - 1 LEFT JOIN v p ON p.key = q.key AND p.depth = q.depth),
+k AS (SELECT parent AS key, depth - 1 AS depth, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k ON k.key = u.key AND k.depth = u.depth),
+t AS (SELECT s.key, s.depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w.size) AS saved_tokens FROM w JOIN s ON s.c = w.conv_id AND s.depth <= w.depth GROUP BY 1, 2),
+z AS (SELECT s.key, s.depth, string_agg(s.c::VARCHAR, ',' ORDER BY s.c) AS ids FROM s JOIN e ON s.c = e.c AND s.depth = e.depth GROUP BY 1, 2)
+SELECT conv_id, w.depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM w JOIN t ON t.key = w.key AND t.depth = w.depth LEFT JOIN z ON z.key = w.key AND z.depth = w.depth
+"""
+
+ORACLES = {"op4_quality_rules": _RULES, "op5_mix_sources": _MIX, "op8_near_duplicates": _NEAR, "op9_exact_top_k": _TOP, "op11_prefix_trie": _TRIE}
