@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import context_tree, language, mixing, neardup, packing, quality_crf, quality_rules, sstable, topk, toxicity, trie
+from tremolo.llm import context_tree, language, mixing, neardup, packing, quality_crf, quality_rules, repair, sstable, topk, toxicity, trie
 from tremolo.llm.sql import ORACLES
 from tremolo.llm.textkit import held_out, labelled_sample, read_table, shared_dir
 
@@ -92,10 +92,25 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of each damaged conversation. Nulls are one blank; a null conv_id is a conversation of its own. One row a conv_id of the table, also where damage left no turn."""
+    conversations = read_table(spark, sf_dir, "conversations")
+    rows = repair.damaged(conversations)
+    at = f"{shared_dir(spark)}/repair-{uuid.uuid4().hex}"
+    repair.plans(rows).write.parquet(at)  # read twice
+    planned = spark.read.parquet(at)
+    whole = repair.text_digests(repair.repaired(rows, planned))
+    out = conversations.select(F.col("conv_id").cast("long").alias("c")).distinct()
+    out = out.join(planned, F.col("c").eqNullSafe(planned["conv_id"]), "left").drop("conv_id")
+    out = out.join(whole, F.col("c").eqNullSafe(whole["conv_id"]), "left").drop("conv_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(F.col("c").alias("conv_id"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_language_id, op3_token_shards, op4_quality_rules, op5_mix_sources, op6_quality_classifier,
-        op7_lm_scoring, op8_near_duplicates, op9_exact_top_k, op10_toxicity, op11_prefix_trie,
+        op7_lm_scoring, op8_near_duplicates, op9_exact_top_k, op10_toxicity, op11_prefix_trie, op12_conversation_repair,
     )}
 
 

@@ -90,7 +90,7 @@ _TRIE = rf"""
 WITH {_TAB},
 ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
 h AS (SELECT c, c - c % 5 AS b, {_crc("c::VARCHAR")} % 9 AS h FROM ids, tab),
-o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p, coalesce(role, '') AS r, coalesce(text, '') AS x
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p, coalesce(role, '') AS r, coalesce(text, '') AS x
       FROM conversations WHERE conv_id IS NOT NULL),
 n AS (SELECT h.c, p, r, x FROM h JOIN o ON o.c = h.b WHERE p < h.h UNION ALL SELECT h.c, p, r, x FROM h JOIN o ON o.c = h.c WHERE p >= h.h),
 d AS (SELECT c, row_number() OVER w AS depth, strlen(x) AS size, string_agg(md5(strlen(r) || ':' || r || x), '' ORDER BY p) OVER (PARTITION BY c ORDER BY p) AS key
@@ -108,4 +108,39 @@ SELECT conv_id, w.depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_c
 FROM w JOIN t ON t.key = w.key AND t.depth = w.depth LEFT JOIN z ON z.key = w.key AND z.depth = w.depth
 """
 
-ORACLES = {"op4_quality_rules": _RULES, "op5_mix_sources": _MIX, "op8_near_duplicates": _NEAR, "op9_exact_top_k": _TOP, "op11_prefix_trie": _TRIE}
+_REPAIR = rf"""
+WITH RECURSIVE {_TAB},
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, tab),
+g AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+m AS (SELECT g, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM r JOIN g ON r.conv_id IS NOT DISTINCT FROM g.conv_id WHERE k <> 0),
+y AS (SELECT g, turn, role, text, left(role, 1) AS f, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS i FROM m),
+o AS (SELECT *, lag(f) OVER (PARTITION BY g ORDER BY i) AS before,
+             CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'd'
+                  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM y),
+t AS (SELECT g, i, f, fault IN ('b', 'd') AS gone, CASE fault WHEN 't' THEN 1 ELSE 0 END AS broken FROM o),
+b AS (
+  SELECT g, 0::BIGINT AS i, {{'c': 0, 'x': ''}} AS z, {{'c': 1000000, 'x': ''}} AS s, {{'c': 1000000, 'x': ''}} AS u, {{'c': 1000000, 'x': ''}} AS a FROM g
+  UNION ALL
+  SELECT b.g, t.i, {{'c': z.c + 3, 'x': z.x || 'D'}},
+    list_min([{{'c': s.c + 3, 'x': s.x || 'D'}}, {{'c': CASE WHEN gone OR f <> 's' THEN 1000000 ELSE z.c + broken END, 'x': z.x || 'K'}}]),
+    list_min([{{'c': u.c + 3, 'x': u.x || 'D'}}, {{'c': CASE WHEN gone THEN 1000000 ELSE z.c + cu END, 'x': z.x || ku}}, {{'c': CASE WHEN gone THEN 1000000 ELSE s.c + cu END, 'x': s.x || ku}},
+              {{'c': CASE WHEN gone THEN 1000000 ELSE a.c + cu END, 'x': a.x || ku}}, {{'c': CASE WHEN gone THEN 1000000 ELSE u.c + 2 + cu END, 'x': u.x || 'I' || ku}}]),
+    list_min([{{'c': a.c + 3, 'x': a.x || 'D'}}, {{'c': CASE WHEN gone THEN 1000000 ELSE u.c + ca END, 'x': u.x || ka}}, {{'c': CASE WHEN gone THEN 1000000 ELSE z.c + 2 + ca END, 'x': z.x || 'I' || ka}},
+              {{'c': CASE WHEN gone THEN 1000000 ELSE s.c + 2 + ca END, 'x': s.x || 'I' || ka}}, {{'c': CASE WHEN gone THEN 1000000 ELSE a.c + 2 + ca END, 'x': a.x || 'I' || ka}}])
+  FROM b JOIN (SELECT *, broken + CASE f WHEN 'u' THEN 0 ELSE 2 END AS cu, CASE f WHEN 'u' THEN 'K' ELSE 'R' END AS ku, broken + CASE f WHEN 'a' THEN 0 ELSE 2 END AS ca, CASE f WHEN 'a' THEN 'K' ELSE 'R' END AS ka FROM t) t
+  ON t.g = b.g AND t.i = b.i + 1),
+n AS (SELECT g, max(i) AS n FROM b GROUP BY g),
+p AS (SELECT b.g, list_min([z, {{'c': s.c + 4, 'x': s.x || 'II'}}, {{'c': u.c + 2, 'x': u.x || 'I'}}, a]) AS p FROM b JOIN n ON b.g = n.g AND b.i = n.n),
+c AS (SELECT g, unnest(string_split(p.x, '')) AS ch, generate_subscripts(string_split(p.x, ''), 1) AS j FROM p WHERE p.x <> ''),
+q AS (SELECT g, ch, j, sum(CASE ch WHEN 'I' THEN 0 ELSE 1 END) OVER w AS i, sum(CASE ch WHEN 'D' THEN 0 ELSE 1 END) OVER w AS place FROM c WINDOW w AS (PARTITION BY g ORDER BY j)),
+l AS (SELECT q.*, o.role, o.text, max(CASE WHEN place = 1 AND ch = 'K' AND f = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.g) AS led FROM q LEFT JOIN o ON o.g = q.g AND o.i = q.i),
+e AS (SELECT g, string_agg(CASE ch WHEN 'K' THEN role ELSE CASE WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE ch WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole FROM l WHERE ch <> 'D' GROUP BY g),
+f AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (i > 1 AND before || f NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY g)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, p.p.c::BIGINT AS cost, p.p.x AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM g JOIN p ON p.g = g.g LEFT JOIN f ON f.g = g.g LEFT JOIN e ON e.g = g.g
+"""
+
+ORACLES = {"op4_quality_rules": _RULES, "op5_mix_sources": _MIX, "op8_near_duplicates": _NEAR, "op9_exact_top_k": _TOP, "op11_prefix_trie": _TRIE, "op12_conversation_repair": _REPAIR}
