@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import context_tree, language, mixing, neardup, packing, quality_crf, quality_rules, repair, sstable, topk, toxicity, trie
+from tremolo.llm import context_tree, language, licences, mixing, neardup, packing, quality_crf, quality_rules, repair, sstable, topk, toxicity, trie
 from tremolo.llm.sql import ORACLES
 from tremolo.llm.textkit import held_out, labelled_sample, read_table, shared_dir
 
@@ -107,10 +107,17 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("c").alias("conv_id"), *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every whole text; null counts as empty. One row a row of documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.licences(docs, keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing, op2_language_id, op3_token_shards, op4_quality_rules, op5_mix_sources, op6_quality_classifier,
-        op7_lm_scoring, op8_near_duplicates, op9_exact_top_k, op10_toxicity, op11_prefix_trie, op12_conversation_repair,
+        op7_lm_scoring, op8_near_duplicates, op9_exact_top_k, op10_toxicity, op11_prefix_trie, op12_conversation_repair, op13_licence_scan,
     )}
 
 

@@ -63,11 +63,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with at most limit bytes of text, or one row."""
+def slices(batch: pa.RecordBatch, text: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of rows with at most limit bytes of the text (a column's name or number), or one row."""
     if not batch.num_rows:
         return
-    _, off = buffers(batch.column(batch.schema.get_field_index(text)))
+    _, off = buffers(batch.column(text))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
@@ -75,12 +75,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = to
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text (and the end) the index of its first word."""
+def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text (and the end) the index of its first word. separator: whether a byte parts words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    gap = SEPARATOR[data]
+    gap = separator[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], after[-1] = True, True
     before[1:], after[:-1] = gap[:-1], gap[1:]
@@ -107,6 +107,19 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hash(prefix_hash(data), s, e), first
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(names: list[str], name: str) -> str:
+    """A name like ``name`` that none of names is, in any case of letters."""
+    taken, found = {n.lower() for n in names}, f"__{name}"
+    while found.lower() in taken:
+        found += "_"
+    return found
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's limits of an Arrow batch, so that a batch of long texts stays small in the JVM and in Python."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
@@ -126,22 +139,22 @@ def annotate(
     """Adds columns computed from whole texts, batch by batch.
 
     kernel(batch, state) returns one Arrow array (or numpy array) a field. Columns of df that bear
-    a new field's name are replaced; those not in keep are not returned.
+    a new field's name are replaced; those not in keep are not returned. Names in keep may hold any
+    character, and none is reserved.
     """
     bound_batches(df.sparkSession)
     new = [n for n, _ in fields]
     kept = [c for c in keep if c not in new]
-    whole = F.col(f"`{text}`").cast("string").alias("__text")
     passed = text in kept and isinstance(df.schema[text].dataType, T.StringType)  # then the text travels once
-    source = df.select(*[whole if passed and c == text else F.col(f"`{c}`") for c in kept], *([] if passed else [whole]))
+    source = df.select(*[quoted(c) for c in kept], *([] if passed else [quoted(text).cast("string").alias(unused(df.columns, "text"))]))
     at_text = kept.index(text) if passed else len(kept)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t, True) for n, t in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            for part in slices(batch, "__text"):
-                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in kernel(part.select([at_text]), state)]
+            for part in slices(batch, at_text):
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in kernel(pa.RecordBatch.from_arrays([part.column(at_text)], ["__text"]), state)]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(kept))] + made, [*kept, *new])
 
     return source.mapInArrow(run, schema)
