@@ -12,14 +12,16 @@ from __future__ import annotations
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.textkit import annotate, buffers, hash_share
+from tremolo.llm.textkit import annotate, buffers, cut, hash_share, one_each
 
 MAX_N, DIMENSIONS, RIDGE = 3, 1 << 13, 1e-2
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, MOST_LANGUAGES = 300, 48, 256
+#: Bytes of the sample's texts.
+SAMPLE_BYTES = 64 << 20
 FIELDS = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
 _RNG = np.random.default_rng(5)
 _BYTE = _RNG.integers(0, DIMENSIONS, (3, 256), dtype=np.uint16)
@@ -65,20 +67,32 @@ def presence(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, allowed: Column, per_language: int = TRAIN_PER_LANGUAGE) -> list[tuple[int, str, str]]:
-    """(doc_id, lang, text), about per_language for each language, chosen by a hash: a documented bound times the languages.
+def sample(docs: DataFrame, allowed: Column, per_language: int = TRAIN_PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str, str]]:
+    """(doc_id, lang, text): at most per_language of each language, the first by a hash of doc_id, and at most most_bytes of text in all.
 
-    More than MOST_LANGUAGES different values of lang raise an error: a model has a row of weights for each.
+    Of rows that share doc_id and lang one is taken. More than MOST_LANGUAGES different values of lang
+    raise an error: a model has a row of weights for each.
     """
     able = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = able.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    sizes = able.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("count")).limit(MOST_LANGUAGES + 1).collect()
     if not sizes:
         return []
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], per_language / r["count"])])
-    chosen = hash_share("doc_id") < F.element_at(share, F.col("lang"))
-    return sorted((r[0], r[1], r[2]) for r in able.where(chosen).select("doc_id", "lang", "text").collect())
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1.5 * per_language / r["count"])])  # a little more than is wanted: the count is near
+    chosen = one_each(able.where(hash_share("doc_id") < F.element_at(share, F.col("lang"))).select("doc_id", "lang", F.col("text").cast("string").alias("text")), ["doc_id", "lang"])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(hash_share("doc_id"), "doc_id"))
+    ranked = cut(chosen.withColumn("place", first).where(F.col("place") <= per_language))
+    left, fits = most_bytes, []
+    for _, name, lang, size in sorted(ranked.select("place", "doc_id", "lang", F.octet_length("text")).collect()):
+        if size <= left:
+            left -= size
+            fits.append((name, lang))
+    if not fits:
+        return []
+    fitting = ranked.sparkSession.createDataFrame(fits, ranked.select("doc_id", "lang").schema)
+    rows = ranked.join(F.broadcast(fitting), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").collect()
+    return sorted((r[0], r[1], r[2]) for r in rows)
 
 
 def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.textkit import cut
+from tremolo.llm.textkit import cut, quoted
 
 #: Pieces packed together. More would pack little tighter: a block leaves a few bins part empty.
 BLOCK = 4096
+#: Copies of one row that are dealt from one array.
+COPIES = 1 << 14
 
 
 def best_fit(size: np.ndarray, source: list, cluster: list, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +68,16 @@ def pack(df: DataFrame, n_tokens: Column, cluster: Column, capacity: int = 2048,
     size are taken in the order of their identifiers. bin_id names the block in its upper bits. An
     empty table gives an empty result; other columns of df play no part.
     """
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("total"))
+    rows = df.select(quoted(id_col).cast("long").alias("id"), quoted(source).cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("total"))
     counted = cut(rows.groupBy("id", "source", "cluster", "total").agg(F.count("*").alias("copies")))  # the texts are read once
     upto = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
-    count = counted.agg(F.sum(F.col("copies") * F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)))).first()[0] or 0
-    blocks = max(1, -(-int(count) // block))
-    pieces = counted.withColumn("copy", upto(F.col("copies"))).withColumn("piece", upto(F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)))).withColumn("start", F.col("piece").cast("long") * capacity)
+    count, most = counted.agg(F.sum(F.col("copies") * F.greatest(F.lit(1), F.ceil(F.col("total") / capacity))), F.max("copies")).first()
+    blocks = max(1, -(-int(count or 0) // block))
+    dozen = counted.withColumn("dozen", upto(F.ceil(F.col("copies") / COPIES)))
+    if (most or 0) > COPIES:  # then many tasks deal one row's copies
+        dozen = dozen.repartition("id", "total", "dozen")
+    single = F.explode(F.sequence(F.col("dozen").cast("long") * COPIES, F.least("copies", (F.col("dozen").cast("long") + 1) * COPIES) - 1))
+    pieces = dozen.withColumn("copy", single).withColumn("piece", upto(F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)))).withColumn("start", F.col("piece").cast("long") * capacity)
     pieces = pieces.withColumn("n", F.least(F.lit(capacity), F.col("total") - F.col("start")))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("id", "piece", "total", "source", "cluster", "copy"), F.lit(blocks)).cast("long"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.textkit import SEPARATOR, annotate, bound_batches, buffers, lines, mix, owner, prefix_hash, slices, span_hash, totals, words
+from tremolo.llm.textkit import SEPARATOR, annotate, bound_batches, buffers, lines, mix, owner, prefix_hash, quoted, slices, span_hash, totals, words
 
 BUCKETS = 1 << 16
 #: Trusted identifiers up to this number are broadcast, more are joined.
@@ -102,9 +102,9 @@ def quality_rules(df: DataFrame, trusted_ids: DataFrame, text: str = "text", id_
     very long texts are read whole. Columns of df that bear a name of FIELDS are replaced. With no
     trusted text every log_ratio is 0 and only the base rules decide. An empty table gives an empty result.
     """
-    trusted = trusted_ids.select(F.col(id_col).alias("i")).where("i is not null").distinct().withColumn("g", F.lit(True))
+    trusted = trusted_ids.select(quoted(id_col).alias("i")).where("i is not null").distinct().withColumn("g", F.lit(True))
     trusted = F.broadcast(trusted) if trusted.count() <= FEW_TRUSTED else trusted
-    flagged = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t")).join(trusted, "i", "left")
+    flagged = df.select(quoted(id_col).alias("i"), quoted(text).alias("t")).join(trusted, "i", "left")
     every, good = counts(flagged.withColumn("g", F.coalesce("g", F.lit(False))), "t", "g")
     ratio = np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((every + 1) / (every.sum() + BUCKETS)) if good.sum() else np.zeros(BUCKETS)
 

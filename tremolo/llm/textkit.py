@@ -146,7 +146,8 @@ def annotate(
     new = [n for n, _ in fields]
     kept = [c for c in keep if c not in new]
     passed = text in kept and isinstance(df.schema[text].dataType, T.StringType)  # then the text travels once
-    source = df.select(*[quoted(c) for c in kept], *([] if passed else [quoted(text).cast("string").alias(unused(df.columns, "text"))]))
+    taken = [quoted(c) for c in kept] + ([] if passed else [quoted(text).cast("string")])
+    source = df.select(*[c.alias(f"c{k}") for k, c in enumerate(taken)])  # a name with a dot can't be handed to Python
     at_text = kept.index(text) if passed else len(kept)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t, True) for n, t in fields])
 
@@ -224,13 +225,39 @@ def owner(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int, remainder: int) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most ``most`` labelled documents outside the held-out fold, in the order of a hash of doc_id.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, most_bytes: int) -> DataFrame:
+    """(doc_id, text, label) of labelled documents outside the held-out fold: at most ``most`` of them, the first by a hash of doc_id, and at most ``most_bytes`` of text.
 
-    The bound makes the broadcast of their identifiers and the collected texts safe. Documents with
-    a null identifier, text or label are no examples.
+    Of rows that share a doc_id one is an example, that of the least hash of its text; of labels that
+    differ the largest holds. Documents with a null identifier, text or label are no examples.
     """
-    able = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
-    ids = able.groupBy("doc_id").agg(F.max(label).cast("int").alias("__label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").toArrow()
+    able = labels.where(quoted(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
+    ids = able.groupBy("doc_id").agg(F.max(quoted(label)).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+    return bounded_texts(one_each(rows, ["doc_id", "label"]), most_bytes)
+
+
+def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and text, one row a key, that of the least hash of its text; combined before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select(keys[0], "text", *keys[1:])
+
+
+def bounded_texts(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """rows (doc_id, text, ...; one an identifier, in bounded number), in the order of a hash of doc_id as long as their texts have room in most_bytes; a text that has none is left out."""
+    rows = cut(rows)
+    sizes = rows.select(F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).collect()
+    left, fits = most_bytes, []
+    for _, name, size in sorted(sizes):
+        if size <= left:
+            left -= size
+            fits.append((name,))
+    if len(fits) == len(sizes):
+        return rows
+    chosen = rows.sparkSession.createDataFrame(fits, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]))
+    return rows.join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int, remainder: int, most_bytes: int = 64 << 20) -> list[tuple[int, str, int]]:
+    """``labelled_texts`` as a list, in the order of doc_id; both bounds hold for any input, so the driver has room."""
+    rows = labelled_texts(docs, labels, label, modulus, remainder, most, most_bytes).toArrow()
     return sorted(zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True))

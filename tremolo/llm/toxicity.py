@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.textkit import LOWER, annotate, bound_batches, buffers, held_out, mix, prefix_hash, slices, span_hash
+from tremolo.llm import textkit
+from tremolo.llm.textkit import LOWER, annotate, bound_batches, buffers, mix, prefix_hash, slices, span_hash
 
 _U64 = np.uint64
 _WORD = np.zeros(256, bool)
@@ -29,6 +30,8 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 PREFIX = 6
 #: Bounds: labelled examples, nearest examples, examples in a block of the index, queries answered together.
 EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 64
+#: Bytes of the examples' texts, which bound their terms.
+EXAMPLE_BYTES = 96 << 20
 #: Terms of more than this share of the examples have their weights in rows, all others in lists; kinds of examples in the layout.
 DENSE, KINDS = 0.05, 16
 #: Cosines are compared to this many decimals, ties by doc_id.
@@ -69,11 +72,9 @@ def known_terms(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tu
     return pair // n, pair % n, count
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int = EXAMPLES) -> DataFrame:
-    """(doc_id, text, label) of at most ``most`` labelled documents outside the held-out fold, the first by a hash of doc_id; their bound makes the broadcast safe."""
-    able = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, remainder))
-    ids = able.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int = EXAMPLES, most_bytes: int = EXAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label) of at most ``most`` labelled documents outside the held-out fold with at most ``most_bytes`` of text, one row an identifier."""
+    return textkit.labelled_texts(docs, labels, label, modulus, remainder, most, most_bytes)
 
 
 def train(examples: DataFrame) -> dict:
@@ -153,7 +154,7 @@ def document_frequencies(df: DataFrame, text: str, vocabulary: np.ndarray) -> tu
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["term", "n"])
 
     bound_batches(df.sparkSession)
-    rows = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = df.select(textkit.quoted(text).cast("string").alias("t")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary) + 1)
     out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
     shared.unpersist()
