@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, toxicity, near duplicates, mixing, packing.
 
 Each stage takes the documents that the stage before it kept, whole; all but the last return the
-columns of documents.
+columns of documents, with their values, whatever their names. In every stage a very long text is
+read whole and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,20 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremolo.llm import mixing, neardup, packing, quality_rules, toxicity
-from tremolo.llm.textkit import cut, read_table, remove, shared_dir
+from tremolo.llm.textkit import cut, quoted, read_table, remove, shared_dir
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
+    """docs with columns named by their place, these names, and those of doc_id and text, so that no column is taken for an operator's."""
+    names = [f"column_{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the log-likelihood ratio; null, empty and short texts go, repeated rows stay or go together."""
-    marked = quality_rules.quality_rules(docs, quality_rules.trusted_documents(read_table(spark, sf_dir, "labels")))
-    return marked.where("kept").select(*docs.columns)
+    rows, names, name, text = _numbered(docs)
+    marked = quality_rules.quality_rules(rows, quality_rules.trusted_documents(read_table(spark, sf_dir, "labels")).withColumnRenamed("doc_id", name), text, name)
+    return marked.where("kept").select(*names).toDF(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half. Learns from the labelled documents of the corpus. Null and empty texts stay."""
+    """Documents whose toxicity score is below one half. Learns from the labelled documents of the corpus. Null and empty texts stay; repeated rows stay or go together."""
     examples = toxicity.labelled_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic", 5, 0)
-    marked = toxicity.toxicity(docs, toxicity.train(examples))
-    return marked.where("predicted = 0").select(*docs.columns)
+    rows, names, _, text = _numbered(docs)
+    marked = toxicity.toxicity(rows, toxicity.train(examples), text)
+    return marked.where("predicted = 0").select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +45,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = neardup.near_duplicates(docs.select("doc_id", "text"), width=5, similarity=0.8)
     marked = cut(groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
-    rest = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    every = [quoted(c) for c in docs.columns]
+    rest = docs.join(marked.select("doc_id"), "doc_id", "left_anti").select(*every)
     twice = marked.where("kept").select("doc_id")
     if twice.isEmpty():
         return rest
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(row))).alias("r"))
-    return rest.unionByName(one.select("r.*"))
+    rows, names, name, text = _numbered(docs)
+    row = F.struct(*names)
+    one = rows.join(twice.withColumnRenamed("doc_id", name), name, "left_semi").groupBy(name).agg(F.min_by(row, F.struct(text, F.xxhash64(row))).alias("row"))
+    return rest.unionByName(one.select("row.*").toDF(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture reads it: no source more than 1.25 times, in all as many tokens as before, to within a document a source.
 
-    A null source is a source of its own; texts without a word follow their source.
+    A null source is a source of its own; texts without a word follow their source. Documents of one doc_id are read alike.
     """
     return mixing.mixed_documents(docs)
 
