@@ -13,7 +13,7 @@ from tremolo import schemas
 from tremolo.functions import decisions as D
 from tremolo.functions import fixed
 from tremolo.operators import agreement, generate, report, runs
-from tremolo.sources import judges, readers, sinks
+from tremolo.sources import judges, logs, readers, sinks
 
 TASKS = [t for t, _, _ in fixed.TASKS]
 
@@ -33,25 +33,33 @@ def suite_of_files(rows: DataFrame, exact: bool) -> DataFrame:
     return suite.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "file")
 
 
-def summarize(spark: SparkSession, logs: str, out: str | None = None, exact: bool = True) -> dict:
+def summarize(spark: SparkSession, folder: str, out: str | None = None, exact: bool = True) -> dict:
     """All seven metrics of every judge and task in a folder of JSON-lines logs, printed and written as JSON.
 
+    A log may be a file, a folder of parts as ``evaluate`` writes it, or both.
+
     exact: intervals of the published generator, drawn in the order of each file's lines, a group in
     one task; otherwise the limit of many replicates, from counts alone.
     """
-    rows, malformed = readers.jsonl_in_order(spark, logs, schemas.JUDGMENT)
-    readers.warn_malformed(malformed)
-    suite = suite_of_files(usable(rows), exact).cache()
-    print(report.CONSOLE_HEAD, *(r.line for r in report.console_rows(suite).collect()), sep="\n")
-    found = sinks.summary_json(suite, out or f"{logs}/../metrics_summary.json")
+    log = logs.read(spark, folder, schemas.JUDGMENT)
+    readers.warn_malformed(log.malformed)
+    suite = suite_of_files(usable(log.rows), exact).cache()
+    print(report.console_head(), *(r.line for r in report.console_rows(suite).collect()), sep="\n")
+    found = sinks.summary_json(suite, out or f"{folder}/../metrics_summary.json")
     suite.unpersist()
+    log.close()
     return found
 
 
 def evaluate(
-    spark: SparkSession, models: list[str], tasks: list[str], n_runs: int, source: str, out: str, dry_run: bool = False, make: Callable[[str], Callable[[], judges.Judge]] = judges.maker, wait: float = 5.0,
+    spark: SparkSession, models: list[str], tasks: list[str], n_runs: int, source: str, out: str, dry_run: bool = False, make: Callable[[str], Callable[[], judges.Judge]] = judges.unpaced, wait: float = 5.0,
+    paced: bool = True, permits: int = 4, at_once: int = 1, batch_rows: int = 200,
 ) -> float:
-    """Asks each judge for each task n_runs times what its log lacks; the estimated cost. A judge without a key or a task without pairs is skipped."""
+    """Asks each judge for each task n_runs times what its log lacks; the estimated cost. A judge without a key or a task without pairs is skipped.
+
+    Answers are in the log batch by batch; one judge is asked at a time, by so many tasks as there
+    are permits, which keep its provider's limit together.
+    """
     total = 0.0
     for model in models:
         try:
@@ -64,12 +72,14 @@ def evaluate(
             if not readers.exists(spark, path):
                 print(f"no pairs at {path}")
                 continue
-            pairs = readers.jsonl(spark, path, schemas.PROMPT_PAIR, bad="drop")
+            pairs = logs.records(spark, path, schemas.PROMPT_PAIR)
             if dry_run:
                 pairs = pairs.orderBy("pair_id").limit(5)
             log = f"{out}/{model}_{task}.jsonl"
-            done = readers.jsonl(spark, log, schemas.JUDGMENT, bad="drop", missing_ok=True)
-            n_ok, cost = runs.evaluate(pairs, model, task, n_runs, made, done, lambda rows, at=log: sinks.append_jsonl(rows, at), known.max_tokens, known.cost_per_1k, wait)
+            n_ok, cost = runs.evaluate(
+                pairs, model, task, n_runs, made, logs.records(spark, log, schemas.JUDGMENT), lambda rows, batch, at=log: sinks.append_jsonl(rows, at, batch), known.max_tokens, known.cost_per_1k, wait,
+                known.pause if paced else 0.0, permits, at_once, batch_rows,
+            )
             print(f"{model} {task}: {n_ok} judged, about {cost:.4f} USD")
             total += cost
     return total
@@ -89,6 +99,9 @@ def main(argv: list[str] | None = None) -> None:
     e.add_argument("--input", default="data/prompt_pairs")
     e.add_argument("--output", default="data/results/raw_outputs")
     e.add_argument("--dry-run", action="store_true", help="five pairs a task")
+    e.add_argument("--permits", type=int, default=4, help="tasks that share a provider's limit")
+    e.add_argument("--at-once", type=int, default=1, help="pairs that a task asks at the same time")
+    e.add_argument("--batch", type=int, default=200, help="pairs between two writes of the log")
     g = todo.add_parser("generate", help="write the prompt pairs")
     g.add_argument("out")
     args = p.parse_args(argv)
@@ -99,7 +112,7 @@ def main(argv: list[str] | None = None) -> None:
         if Path(".env").is_file():
             readers.load_env()
         models = list(judges.REGISTRY) if args.model == "all" else [args.model]
-        evaluate(spark, models, TASKS if args.task == "all" else [args.task], args.runs, args.input, args.output, args.dry_run)
+        evaluate(spark, models, TASKS if args.task == "all" else [args.task], args.runs, args.input, args.output, args.dry_run, permits=args.permits, at_once=args.at_once, batch_rows=args.batch)
     else:
         sinks.by_task_jsonl(generate.generate_pairs(spark), args.out, TASKS)
 

@@ -27,14 +27,23 @@ def cells(df: DataFrame, keys: list[str]) -> DataFrame:
     return counted.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"))
 
 
-_TOTAL = "aggregate(cells, 0L, (s, x) -> s + x.n)"
-_EQUAL = "aggregate(cells, 0L, (s, x) -> s + IF(x.a <=> x.b, x.n, 0L))"
-_CHANCE = "aggregate(cells, 0D, (s, x) -> s + x.n * aggregate(cells, 0D, (t, y) -> t + IF(x.a <=> y.b, double(y.n), 0D)))"
-
-
 def kappa(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_pairs, n_matches, p_o, p_e, cohens_kappa (1 where agreement by chance is certain), from counts of decision pairs."""
-    counted = cells(df, keys).select(*keys, F.expr(_TOTAL).alias("n_pairs"), F.expr(_EQUAL).alias("n_matches"), F.expr(_CHANCE).alias("both"))
+    """keys, n_pairs, n_matches, p_o, p_e, cohens_kappa (1 where agreement by chance is certain).
+
+    Chance agreement needs how often each label is the first and how often the second decision. A row
+    counts for its two labels, sums by group and label are made before the first shuffle, and a
+    second sums their products: linear in the rows, at any number of labels, in any task a few sums.
+    """
+    a, b = F.col("a"), F.col("b")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    sides = F.array(
+        F.struct(a.alias("label"), one.alias("n_a"), zero.alias("n_b"), D.same(a, b).cast("long").alias("n_equal")),
+        F.struct(b.alias("label"), zero.alias("n_a"), one.alias("n_b"), zero.alias("n_equal")),
+    )
+    label = "__label"
+    by_label = df.select(*keys, F.explode(sides).alias("s")).groupBy(*keys, F.col("s.label").alias(label)).agg(*[F.sum(f"s.{n}").alias(n) for n in ("n_a", "n_b", "n_equal")])
+    both = F.sum(F.col("n_a").cast("double") * F.col("n_b"))
+    counted = by_label.groupBy(*keys).agg(F.sum("n_a").alias("n_pairs"), F.sum("n_equal").alias("n_matches"), both.alias("both"))
     p_o, p_e = F.col("n_matches") / F.col("n_pairs"), F.col("both") / (F.col("n_pairs").cast("double") * F.col("n_pairs"))
     out = counted.select(*keys, "n_pairs", "n_matches", p_o.alias("p_o"), p_e.alias("p_e"))
     return out.withColumn("cohens_kappa", F.when(F.abs(1 - F.col("p_e")) < 1e-12, 1.0).otherwise(F.try_divide(F.col("p_o") - F.col("p_e"), 1 - F.col("p_e"))))

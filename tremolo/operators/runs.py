@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tremolo import schemas
 from tremolo.functions import decisions as D
 from tremolo.functions import fixed
+from tremolo.sources import judges
+from tremolo.streaming.batches import in_batches
 
 Judge = Callable[[str], str]
 
@@ -35,37 +37,68 @@ def call(judge: Judge, prompt: str, wait: float = 5.0, sleep: Callable[[float],
             return failed(e)
 
 
-def run_judge(work: DataFrame, make_judge: Callable[[], Judge], wait: float = 5.0, stamp: bool = False) -> DataFrame:
+def permitted(work: DataFrame, permits: int, by: list[str]) -> DataFrame:
+    """work in as many partitions as there are permits, by a hash of ``by``: a partition is one task at a time, so a permit is never used twice at once."""
+    return work.repartitionById(permits, F.pmod(F.xxhash64(*by), F.lit(permits)).cast("int"))
+
+
+def _asked(batches: Iterator[pd.DataFrame], make_judge: Callable[[], Judge], gap: float, at_once: int, one: Callable[[Judge, object], tuple]) -> Iterator[tuple[pd.DataFrame, list[tuple]]]:
+    """Each batch with what ``one`` makes of its rows: a judge a task, calls at the task's pace, at_once rows in flight, rows in order."""
+    judge = judges.Pace(gap).judge(make_judge())
+    for pdf in batches:
+        yield pdf, list(judges.in_flight(pdf.itertuples(index=False), lambda row: one(judge, row), at_once))
+
+
+def run_judge(
+    work: DataFrame, make_judge: Callable[[], Judge], wait: float = 5.0, stamp: bool = False, pause: float = 0.0, permits: int | None = None, at_once: int = 1,
+) -> DataFrame:
     """work (pair_id, task_type, model, run, prompt_a, prompt_b) with both answers, decisions, flip and error; stamp adds the time of the calls, UTC as text.
 
-    make_judge builds a client in each task, which keeps its own pause between calls; the number of
-    partitions of work caps the calls at once.
+    make_judge builds a client in each task. permits: work is dealt to so many tasks, whatever its
+    partitions, and each begins a call every pause * permits seconds at most, so that all of them
+    together keep the pause; speculative copies of tasks would break that. Without permits the
+    partitions of work are the tasks, and each keeps the pause alone. at_once: rows of a task that are
+    asked at the same time; the client must allow it.
     """
+    keep = work.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b")
+    gap = pause * (permits or 1)
+
+    def one(judge: Judge, row) -> tuple:
+        return call(judge, row.prompt_a, wait), call(judge, row.prompt_b, wait), datetime.now(UTC).isoformat()
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = make_judge()
-        for pdf in batches:
-            rows = [(call(judge, a, wait), call(judge, b, wait), datetime.now(UTC).isoformat()) for a, b in zip(pdf["prompt_a"], pdf["prompt_b"], strict=True)]
+        for pdf, rows in _asked(batches, make_judge, gap, at_once, one):
             yield pdf.assign(prompt_a_raw=[r[0] for r in rows], prompt_b_raw=[r[1] for r in rows], timestamp=[r[2] for r in rows])
 
-    keep = work.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b")
-    raw = keep.mapInPandas(ask, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + ", prompt_a_raw string, prompt_b_raw string, timestamp string")
+    source = permitted(keep, permits, ["pair_id", "run"]) if permits else keep
+    raw = source.mapInPandas(ask, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + ", prompt_a_raw string, prompt_b_raw string, timestamp string")
     out = decided(raw).drop("prompt_a", "prompt_b")
     return out if stamp else out.drop("timestamp")
 
 
-def evaluate(pairs: DataFrame, model: str, task: str, runs: int, make_judge: Callable[[], Judge], log: DataFrame, append: Callable[[DataFrame], None], max_tokens: int, cost_per_1k: float, wait: float = 5.0) -> tuple[int, float]:
+def evaluate(
+    pairs: DataFrame, model: str, task: str, runs: int, make_judge: Callable[[], Judge], log: DataFrame, append: Callable[[DataFrame, str], None], max_tokens: int, cost_per_1k: float, wait: float = 5.0,
+    pause: float = 0.0, permits: int = 4, at_once: int = 1, batch_rows: int = 200,
+) -> tuple[int, float]:
     """Judges what the log (pair_id, run, error) lacks, appends full log rows, and returns (successful pairs, estimated cost).
 
-    Rows are written once, by the tasks that asked; the totals come from a count kept while writing. A missing task is the given one.
+    The work goes in batches of at most batch_rows rows, each written by append(rows, name of the
+    batch) before the next is asked: of a run that dies, all batches but the one at hand are in the
+    log, and the next run asks what is left. A missing task is the given one.
     """
     asked = pairs.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumns({"model": F.lit(model), "task_type": F.coalesce("task_type", F.lit(task))})
     todo = pending(asked.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b"), log, ["pair_id", "run"], D.no_error(F.col("error")))
-    judged = run_judge(todo, make_judge, wait, stamp=True)
-    full = judged.withColumns({"prompt_a_decision": F.col("normalized_a"), "prompt_b_decision": F.col("normalized_b")}).select(*schemas.JUDGMENT.names)
-    seen = Observation()
-    append(full.observe(seen, F.count_if(D.no_error(F.col("error"))).alias("n_ok")))
-    n_ok = seen.get["n_ok"]
+    n_ok = 0
+
+    def judged(batch: DataFrame, name: str) -> None:
+        nonlocal n_ok
+        rows = run_judge(batch, make_judge, wait, stamp=True, pause=pause, permits=permits, at_once=at_once)
+        full = rows.withColumns({"prompt_a_decision": F.col("normalized_a"), "prompt_b_decision": F.col("normalized_b")}).select(*schemas.JUDGMENT.names)
+        seen = Observation()
+        append(full.observe(seen, F.count_if(D.no_error(F.col("error"))).alias("n_ok")), name)
+        n_ok += seen.get["n_ok"]
+
+    in_batches(todo, judged, batch_rows)
     return n_ok, n_ok * (fixed.PROMPT_TOKENS + max_tokens) * 2 / 1000.0 * cost_per_1k
 
 
@@ -78,17 +111,19 @@ def validate(judge: Judge, prompt: str, wait: float = 3.0, sleep: Callable[[floa
     return ("YES" if "YES" in raw else "NO" if "NO" in raw else "UNCLEAR"), raw, None
 
 
-def run_validation(pairs: DataFrame, make_judge: Callable[[], Judge], question: str, wait: float = 3.0) -> DataFrame:
-    """pair_id, task_type, validation_decision, raw_response, error of each pair. question: a text with {prompt_a} and {prompt_b}."""
+def run_validation(pairs: DataFrame, make_judge: Callable[[], Judge], question: str, wait: float = 3.0, pause: float = 0.0, permits: int | None = None, at_once: int = 1) -> DataFrame:
+    """pair_id, task_type, validation_decision, raw_response, error of each pair. question: a text with {prompt_a} and {prompt_b}. pause, permits, at_once: as in run_judge."""
+    keep = pairs.select("pair_id", F.coalesce("task_type", F.lit("unknown")).alias("task_type"), "prompt_a", "prompt_b")
+
+    def one(judge: Judge, row) -> tuple:
+        return validate(judge, question.replace("{prompt_a}", row.prompt_a or "").replace("{prompt_b}", row.prompt_b or ""), wait)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = make_judge()
-        for pdf in batches:
-            rows = [validate(judge, question.replace("{prompt_a}", a or "").replace("{prompt_b}", b or ""), wait) for a, b in zip(pdf["prompt_a"], pdf["prompt_b"], strict=True)]
+        for pdf, rows in _asked(batches, make_judge, pause * (permits or 1), at_once, one):
             yield pdf[["pair_id", "task_type"]].assign(validation_decision=[r[0] for r in rows], raw_response=[r[1] for r in rows], error=[r[2] for r in rows])
 
-    keep = pairs.select("pair_id", F.coalesce("task_type", F.lit("unknown")).alias("task_type"), "prompt_a", "prompt_b")
-    return keep.mapInPandas(ask, f"pair_id {keep.schema['pair_id'].dataType.simpleString()}, task_type string, validation_decision string, raw_response string, error string")
+    source = permitted(keep, permits, ["pair_id"]) if permits else keep
+    return source.mapInPandas(ask, f"pair_id {keep.schema['pair_id'].dataType.simpleString()}, task_type string, validation_decision string, raw_response string, error string")
 
 
 def decided(raw: DataFrame) -> DataFrame:

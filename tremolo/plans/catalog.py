@@ -453,16 +453,18 @@ def _stub() -> runs.Judge:
 
 @query()
 def jsonl_permissive_scan(spark, sf_dir):
-    """Event properties as JSON lines, every tenth malformed: rows by state."""
+    """Event properties as JSON lines, every tenth malformed, as many with a field of another type: rows by state."""
     from pyspark.sql import types as T
 
     events = B.table(spark, sf_dir, "events")
-    line = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{bad "), F.col("props"))).otherwise(F.col("props"))
+    digit = F.col("event_id") % 10
+    other = F.concat(F.lit('{"k": "word", "was": '), F.col("props"), F.lit("}"))
+    line = F.when(digit == 0, F.concat(F.lit("{bad "), F.col("props"))).when(digit == 1, F.concat("props", F.lit(" more"))).when(digit == 5, other).otherwise(F.col("props"))
     records = readers.parsed(events.select(line.alias("text")), T.StructType([T.StructField("k", T.LongType())]))
     return records.groupBy(F.col(f"r.{readers.CORRUPT}").isNotNull().alias("corrupt")).agg(F.count("*").alias("n"), F.sum("r.k").alias("k"))
 
 
-ORACLES["jsonl_permissive_scan"] = "SELECT event_id % 10 = 0 AS corrupt, count(*) AS n, sum(CASE WHEN event_id % 10 <> 0 THEN (props->>'k')::BIGINT END)::BIGINT AS k FROM events GROUP BY 1"
+ORACLES["jsonl_permissive_scan"] = "SELECT event_id % 10 < 2 AS corrupt, count(*) AS n, sum(CASE WHEN event_id % 10 NOT IN (0, 1, 5) THEN (props->>'k')::BIGINT END)::BIGINT AS k FROM events GROUP BY 1"
 
 
 @query(f"WITH {B.LABELLED} SELECT task_type, count(*) AS n_pairs, count(*) FILTER (a = b) AS n_matches FROM j2 GROUP BY 1")

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import importlib
 import os
+import threading
 import time
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from tremolo.functions import fixed
@@ -93,6 +96,11 @@ def _mistral(s: Spec, key: str) -> Judge:
 PROVIDERS = {"openai": _openai, "novita": _openai, "dashscope": _openai, "anthropic": _messages, "google": _google, "huggingface": _hub, "mistral": _mistral}
 
 
+def unpaced(name: str) -> Callable[[], Judge]:
+    """maker without a pause: for callers that pace all tasks of a provider together."""
+    return maker(name, paced=False)
+
+
 def maker(name: str, paced: bool = True, sleep: Callable[[float], None] = time.sleep) -> Callable[[], Judge]:
     """A function that makes the judge in a task. The key is read here, on the driver; without it there is no judge (RuntimeError)."""
     s = spec(name)
@@ -118,3 +126,45 @@ def stripped(ask: Judge, pause: float = 0.0, sleep: Callable[[float], None] = ti
                 sleep(pause)
 
     return judge
+
+
+class Pace:
+    """Lets a call begin every ``gap`` seconds at most, whichever thread asks."""
+
+    def __init__(self, gap: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep = gap, clock, sleep
+        self.free, self.lock = 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            now = self.clock()
+            begin = max(now, self.free)
+            self.free = begin + self.gap
+        if begin > now:
+            self.sleep(begin - now)
+
+    def judge(self, ask: Judge) -> Judge:
+        """ask, whose calls keep this pace, repeated ones too."""
+
+        def paced(prompt: str) -> str:
+            self.wait()
+            return ask(prompt)
+
+        return paced
+
+
+def in_flight(items: Iterable, work: Callable, most: int) -> Iterator:
+    """work(item) of each item in order, at most ``most`` of them begun and not yet given back."""
+    if most <= 1:
+        yield from map(work, items)
+        return
+    with ThreadPoolExecutor(most) as pool:
+        begun: deque = deque()
+        for item in items:
+            if len(begun) == most:
+                yield begun.popleft().result()
+            begun.append(pool.submit(work, item))
+        while begun:
+            yield begun.popleft().result()

@@ -6,14 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "_corrupt_record"
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.globStatus(where)
-    return found is not None and len(found) > 0
+from tremolo.sources import logs
+from tremolo.sources.logs import CORRUPT, parsed  # noqa: F401
+from tremolo.sources.shared import exists
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, bad: str = "keep", pattern: str | None = None, missing_ok: bool = False) -> DataFrame:
@@ -24,7 +19,7 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType, bad: str = "keep
     """
     if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], schema)
-    reader = spark.read.option("mode", {"keep": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[bad])
+    reader = spark.read.option("recursiveFileLookup", True).option("mode", {"keep": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[bad])
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if bad == "keep":
@@ -45,8 +40,9 @@ def with_file_key(df: DataFrame, suffix: str, name: str = "file_key") -> DataFra
 
 def judgments(spark: SparkSession, path: str, schema: T.StructType, model: str, task: str, missing_ok: bool = True) -> DataFrame:
     """One judge's rows for one task, out of a folder of logs."""
-    rows = jsonl(spark, path, schema, bad="drop", pattern="*.jsonl", missing_ok=missing_ok)
-    return rows.where((F.col("model") == model) & (F.col("task_type") == task))
+    if not missing_ok and not logs.paths(spark, path):
+        raise FileNotFoundError(path)
+    return logs.records(spark, path, schema).where((F.col("model") == model) & (F.col("task_type") == task))
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -66,25 +62,9 @@ def judges(spark: SparkSession) -> DataFrame:
     return dimension(spark, rows, "model string, ord int, provider string, model_id string, max_tokens int, cost_per_1k double, display string")
 
 
-def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """file, line (from 1), text of every line that isn't blank. A file is one task's work, as a log of one judge and task is small."""
-    reader = spark.read
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    whole = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("k", "text"))
-    return whole.select("file", (F.col("k") + 1).alias("line"), F.btrim("text", F.lit(" \t\r\f\v")).alias("text")).where("text <> ''")
-
-
-def parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """lines with r: the column text as a record; a malformed one stands whole in its field _corrupt_record."""
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    return lines.withColumn("r", F.from_json("text", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-
-
-def jsonl_in_order(spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = "*.jsonl") -> tuple[DataFrame, DataFrame]:
-    """(rows, malformed): rows with the columns file and line added; file, line and text of the lines that are no JSON object."""
-    found, bad = parsed(numbered_lines(spark, path, pattern), schema), F.col(f"r.{CORRUPT}").isNotNull()
-    return found.where(~bad).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields], "file", "line"), found.where(bad).select("file", "line", "text")
+def jsonl_in_order(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed) of a log or a folder of logs: rows with the columns file and line added; file, line and text of the lines that are no JSON object. ``logs.read`` also tells where the table behind them is."""
+    return logs.read(spark, path, schema, pattern)[:2]
 
 
 def warn_malformed(malformed: DataFrame, most: int = 100) -> list[str]:
@@ -103,11 +83,9 @@ def warn_malformed(malformed: DataFrame, most: int = 100) -> list[str]:
 def judgments_by_file(spark: SparkSession, folder: str, schema: T.StructType, model: str, task: str, missing_ok: bool = True) -> DataFrame:
     """The log that is named after its judge and task; if there is none, an empty table or FileNotFoundError."""
     path = f"{folder}/{model}_{task}.jsonl"
-    if not exists(spark, path):
-        if not missing_ok:
-            raise FileNotFoundError(path)
-        return spark.createDataFrame([], schema)
-    return jsonl(spark, path, schema, bad="drop")
+    if not missing_ok and not logs.paths(spark, path):
+        raise FileNotFoundError(path)
+    return logs.records(spark, path, schema)
 
 
 def columns_of(df: DataFrame) -> list[str]:

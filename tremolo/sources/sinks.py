@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import json
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from tremolo.sources import logs
 
-def append_jsonl(df: DataFrame, path: str) -> None:
-    """Adds rows to a folder of JSON lines; null fields are written."""
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+def append_jsonl(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds rows to a log; null fields are written. A log that is a plain file stays as it is, its further rows stand in a folder beside it.
+
+    Each write is a folder of its own in the log, named by the time or by ``batch``, so that logs are read in the order in which they
+    were written; a batch that is written again replaces itself.
+    """
+    at = f"{logs.folder(df.sparkSession, path)}/{batch or f'{time.time_ns():020d}'}"
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(at)
 
 
 def overwrite_jsonl(df: DataFrame, path: str) -> None:
