@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremolo.functions import decisions as D
+from tremolo.operators import drawing
 
 
 def jss(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
@@ -72,24 +73,22 @@ def bootstrap_exact(
 ) -> DataFrame:
     """keys, ci_lower, ci_upper by a seeded generator per group, of metric_fn(decisions_a, decisions_b), by default of the share of equal ones.
 
-    A group is resampled in one task: a byte a row for the default, else its decisions. order: the
-    order that the generator's indices refer to, such as the file and line of a log.
+    order: the order that the generator's indices refer to, such as the file and line of a log. The
+    default metric draws a group's replicates in many tasks (``drawing``); any other metric needs the
+    decisions of a replicate together, so there a group is one task.
     """
+    if metric_fn is None:
+        return drawing.shares(df.withColumn("__m", D.same(F.col("a"), F.col("b"))), "__m", keys, order, replicates, seed, confidence)
     tail = 100 * (1 - confidence) / 2
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         rng, n = np.random.default_rng(seed), len(pdf)
-        if metric_fn is None:
-            m = pdf["m"].to_numpy(np.float64)
-            found = [m[rng.integers(0, n, size=n)].mean() for _ in range(replicates)]
-        else:
-            a, b = pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)
-            found = [metric_fn(list(a[at]), list(b[at])) for at in (rng.integers(0, n, size=n) for _ in range(replicates))]
+        a, b = pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)
+        found = [metric_fn(list(a[at]), list(b[at])) for at in (rng.integers(0, n, size=n) for _ in range(replicates))]
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci_lower": [np.percentile(found, tail)], "ci_upper": [np.percentile(found, 100 - tail)]})
 
-    use = [D.same(F.col("a"), F.col("b")).cast("byte").alias("m")] if metric_fn is None else ["a", "b"]
-    source = df.select(*keys, *[c for c in order if c not in keys], *use)
+    source = df.select(*keys, *[c for c in order if c not in keys], "a", "b")
     return source.groupBy(*keys).applyInPandas(one, _interval_schema(source, keys))
 
 

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremolo.functions import decisions as D
+from tremolo.operators.agreement import last_write
 
 #: A pair dimension of at most this many rows is broadcast.
 FEW_PAIRS = 1 << 20
 
 
-def with_templates(log: DataFrame, pairs: DataFrame, known_only: bool = False) -> DataFrame:
-    """log with the templates ta and tb of its pair, UNKNOWN for a pair that the dimension (pair_id, ta, tb) lacks; such rows go if known_only."""
-    side = pairs.select("pair_id", "ta", "tb").dropDuplicates(["pair_id"])
-    side = F.broadcast(side) if pairs.count() <= FEW_PAIRS else side
+def pair_dimension(pairs: DataFrame, sequence: list[str] | None = None) -> DataFrame:
+    """pair_id, ta, tb: of rows that share a pair_id the last by sequence (such as a log's file and line), then by the largest templates."""
+    return last_write(pairs.select("pair_id", "ta", "tb", *(sequence or [])), ["pair_id"], sequence or []).select("pair_id", "ta", "tb")
+
+
+def with_templates(log: DataFrame, pairs: DataFrame, known_only: bool = False, sequence: list[str] | None = None) -> DataFrame:
+    """log with the templates ta and tb of its pair, UNKNOWN for a pair that the dimension (pair_id, ta, tb) lacks; such rows go if known_only. A repeated pair counts as in pair_dimension."""
+    side = pair_dimension(pairs, sequence)
+    side = F.broadcast(side) if pairs.select("pair_id").limit(FEW_PAIRS + 1).count() <= FEW_PAIRS else side
     joined = log.drop("ta", "tb").join(side, "pair_id", "inner" if known_only else "left")
     return joined.withColumns({t: F.coalesce(t, F.lit("UNKNOWN")) for t in ("ta", "tb")})
 
@@ -81,7 +87,7 @@ def flip_overlap(df: DataFrame, order: DataFrame | None = None, pairs: DataFrame
     )
     if pairs is None:
         return out
-    every = pairs.select("pair_id", D.has_inverted(F.col("ta"), F.col("tb")).alias("has_t4")).dropDuplicates(["pair_id"])
+    every = pair_dimension(pairs).select("pair_id", D.has_inverted(F.col("ta"), F.col("tb")).alias("has_t4"))
     found = every.join(out.drop("has_t4"), "pair_id", "left")
     return found.select("pair_id", "has_t4", F.coalesce("flip_count", F.lit(0)).alias("flip_count"), F.coalesce("flipping_models", F.lit("")).alias("flipping_models"))
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from tremolo import schemas
 from tremolo.functions import decisions as D
 from tremolo.functions import fixed
 from tremolo.operators import agreement, generate, polarity, report, runs, validation
 from tremolo.plans import bindings as B
-from tremolo.sources import readers
-from tremolo.streaming import scores
+from tremolo.sources import logs, readers, shared, sinks
+from tremolo.streaming import latest, scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,3 +472,59 @@ ORACLES["jsonl_permissive_scan"] = "SELECT event_id % 10 < 2 AS corrupt, count(*
 def incremental_jss(spark, sf_dir):
     """The aggregate that the stream keeps, over a table."""
     return scores.running_jss(B.labelled(spark, sf_dir).withColumn("error", F.lit(None).cast("string")), ["task_type"])
+
+
+@query(f"""WITH u AS (SELECT l_returnflag AS task_type, l_partkey::VARCHAR AS a, (l_partkey + l_suppkey % 2)::VARCHAR AS b FROM lineitem), {_KAPPA.format(k='task_type', t='u')}
+  SELECT task_type, n_pairs, round(p_o, 6) AS p_o, round(p_e, 9) AS p_e, round(kappa, 6) AS cohens_kappa FROM kk""")
+def kappa_open_labels(spark, sf_dir):
+    """Chance-corrected agreement where labels are as many as parts."""
+    li = B.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("task_type"), F.col("l_partkey").cast("string").alias("a"), (F.col("l_partkey") + F.col("l_suppkey") % 2).cast("string").alias("b"))
+    return agreement.kappa(li, ["task_type"]).select("task_type", "n_pairs", _six("p_o"), F.round("p_e", 9).alias("p_e"), _six("cohens_kappa"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (ORDER BY event_id) AS line FROM events)
+  SELECT 'malformed' AS kind, line, NULL::BIGINT AS k FROM l WHERE event_id % 10 = 0 UNION ALL SELECT 'record', line, CASE WHEN event_id % 10 = 5 THEN NULL ELSE (props->>'k')::BIGINT END FROM l WHERE event_id % 10 <> 0""")
+def numbered_log_lines(spark, sf_dir):
+    """Events as a log in parts, by event_id, every tenth line malformed and as many with a field of another type, read back with the numbers of its lines."""
+    from pyspark.sql import types as T
+
+    digit = F.col("event_id") % 10
+    line = F.when(digit == 0, F.concat(F.lit("{bad "), F.col("props"))).when(digit == 5, F.lit('{"k": "word"}')).otherwise(F.col("props"))
+    at = shared.fresh(spark, "events")
+    B.table(spark, sf_dir, "events").repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(f"{at}/events.jsonl")
+    log = logs.read(spark, f"{at}/events.jsonl", T.StructType([T.StructField("k", T.LongType())]))
+    shared.remove(spark, at)  # the lines are in the log's table
+    bad = log.malformed.select(F.lit("malformed").alias("kind"), "line", F.lit(None).cast("long").alias("k"))
+    return log.rows.select(F.lit("record").alias("kind"), "line", "k").unionByName(bad)
+
+
+@query("""WITH w AS (SELECT conv_id AS pair_id, turn::INTEGER AS run, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1),
+  r AS (SELECT run, CASE WHEN length(text) % 7 = 0 THEN NULL WHEN contains(text, 'e') THEN 'YES' ELSE 'NO' END AS a, CASE WHEN length(text) % 3 = 0 THEN 'YES' ELSE 'NO' END AS b FROM w)
+  SELECT run, count(*) AS n_rows, count(*) FILTER (a IS NULL) AS n_failed, count(*) FILTER (a = b) AS n_matches FROM r GROUP BY run""")
+def judged_log(spark, sf_dir):
+    """Conversations judged in batches into a log, and the log's totals by run."""
+    work = B.table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    one = work.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    pairs = one.select(F.concat_ws("/", "conv_id", "turn").alias("pair_id"), F.lit("factuality").alias("task_type"), F.concat(F.lit("A"), "text").alias("prompt_a"), F.concat(F.lit("B"), "text").alias("prompt_b"))
+    at = f"{shared.fresh(spark, 'judged')}/stub_factuality.jsonl"
+    runs.evaluate(pairs, "stub", "factuality", 1, _stub, logs.records(spark, at, schemas.JUDGMENT), lambda rows, batch: sinks.append_jsonl(rows, at, batch), 20, 0.0, wait=0, batch_rows=5000)
+    log = logs.records(spark, at, schemas.JUDGMENT).withColumn("turn", F.substring_index("pair_id", "/", -1).cast("int"))
+    return log.groupBy(F.col("turn").alias("run")).agg(
+        F.count("*").alias("n_rows"), F.count_if(~D.no_error(F.col("error"))).alias("n_failed"), F.count_if(D.no_error(F.col("error")) & D.same(F.col("normalized_a"), F.col("normalized_b"))).alias("n_matches"),
+    )
+
+
+_LATEST = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {', '.join(_LATEST)}, l_returnflag, l_linestatus FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(f'{c} DESC' for c in [*_LATEST, 'l_returnflag', 'l_linestatus'])}) = 1""")
+def latest_rows_stream(spark, sf_dir):
+    """The last write of each key over lineitem as a log that grows in four parts: the stream's journal, folded."""
+    keys, at = ["l_orderkey", "l_linenumber"], shared.fresh(spark, "latest")
+    rows = B.table(spark, sf_dir, "lineitem").select(*keys, *_LATEST, "l_returnflag", "l_linestatus")
+    rows.repartition(4, "l_partkey").write.parquet(f"{at}/log")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
+    latest.follow(stream, keys, _LATEST, f"{at}/journal", f"{at}/checkpoint")
+    latest.compact(spark, f"{at}/journal", rows.schema, keys, _LATEST)
+    return latest.current(spark, f"{at}/journal", rows.schema, keys, _LATEST)

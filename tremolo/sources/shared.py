@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder made here where a local session has none."""
     context = spark.sparkContext
-    at = context.getConf().get("spark.checkpoint.dir", None)
-    if at is None and not context._jsc.sc().getCheckpointDir().isEmpty():
-        at = context._jsc.sc().getCheckpointDir().get()
-    if at is None:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="tremolo-")
+    at, known = context.getConf().get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        if at is None:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="tremolo-")
         context.setCheckpointDir(at)
-    return at
+    return at or known.get()
 
 
 def path_of(spark: SparkSession, path: str):
