@@ -1,0 +1,174 @@
+"""Judging that survives a lost job, keeps a provider's limit, and asks several pairs at once; likeness by a model."""
+
+import json
+import threading
+import time
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tremolo import cli, schemas
+from tremolo.operators import generate, runs
+from tremolo.sources import judges, logs
+from tremolo.streaming import batches
+
+
+def pairs_at(tmp_path, n):
+    (tmp_path / "factuality.jsonl").write_text("".join(json.dumps({"pair_id": f"p{k:03d}", "task_type": "factuality", "prompt_a": f"a{k}", "prompt_b": f"b{k}"}) + "\n" for k in range(n)))
+
+
+def test_a_lost_job_keeps_its_answers_and_the_next_asks_the_rest(spark, tmp_path):
+    pairs_at(tmp_path, 40)
+    asked, broken, out = str(tmp_path / "asked"), tmp_path / "broken", str(tmp_path / "out")
+    (tmp_path / "asked").mkdir()
+    broken.touch()
+
+    def make():
+        import os
+        import uuid
+
+        def judge(prompt):
+            if os.path.exists(str(broken)) and len(os.listdir(asked)) >= 36:
+                raise SystemExit("the worker is gone")  # no error of a call: the task fails, and with it the job
+            open(f"{asked}/{prompt}-{uuid.uuid4().hex}", "w").close()
+            return "yes"
+
+        return judge
+
+    run = lambda: cli.evaluate(spark, ["gpt-4o"], ["factuality"], 1, str(tmp_path), out, make=lambda name: make, wait=0, paced=False, permits=1, batch_rows=8)
+    with pytest.raises(Exception, match="(?i)worker|stage|failed|terminated"):
+        run()
+    kept = {r.pair_id for r in logs.records(spark, f"{out}/gpt-4o_factuality.jsonl", schemas.JUDGMENT).collect()}
+    assert len(kept) == 16  # two whole batches of sixteen calls
+    before = Counter(p.name.split("-")[0] for p in (tmp_path / "asked").iterdir())
+    broken.unlink()
+    run()
+    after = Counter(p.name.split("-")[0] for p in (tmp_path / "asked").iterdir())
+    assert all(after[f"{s}{int(k[1:])}"] == before[f"{s}{int(k[1:])}"] == 1 for k in kept for s in "ab")
+    rows = [r.pair_id for r in logs.records(spark, f"{out}/gpt-4o_factuality.jsonl", schemas.JUDGMENT).collect()]
+    assert sorted(rows) == [f"p{k:03d}" for k in range(40)]
+
+
+def test_batches_are_bounded_and_named_in_order(spark):
+    seen = []
+    n = batches.in_batches(spark.range(95).repartition(2), lambda df, name: seen.append((name, sorted(r.id for r in df.collect()))), 20)
+    assert n == len(seen) >= 5
+    assert [x[0] for x in seen] == sorted(x[0] for x in seen)
+    assert all(len(ids) <= 20 for _, ids in seen)
+    assert sorted(i for _, ids in seen for i in ids) == list(range(95))
+    assert batches.in_batches(spark.range(0), lambda df, name: None, 20) == 0
+
+
+def test_a_pace_parts_the_calls_of_all_threads():
+    now, lock, begun = [0.0], threading.Lock(), []
+
+    def sleep(s):
+        with lock:
+            now[0] = max(now[0], now[0] + s)
+
+    pace = judges.Pace(0.5, lambda: now[0], sleep)
+    ask = pace.judge(lambda p: begun.append(now[0]) or p)
+    assert [ask(str(k)) for k in range(4)] == list("0123")
+    assert begun == [0.0, 0.5, 1.0, 1.5]
+    assert judges.Pace(0).judge(str.upper)("x") == "X"
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_permits_keep_the_limit_at_any_number_of_partitions(spark, tmp_path, partitions):
+    asked = str(tmp_path)
+
+    def make():
+        import time
+        import uuid
+
+        def judge(prompt):
+            with open(f"{asked}/{uuid.uuid4().hex}", "w") as f:
+                f.write(repr(time.time()))
+            return "yes"
+
+        return judge
+
+    work = spark.range(24).repartition(partitions).select(F.concat(F.lit("p"), "id").alias("pair_id"), F.lit("factuality").alias("task_type"), F.lit("m").alias("model"), F.lit(1).alias("run"), F.lit("a").alias("prompt_a"), F.lit("b").alias("prompt_b"))
+    judged = runs.run_judge(work, make, wait=0, pause=0.05, permits=3, at_once=2)
+    assert judged.count() == 24
+    assert judged.rdd.getNumPartitions() == 3
+    for p in tmp_path.iterdir():
+        p.unlink()
+    judged.collect()
+    times = np.sort([float(p.read_text()) for p in tmp_path.iterdir()])
+    assert len(times) == 48
+    most = max(np.searchsorted(times, t + 0.5) - k for k, t in enumerate(times))  # calls in any half second
+    assert most <= 0.5 / 0.05 + 3 + 1
+
+
+def test_calls_in_flight_are_bounded_and_come_in_order():
+    state, lock, most = [0], threading.Lock(), [0]
+
+    def work(k):
+        with lock:
+            state[0] += 1
+            most[0] = max(most[0], state[0])
+        time.sleep(0.01 * (k % 3))
+        with lock:
+            state[0] -= 1
+        return k * k
+
+    assert list(judges.in_flight(range(40), work, 5)) == [k * k for k in range(40)]
+    assert 2 <= most[0] <= 5
+    with pytest.raises(ZeroDivisionError):
+        list(judges.in_flight([1, 0, 2], lambda k: 1 / k, 2))
+
+
+def test_retries_are_kept_with_calls_in_flight(spark):
+    def make():
+        seen = Counter()
+        lock = threading.Lock()
+
+        def judge(prompt):
+            with lock:
+                seen[prompt] += 1
+                again = seen[prompt] > 1
+            if prompt.endswith("3") or (prompt.endswith("5") and not again):
+                raise RuntimeError("down")
+            return "yes"
+
+        return judge
+
+    work = spark.range(20).coalesce(1).select(F.col("id").cast("string").alias("pair_id"), F.lit("factuality").alias("task_type"), F.lit("m").alias("model"), F.lit(1).alias("run"), F.concat(F.lit("a"), "id").alias("prompt_a"), F.lit("b").alias("prompt_b"))
+    rows = runs.run_judge(work, make, wait=0, at_once=6).collect()
+    assert [r.pair_id for r in rows] == [str(k) for k in range(20)]
+    assert {r.pair_id for r in rows if r.error} == {"3", "13"}
+    asked = runs.run_validation(work.select("pair_id", "task_type", "prompt_a", "prompt_b"), make, "{prompt_a}", wait=0, permits=2, at_once=3)
+    assert {r.pair_id: r.validation_decision for r in asked.collect()} == {str(k): "ERROR" if k % 10 == 3 else "YES" for k in range(20)}
+
+
+def encoder():
+    loads.append(1)
+    return lambda texts: np.array([[len(t), t.count("e"), 1.0] if t else [0.0, 0.0, 0.0] for t in texts])
+
+
+loads: list = []
+
+
+def test_likeness_by_a_model(spark):
+    df = spark.createDataFrame([("abc", "abc"), ("see", "a"), (None, "x"), ("", "x")], "a string, b string").coalesce(1)
+    got = [r.x for r in df.select(generate.likeness(encoder, F.col("a"), F.col("b")).alias("x")).collect()]
+    u, v = np.array([3, 2, 1.0]), np.array([1, 0, 1.0])
+    assert got == [1.0, round(float(u @ v / np.sqrt(u @ u) / np.sqrt(v @ v)), 4), None, None]
+    assert {r.x for r in df.select(generate.likeness(None, F.col("a"), F.col("b")).alias("x")).collect()} == {1.0}
+    scored = generate.generate_pairs(spark, make_encoder=encoder)
+    assert scored.where("semantic_equivalence_score < 1").count() > 0
+    assert scored.count() == 500 and generate.EQUIVALENT == 0.85  # the threshold leaves no pair out
+    assert generate.generate_pairs(spark).where("semantic_equivalence_score <> 1").isEmpty()
+
+
+def test_judged_responses_without_letters(spark):
+    with_, without = (generate.generate_pairs(spark, lettered=x).where("task_type in ('relevance', 'preference')").select("pair_id", "prompt_a", "response_being_judged") for x in (True, False))
+    both = with_.alias("x").join(without.alias("y"), "pair_id").collect()
+    assert len(both) == 250
+    for _, prompt_x, x, prompt_y, y in both:
+        assert prompt_x == prompt_y
+        left, right = x.split(" | ")
+        assert y == f"{left.removeprefix('A: ')} | {right.removeprefix('B: ')}"

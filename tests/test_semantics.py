@@ -376,7 +376,7 @@ def test_evaluation_appends_and_resumes(spark, tmp_path, capsys):
     pairs = [{"pair_id": f"p{k}", "task_type": "factuality", "prompt_a": f"a{k}", "prompt_b": f"b{k}"} for k in range(7)]
     (tmp_path / "factuality.jsonl").write_text("\n".join(map(json.dumps, pairs)))
     make = lambda name: answering if name != "gpt-4o" else judges.maker(name)
-    run = lambda **how: cli.evaluate(spark, ["gpt-4o-mini"], ["factuality", "coherence"], 2, str(tmp_path), str(tmp_path / "out"), make=make, wait=0, **how)
+    run = lambda **how: cli.evaluate(spark, ["gpt-4o-mini"], ["factuality", "coherence"], 2, str(tmp_path), str(tmp_path / "out"), make=make, wait=0, paced=False, **how)
     first = run(dry_run=True)
     log = lambda: readers.jsonl(spark, str(tmp_path / "out" / "gpt-4o-mini_factuality.jsonl"), schemas.JUDGMENT, bad="fail")
     assert log().count() == 10

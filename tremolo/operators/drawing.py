@@ -83,15 +83,11 @@ def blocks(df: DataFrame, match: str, keys: list[str], order: list[str]) -> Data
     return tagged.mapInPandas(pack, f"{kinds}, part int, number int, n long, bits binary")
 
 
-def shares(df: DataFrame, match: str, keys: list[str], order: list[str], replicates: int, seed: int, confidence: float) -> DataFrame:
-    """keys, ci_lower, ci_upper of the share of rows that match, from the replicates of one generator a group; at most 2^32 rows a group."""
-    packed = F.array_sort(F.collect_list(F.struct("part", "number", "n", "bits")))
-    groups = blocks(df, match, keys, order).groupBy(*keys).agg(F.sum("n").alias("n"), packed.alias("packed"))
-    shared.shared_dir(df.sparkSession)
-    groups = groups.select(*keys, "n", F.col("packed.n").alias("sizes"), F.col("packed.bits").alias("bits")).checkpoint()  # an eighth of a byte a row, read thrice
+def _placed(groups: DataFrame, keys: list[str], seed: int, replicates: int) -> DataFrame:
+    """groups with a row a stretch: begin, end, and how many used values come ahead of it."""
     parts = F.udf(lambda n: stretches(n, n * replicates), "array<struct<begin:long,end:long>>")  # a row a group
     dealt = groups.withColumn("stretch", F.explode(parts("n"))).select(*keys, "n", "sizes", "bits", "stretch.begin", "stretch.end")
-    names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = ", ".join(f"`{k}` {groups.schema[k].dataType.simpleString()}" for k in keys)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,7 +100,21 @@ def shares(df: DataFrame, match: str, keys: list[str], order: list[str], replica
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    placed = dealt.join(ahead, same & (F.col("begin") == F.col("__begin"))).select(*keys, "n", "sizes", "bits", "begin", "end", "ahead").repartition(*keys, "begin")
+    return dealt.join(ahead, same & (F.col("begin") == F.col("__begin"))).select(*keys, "n", "sizes", "bits", "begin", "end", "ahead").repartition(*keys, "begin")
+
+
+def shares(df: DataFrame, match: str, keys: list[str], order: list[str], replicates: int, seed: int, confidence: float) -> DataFrame:
+    """keys, ci_lower, ci_upper of the share of rows that match, from the replicates of one generator a group; at most 2^32 rows a group."""
+    packed = F.array_sort(F.collect_list(F.struct("part", "number", "n", "bits")))
+    groups = blocks(df, match, keys, order).groupBy(*keys).agg(F.sum("n").alias("n"), packed.alias("packed"))
+    shared.shared_dir(df.sparkSession)
+    groups = groups.select(*keys, "n", F.col("packed.n").alias("sizes"), F.col("packed.bits").alias("bits")).checkpoint()  # an eighth of a byte a row, read thrice
+    most = groups.agg(F.max("n")).first()[0] or 0
+    if len(stretches(most or 1, most * replicates)) > 1:
+        placed = _placed(groups, keys, seed, replicates)
+    else:  # a group is one stretch
+        placed = groups.withColumns({"begin": F.lit(0).cast("long"), "end": F.lit(stretches(most or 1, most * replicates)[0][1] * 2).cast("long"), "ahead": F.lit(0).cast("long")}).repartition(*keys)
+    names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -44,8 +44,10 @@ def permitted(work: DataFrame, permits: int, by: list[str]) -> DataFrame:
 
 def _asked(batches: Iterator[pd.DataFrame], make_judge: Callable[[], Judge], gap: float, at_once: int, one: Callable[[Judge, object], tuple]) -> Iterator[tuple[pd.DataFrame, list[tuple]]]:
     """Each batch with what ``one`` makes of its rows: a judge a task, calls at the task's pace, at_once rows in flight, rows in order."""
-    judge = judges.Pace(gap).judge(make_judge())
+    judge = None
     for pdf in batches:
+        if judge is None and len(pdf):
+            judge = judges.Pace(gap).judge(make_judge())
         yield pdf, list(judges.in_flight(pdf.itertuples(index=False), lambda row: one(judge, row), at_once))
 
 

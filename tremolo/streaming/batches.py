@@ -11,7 +11,7 @@ from tremolo.sources import shared
 
 
 def in_batches(work: DataFrame, each: Callable[[DataFrame, str], None], rows: int) -> int:
-    """Calls each(batch, name) for batches of at most ``rows`` rows of work, one after the other; how many there were.
+    """Calls each(batch, name) for batches of 1 to ``rows`` rows of work, one after the other; how many there were.
 
     work is written once, in files of at most ``rows`` rows; a checkpointed stream reads a file a
     batch. Names rise with the batches and from call to call. A batch that fails ends the stream, and
@@ -22,6 +22,8 @@ def in_batches(work: DataFrame, each: Callable[[DataFrame, str], None], rows: in
 
     def run(batch: DataFrame, number: int) -> None:
         nonlocal n
+        if batch.isEmpty():
+            return
         each(batch, f"{began:020d}-{number:08d}")
         n += 1
 
