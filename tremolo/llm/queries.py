@@ -14,7 +14,7 @@ from tremolo.llm.textkit import held_out, labelled_sample, read_table, shared_di
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of 2048 words; texts that are alike to the byte are one duplicate cluster."""
+    """Bins of 2048 words; texts that are alike to the byte are one duplicate cluster. Null and empty texts have one piece without a bin. One row a piece."""
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(docs, mixing.tokens("text"), F.xxhash64("text"), 2048)
 
@@ -28,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """tokenizer: path of the tokenizer's file, on all executors."""
+    """Token ids of every whole text with an end of their own, written as sorted shards and read back; a null text is empty. tokenizer: path of the tokenizer's file, on all executors. One row a row of documents."""
     if tokenizer is None:
         import public_tokenizers
 
@@ -73,20 +73,20 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best other vectors of every fiftieth vector, by the inner product of quantised components. One row a query and rank."""
+    """The five best other vectors of every fiftieth vector, by the inner product of quantised components. Vectors that are null or hold a null or non-finite component take no part. One row a query and rank."""
     vectors = read_table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every whole text by its nearest labelled examples outside the fold, with the examples as evidence. One row a row of documents."""
+    """Toxicity of every whole text by its nearest labelled examples outside the fold, with the examples as evidence. Null and empty texts have no evidence and score below one half. One row a row of documents."""
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.labelled_texts(docs, read_table(spark, sf_dir, "labels"), "toxic", 5, 0))
     return toxicity.toxicity(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the trie of rebuilt conversations: each begins with up to eight turns of its family's lead. Null role or text is empty; rows without a conv_id belong to no conversation. One row a node."""
+    """Nodes of the trie of rebuilt conversations: each begins with up to eight turns of its family's lead. Null role or text is empty; rows without a conv_id belong to no conversation, repeated rows are turns of their own, turns that tie go by a digest. No conversations, no nodes. One row a node."""
     nodes, ends = trie.prefix_trie(trie.steps(trie.digests(read_table(spark, sf_dir, "conversations")), family=5, borrowed=8))
     found = nodes.join(trie.joined_ids(ends), "key", "left")
     return found.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))

@@ -11,12 +11,14 @@ for each role one running minimum stands for all later turns. Costs are found fr
 plan is read from the front, each time the least letter that still leads to the least cost, which
 gives the least audit (D, I, K, R: delete, insert, keep, rerole).
 
-A plan sees one byte a turn. Texts are not in memory with it: they stream past the finished plan.
+A plan holds 32 bytes of costs and a few of flags a turn of its conversation, which is one task's work:
+its turns must be taken in order. Texts are not in memory with it; they stream past the finished plan.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,31 +51,31 @@ _CHOICES = {c: _choices(c) for c in "suaoSUAOx"}
 
 def _plan(codes: str) -> tuple[int, str]:
     n = len(codes)
-    # open_at[i][p]: least cost of the turns from i on, after a retained turn of role p, plus the deletions before i
-    ending = [_DELETE * n + _INSERT * _BETWEEN[p][3] for p in range(4)]
-    open_at, least = [ending], ending
+    # open_at[4 * i + p]: least cost of the turns from i on, after a retained turn of role p, plus the deletions before i
+    open_at = array("q", bytes(32 * (n + 1)))
+    least = [_DELETE * n + _INSERT * _BETWEEN[p][3] for p in range(4)]
+    open_at[4 * n :] = array("q", least)
     for i in range(n - 1, -1, -1):
-        least = list(least)
+        after = tuple(least)
         for role, cost, _ in _CHOICES[codes[i]]:
-            on = cost + open_at[-1][role] - _DELETE  # the deletions before i, not before i + 1
+            on = cost + after[role] - _DELETE  # the deletions before i, not before i + 1
             for p in range(4):
                 if (found := on + _INSERT * _BETWEEN[p][role - 1]) < least[p]:
                     least[p] = found
-        open_at.append(least)
-    open_at.reverse()
+        open_at[4 * i : 4 * i + 4] = array("q", least)
     role, out = _START, []
     for i, code in enumerate(codes):
-        want = open_at[i][role]
-        if open_at[i + 1][role] == want:
+        want, then = open_at[4 * i + role], open_at[4 * i + 4 : 4 * i + 8]
+        if then[role] == want:
             out.append("D")
             continue
         found = min(
             ("I" * _BETWEEN[role][q - 1] + letter, q) for q, cost, letter in _CHOICES[code]
-            if _BETWEEN[role][q - 1] < _NEVER and cost + open_at[i + 1][q] - _DELETE + _INSERT * _BETWEEN[role][q - 1] == want
+            if _BETWEEN[role][q - 1] < _NEVER and cost + then[q] - _DELETE + _INSERT * _BETWEEN[role][q - 1] == want
         )
         out.append(found[0])
         role = found[1]
-    return open_at[0][_START], "".join(out) + "I" * _BETWEEN[role][3]
+    return open_at[_START], "".join(out) + "I" * _BETWEEN[role][3]
 
 
 _short_plan = lru_cache(1 << 14)(_plan)

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 BLOCK, QUERIES = 4096, 256
 #: Shares of the lists after which bounds are compared; so few rows are resolved at once.
 DEPTHS, CANDIDATES = (0.15, 0.35, 0.6), 96
-_SIDE = "struct<id:bigint,key:bigint,v:binary>"
 
 
 def quantised(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:

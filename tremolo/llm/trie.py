@@ -28,7 +28,7 @@ CHUNK = 1 << 16
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, digest (of role and text; null counts as empty), size (UTF-8 bytes of the text). Rows without a conv_id belong to no conversation."""
+    """conv_id, turn, digest (of role and text; null counts as empty), size (UTF-8 bytes of the text). Rows without a conv_id belong to no conversation; other columns play no part; a text of any length is digested whole."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)
     return conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.unhex(F.sha2(whole, 256)).alias("digest"), F.octet_length(text).cast("long").alias("size"))
@@ -46,7 +46,8 @@ def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
 def steps(turns: DataFrame, family: int = 1, borrowed: int = 0) -> DataFrame:
     """conv_id, depth, key, parent (keys of nodes), size, ends: a row for the root and for each turn of each conversation.
 
-    turns: conv_id, turn, digest, size. Turns stand in the order of turn, null first, then of digest.
+    turns: conv_id, turn, digest, size. Turns stand in the order of turn, null first, then of digest;
+    repeated rows are turns of their own.
     With family > 1 a conversation c begins with the first h turns of conversation c - c % family, and
     goes on with its own turns after its first h; h = crc32 of c's decimal text % (borrowed + 1).
     A family's turns pass through one task in order; at most ``borrowed`` of them are held.
