@@ -103,6 +103,76 @@ def test_permits_keep_the_limit_at_any_number_of_partitions(spark, tmp_path, par
     assert most <= 0.5 / 0.05 + 3 + 1
 
 
+def test_judges_together_share_their_providers_limits(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    pairs_at(tmp_path, 12)
+
+    def make_for(name):
+        def make():
+            import time
+            import uuid
+
+            def judge(prompt):
+                with open(f"{asked}/{name}-{uuid.uuid4().hex}", "w") as f:
+                    f.write(repr(time.time()))
+                if name == "mistral-7b" and prompt == "a3":
+                    raise RuntimeError("down")
+                return "yes"
+
+            return judge
+
+        if name == "claude-haiku":
+            raise RuntimeError("no key")
+        return make
+
+    models = ["gpt-4o", "gpt-4o-mini", "mistral-7b", "claude-haiku"]
+    run = lambda: cli.evaluate(spark, models, ["factuality", "coherence"], 1, str(tmp_path), str(tmp_path / "out"), make=make_for, wait=0, paced=False, permits=2, batch_rows=100, together=True)
+    run()
+    for m in models[:3]:
+        rows = logs.records(spark, f"{tmp_path}/out/{m}_factuality.jsonl", schemas.JUDGMENT).collect()
+        assert sorted(r.pair_id for r in rows) == [f"p{k:03d}" for k in range(12)]
+        assert {r.model for r in rows} == {m}
+    assert not (tmp_path / "out" / "claude-haiku_factuality.jsonl").exists()
+    before = Counter(p.name.rsplit("-", 1)[0] for p in asked.iterdir())
+    assert before == {"gpt-4o": 24, "gpt-4o-mini": 24, "mistral-7b": 25}
+    run()  # the failed pair alone is asked again
+    assert Counter(p.name.rsplit("-", 1)[0] for p in asked.iterdir()) == before + Counter({"mistral-7b": 3})
+
+
+def test_a_provider_has_one_limit_for_all_its_judges(spark, tmp_path):
+    def make_for(name):
+        def make():
+            import time
+            import uuid
+
+            def judge(prompt):
+                with open(f"{tmp_path}/{name}-{uuid.uuid4().hex}", "w") as f:
+                    f.write(repr(time.time()))
+                return "yes"
+
+            return judge
+
+        return make
+
+    access = {"x": runs.Access(make_for("x"), "one", 0.05), "y": runs.Access(make_for("y"), "one", 0.05), "z": runs.Access(make_for("z"), "other", 0.02)}
+    model = F.element_at(F.array(*[F.lit(m) for m in access]), (F.col("id") % 3 + 1).cast("int"))
+    work = spark.range(45).select(F.col("id").cast("string").alias("pair_id"), F.lit("factuality").alias("task_type"), model.alias("model"), F.lit(1).alias("run"), F.lit("a").alias("prompt_a"), F.lit("b").alias("prompt_b"))
+    judged = runs.run_judges(work, access, wait=0, permits=2)
+    assert judged.rdd.getNumPartitions() == 4
+    for p in tmp_path.iterdir():
+        p.unlink()
+    rows = judged.collect()
+    assert len(rows) == 45
+    read = lambda names: np.sort([float(p.read_text()) for p in tmp_path.iterdir() if p.name[0] in names])
+    for names, pause, n in (("xy", 0.05, 60), ("z", 0.02, 30)):
+        times = read(names)
+        assert len(times) == n
+        assert max(np.searchsorted(times, t + 0.5) - k for k, t in enumerate(times)) <= 0.5 / pause + 2 + 1
+    with pytest.raises(Exception, match="no access"):
+        runs.run_judges(work.withColumn("model", F.lit("nobody")), access, wait=0).collect()
+
+
 def test_calls_in_flight_are_bounded_and_come_in_order():
     state, lock, most = [0], threading.Lock(), [0]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,35 +54,46 @@ def summarize(spark: SparkSession, folder: str, out: str | None = None, exact: b
 
 def evaluate(
     spark: SparkSession, models: list[str], tasks: list[str], n_runs: int, source: str, out: str, dry_run: bool = False, make: Callable[[str], Callable[[], judges.Judge]] = judges.unpaced, wait: float = 5.0,
-    paced: bool = True, permits: int = 4, at_once: int = 1, batch_rows: int = 200,
+    paced: bool = True, permits: int = 4, at_once: int = 1, batch_rows: int = 200, together: bool = False,
 ) -> float:
     """Asks each judge for each task n_runs times what its log lacks; the estimated cost. A judge without a key or a task without pairs is skipped.
 
-    Answers are in the log batch by batch; one judge is asked at a time, by so many tasks as there
-    are permits, which keep its provider's limit together.
+    Answers are in the logs batch by batch. A judge is asked by so many tasks as there are permits,
+    which keep its provider's limit together. The judges take turns, or, ``together``, are asked in
+    the same jobs, in which those of one provider share its limit.
     """
-    total = 0.0
+    known: dict[str, judges.Spec] = {}
+    access: dict[str, runs.Access] = {}
     for model in models:
         try:
-            made, known = make(model), judges.spec(model)
+            access[model] = runs.Access(make(model), judges.spec(model).provider, judges.spec(model).pause if paced else 0.0)
+            known[model] = judges.spec(model)
         except (RuntimeError, ValueError) as e:
             print(f"skipped {model}: {e}")
-            continue
-        for task in tasks:
-            path = f"{source}/{task}.jsonl"
-            if not readers.exists(spark, path):
-                print(f"no pairs at {path}")
-                continue
-            pairs = logs.records(spark, path, schemas.PROMPT_PAIR)
-            if dry_run:
-                pairs = pairs.orderBy("pair_id").limit(5)
-            log = f"{out}/{model}_{task}.jsonl"
-            n_ok, cost = runs.evaluate(
-                pairs, model, task, n_runs, made, logs.records(spark, log, schemas.JUDGMENT), lambda rows, batch, at=log: sinks.append_jsonl(rows, at, batch), known.max_tokens, known.cost_per_1k, wait,
-                known.pause if paced else 0.0, permits, at_once, batch_rows,
+    found = {}
+    for task in tasks if known else []:
+        if readers.exists(spark, f"{source}/{task}.jsonl"):
+            pairs = logs.records(spark, f"{source}/{task}.jsonl", schemas.PROMPT_PAIR)
+            found[task] = pairs.orderBy("pair_id").limit(5) if dry_run else pairs
+        else:
+            print(f"no pairs at {source}/{task}.jsonl")
+    at = lambda model, task: f"{out}/{model}_{task}.jsonl"
+    log = lambda model, task: logs.records(spark, at(model, task), schemas.JUDGMENT)
+    total, each = 0.0, [(m, t) for m in known for t in found]
+    if together and each:
+        todo = reduce(DataFrame.unionByName, [runs.work_left(found[t].withColumn("task_type", F.lit(t)), m, t, n_runs, log(m, t)) for m, t in each])
+        ok = runs.evaluate_together(todo, access, lambda rows, m, t, name: sinks.append_jsonl(rows, at(m, t), name), wait, permits, at_once, batch_rows)
+    for m, t in each:
+        if together:
+            n_ok = ok.get((m, t), 0)
+        else:
+            a = access[m]
+            n_ok, _ = runs.evaluate(
+                found[t], m, t, n_runs, a.make, log(m, t), lambda rows, name, to=at(m, t): sinks.append_jsonl(rows, to, name), known[m].max_tokens, known[m].cost_per_1k, wait, a.pause, permits, at_once, batch_rows,
             )
-            print(f"{model} {task}: {n_ok} judged, about {cost:.4f} USD")
-            total += cost
+        cost = runs.price(n_ok, known[m].max_tokens, known[m].cost_per_1k)
+        print(f"{m} {t}: {n_ok} judged, about {cost:.4f} USD")
+        total += cost
     return total
 
 
@@ -101,6 +113,7 @@ def main(argv: list[str] | None = None) -> None:
     e.add_argument("--dry-run", action="store_true", help="five pairs a task")
     e.add_argument("--permits", type=int, default=4, help="tasks that share a provider's limit")
     e.add_argument("--at-once", type=int, default=1, help="pairs that a task asks at the same time")
+    e.add_argument("--together", action="store_true", help="ask all judges in the same jobs")
     e.add_argument("--batch", type=int, default=200, help="pairs between two writes of the log")
     g = todo.add_parser("generate", help="write the prompt pairs")
     g.add_argument("out")
@@ -112,7 +125,7 @@ def main(argv: list[str] | None = None) -> None:
         if Path(".env").is_file():
             readers.load_env()
         models = list(judges.REGISTRY) if args.model == "all" else [args.model]
-        evaluate(spark, models, TASKS if args.task == "all" else [args.task], args.runs, args.input, args.output, args.dry_run, permits=args.permits, at_once=args.at_once, batch_rows=args.batch)
+        evaluate(spark, models, TASKS if args.task == "all" else [args.task], args.runs, args.input, args.output, args.dry_run, permits=args.permits, at_once=args.at_once, batch_rows=args.batch, together=args.together)
     else:
         sinks.by_task_jsonl(generate.generate_pairs(spark), args.out, TASKS)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tremolo import schemas
 from tremolo.functions import decisions as D
 from tremolo.functions import fixed
-from tremolo.sources import judges
+from tremolo.sources import judges, shared
 from tremolo.streaming.batches import in_batches
 
 Judge = Callable[[str], str]
@@ -37,47 +38,91 @@ def call(judge: Judge, prompt: str, wait: float = 5.0, sleep: Callable[[float],
             return failed(e)
 
 
-def permitted(work: DataFrame, permits: int, by: list[str]) -> DataFrame:
-    """work in as many partitions as there are permits, by a hash of ``by``: a partition is one task at a time, so a permit is never used twice at once."""
-    return work.repartitionById(permits, F.pmod(F.xxhash64(*by), F.lit(permits)).cast("int"))
+@dataclass(frozen=True)
+class Access:
+    """How a judge is reached: what makes its client in a task, and whose limit it shares: a call every ``pause`` seconds for all judges of the provider."""
 
+    make: Callable[[], Judge]
+    provider: str = ""
+    pause: float = 0.0
+
+
+def permitted(work: DataFrame, permits: int, by: list[str], provider: Column | None = None, providers: int = 1) -> DataFrame:
+    """work with a partition for each provider (a number) and permit, by a hash of ``by``: a partition is one task at a time, so a permit is never used twice at once."""
+    permit = F.pmod(F.xxhash64(*by), F.lit(permits)).cast("int")
+    return work.repartitionById(providers * permits, permit if provider is None else provider * permits + permit)
+
+
+def _asked(batches: Iterator[pd.DataFrame], access: dict[str, Access], permits: int, at_once: int, one: Callable[[Judge, object], tuple]) -> Iterator[tuple[pd.DataFrame, list[tuple]]]:
+    """Each batch with what ``one`` makes of its rows: a client a judge and task, a provider's calls at the task's part of its pace, at_once rows in flight, rows in order."""
+    paces: dict[str, judges.Pace] = {}
+    made: dict[str, Judge] = {}
+
+    def judge_of(row) -> Judge:
+        name = getattr(row, "model", "") if len(access) > 1 or "" not in access else ""
+        if name not in access:
+            raise ValueError(f"no access to a judge named {name}")
+        if name not in made:
+            own = access[name]
+            made[name] = paces.setdefault(own.provider, judges.Pace(own.pause * permits)).judge(own.make())
+        return made[name]
 
-def _asked(batches: Iterator[pd.DataFrame], make_judge: Callable[[], Judge], gap: float, at_once: int, one: Callable[[Judge, object], tuple]) -> Iterator[tuple[pd.DataFrame, list[tuple]]]:
-    """Each batch with what ``one`` makes of its rows: a judge a task, calls at the task's pace, at_once rows in flight, rows in order."""
-    judge = None
     for pdf in batches:
-        if judge is None and len(pdf):
-            judge = judges.Pace(gap).judge(make_judge())
-        yield pdf, list(judges.in_flight(pdf.itertuples(index=False), lambda row: one(judge, row), at_once))
+        yield pdf, list(judges.in_flight(((judge_of(row), row) for row in pdf.itertuples(index=False)), lambda pair: one(*pair), at_once))
 
 
-def run_judge(
-    work: DataFrame, make_judge: Callable[[], Judge], wait: float = 5.0, stamp: bool = False, pause: float = 0.0, permits: int | None = None, at_once: int = 1,
-) -> DataFrame:
+def run_judges(work: DataFrame, access: dict[str, Access], wait: float = 5.0, stamp: bool = False, permits: int | None = None, at_once: int = 1) -> DataFrame:
     """work (pair_id, task_type, model, run, prompt_a, prompt_b) with both answers, decisions, flip and error; stamp adds the time of the calls, UTC as text.
 
-    make_judge builds a client in each task. permits: work is dealt to so many tasks, whatever its
-    partitions, and each begins a call every pause * permits seconds at most, so that all of them
-    together keep the pause; speculative copies of tasks would break that. Without permits the
-    partitions of work are the tasks, and each keeps the pause alone. at_once: rows of a task that are
-    asked at the same time; the client must allow it.
+    access: by name (column model), or one under "" for all rows. permits: work is dealt to so many
+    tasks a provider, whatever its partitions, and each begins a call every pause * permits seconds at
+    most, so that a provider's tasks together keep its pause, and providers don't wait for each other;
+    speculative copies of tasks would break that. Without permits the partitions of work are the tasks,
+    and each keeps the pause alone. at_once: rows of a task that are asked at the same time; the clients
+    must allow it. A judge without access is an error.
     """
     keep = work.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b")
-    gap = pause * (permits or 1)
+    providers = sorted({a.provider for a in access.values()})
 
     def one(judge: Judge, row) -> tuple:
         return call(judge, row.prompt_a, wait), call(judge, row.prompt_b, wait), datetime.now(UTC).isoformat()
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, rows in _asked(batches, make_judge, gap, at_once, one):
+        for pdf, rows in _asked(batches, access, permits or 1, at_once, one):
             yield pdf.assign(prompt_a_raw=[r[0] for r in rows], prompt_b_raw=[r[1] for r in rows], timestamp=[r[2] for r in rows])
 
-    source = permitted(keep, permits, ["pair_id", "run"]) if permits else keep
-    raw = source.mapInPandas(ask, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + ", prompt_a_raw string, prompt_b_raw string, timestamp string")
+    if permits:
+        number = F.create_map(*[F.lit(x) for name, a in access.items() for x in (name, providers.index(a.provider))])  # a judge of the registry each
+        provider = F.lit(0) if len(providers) == 1 else F.coalesce(F.element_at(number, F.col("model")), F.lit(0))
+        keep = permitted(keep, permits, ["pair_id", "run"], provider, len(providers))
+    raw = keep.mapInPandas(ask, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + ", prompt_a_raw string, prompt_b_raw string, timestamp string")
     out = decided(raw).drop("prompt_a", "prompt_b")
     return out if stamp else out.drop("timestamp")
 
 
+def run_judge(
+    work: DataFrame, make_judge: Callable[[], Judge], wait: float = 5.0, stamp: bool = False, pause: float = 0.0, permits: int | None = None, at_once: int = 1,
+) -> DataFrame:
+    """run_judges with one judge, that answers all rows."""
+    return run_judges(work, {"": Access(make_judge, "", pause)}, wait, stamp, permits, at_once)
+
+
+def work_left(pairs: DataFrame, model: str, task: str, runs: int, log: DataFrame) -> DataFrame:
+    """pair_id, task_type, model, run, prompt_a, prompt_b of what the log (pair_id, run, error) lacks of ``runs`` runs of a judge. A missing task is the given one."""
+    asked = pairs.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumns({"model": F.lit(model), "task_type": F.coalesce("task_type", F.lit(task))})
+    return pending(asked.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b"), log, ["pair_id", "run"], D.no_error(F.col("error")))
+
+
+def log_rows(judged: DataFrame) -> DataFrame:
+    """Stamped judgments as rows of a log."""
+    return judged.withColumns({"prompt_a_decision": F.col("normalized_a"), "prompt_b_decision": F.col("normalized_b")}).select(*schemas.JUDGMENT.names)
+
+
+def price(n_ok: int, max_tokens: int, cost_per_1k: float) -> float:
+    """Estimated cost of successful pairs, two calls each."""
+    return n_ok * (fixed.PROMPT_TOKENS + max_tokens) * 2 / 1000.0 * cost_per_1k
+
+
 def evaluate(
     pairs: DataFrame, model: str, task: str, runs: int, make_judge: Callable[[], Judge], log: DataFrame, append: Callable[[DataFrame, str], None], max_tokens: int, cost_per_1k: float, wait: float = 5.0,
     pause: float = 0.0, permits: int = 4, at_once: int = 1, batch_rows: int = 200,
@@ -86,22 +131,38 @@ def evaluate(
 
     The work goes in batches of at most batch_rows rows, each written by append(rows, name of the
     batch) before the next is asked: of a run that dies, all batches but the one at hand are in the
-    log, and the next run asks what is left. A missing task is the given one.
+    log, and the next run asks what is left.
     """
-    asked = pairs.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumns({"model": F.lit(model), "task_type": F.coalesce("task_type", F.lit(task))})
-    todo = pending(asked.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b"), log, ["pair_id", "run"], D.no_error(F.col("error")))
     n_ok = 0
 
     def judged(batch: DataFrame, name: str) -> None:
         nonlocal n_ok
-        rows = run_judge(batch, make_judge, wait, stamp=True, pause=pause, permits=permits, at_once=at_once)
-        full = rows.withColumns({"prompt_a_decision": F.col("normalized_a"), "prompt_b_decision": F.col("normalized_b")}).select(*schemas.JUDGMENT.names)
-        seen = Observation()
-        append(full.observe(seen, F.count_if(D.no_error(F.col("error"))).alias("n_ok")), name)
+        rows, seen = log_rows(run_judge(batch, make_judge, wait, True, pause, permits, at_once)), Observation()
+        append(rows.observe(seen, F.count_if(D.no_error(F.col("error"))).alias("n_ok")), name)
         n_ok += seen.get["n_ok"]
 
-    in_batches(todo, judged, batch_rows)
-    return n_ok, n_ok * (fixed.PROMPT_TOKENS + max_tokens) * 2 / 1000.0 * cost_per_1k
+    in_batches(work_left(pairs, model, task, runs, log), judged, batch_rows)
+    return n_ok, price(n_ok, max_tokens, cost_per_1k)
+
+
+def evaluate_together(todo: DataFrame, access: dict[str, Access], append: Callable[[DataFrame, str, str, str], None], wait: float = 5.0, permits: int = 4, at_once: int = 1, batch_rows: int = 2000) -> dict[tuple[str, str], int]:
+    """Judges ``work_left`` of many judges in the same jobs, each provider at its own limit; successful pairs by judge and task.
+
+    A batch holds rows of all judges. Its answers are kept in the shared folder, then given out by
+    append(rows, judge, task, name of the batch), before the next batch is asked.
+    """
+    spark, ok = todo.sparkSession, {}
+
+    def judged(batch: DataFrame, name: str) -> None:
+        at = shared.fresh(spark, "answers")
+        rows = shared.stored(log_rows(run_judges(batch, access, wait, True, permits, at_once)), at)
+        for r in rows.groupBy("model", "task_type").agg(F.count_if(D.no_error(F.col("error"))).alias("n")).collect():  # a row a log
+            append(rows.where((F.col("model") == r.model) & (F.col("task_type") == r.task_type)), r.model, r.task_type, name)
+            ok[r.model, r.task_type] = ok.get((r.model, r.task_type), 0) + r.n
+        shared.remove(spark, at)
+
+    in_batches(todo.repartition("pair_id", "run"), judged, batch_rows)
+    return ok
 
 
 def validate(judge: Judge, prompt: str, wait: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str, str | None]:
@@ -121,7 +182,7 @@ def run_validation(pairs: DataFrame, make_judge: Callable[[], Judge], question:
         return validate(judge, question.replace("{prompt_a}", row.prompt_a or "").replace("{prompt_b}", row.prompt_b or ""), wait)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, rows in _asked(batches, make_judge, pause * (permits or 1), at_once, one):
+        for pdf, rows in _asked(batches, {"": Access(make_judge, "", pause)}, permits or 1, at_once, one):
             yield pdf[["pair_id", "task_type"]].assign(validation_decision=[r[0] for r in rows], raw_response=[r[1] for r in rows], error=[r[2] for r in rows])
 
     source = permitted(keep, permits, ["pair_id"]) if permits else keep
