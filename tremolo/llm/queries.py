@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremolo.llm import context_tree, language, licences, mixing, neardup, packing, quality_crf, quality_rules, repair, sstable, topk, toxicity, trie
 from tremolo.llm.sql import ORACLES
-from tremolo.llm.textkit import held_out, labelled_sample, read_table, shared_dir
+from tremolo.llm.textkit import held_out, labelled_sample, read_table, release, shared_dir
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text by its nearest labelled examples outside the fold, with the examples as evidence. Null and empty texts have no evidence and score below one half. One row a row of documents."""
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.labelled_texts(docs, read_table(spark, sf_dir, "labels"), "toxic", 5, 0))
-    return toxicity.toxicity(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    scored = toxicity.toxicity(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    del model
+    release()
+    return scored
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

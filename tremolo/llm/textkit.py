@@ -7,6 +7,10 @@ and not the size of a partition.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import platform
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -190,6 +194,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at or context._jsc.sc().getCheckpointDir().get()
 
 
+def release() -> None:
+    """Gives freed memory of this process back to the machine: garbage, Arrow's pool, and what the C library keeps (where it is glibc)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and platform.libc_ver()[0] == "glibc":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder of any file system that Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

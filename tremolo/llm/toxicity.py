@@ -157,7 +157,7 @@ def document_frequencies(df: DataFrame, text: str, vocabulary: np.ndarray) -> tu
     rows = df.select(textkit.quoted(text).cast("string").alias("t")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary) + 1)
     out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
-    shared.unpersist()
+    shared.destroy()
     return int(out[-1]), out[:-1]
 
 
