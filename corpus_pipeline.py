@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremolo.llm import mixing, neardup, packing, quality_rules, toxicity
-from tremolo.llm.textkit import cut, quoted, read_table, remove, shared_dir
+from tremolo.llm.textkit import cut, quoted, read_table, release, remove, shared_dir
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
@@ -35,6 +35,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     examples = toxicity.labelled_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic", 5, 0)
     rows, names, _, text = _numbered(docs)
     marked = toxicity.toxicity(rows, toxicity.train(examples), text)
+    release()  # the executors have the index; later stages need the driver's memory
     return marked.where("predicted = 0").select(*names).toDF(*docs.columns)
 
 
