@@ -52,7 +52,10 @@ def test_parallel_intervals_equal_one_generator(spark, monkeypatch):
     rows += [(None, k, "A", "B") for k in range(20)] + [(9, k, None, None) for k in range(5)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "g int, k int, a string, b string").repartition(5)
-    got = {r.g: (r.ci_lower, r.ci_upper) for r in agreement.bootstrap_exact(df, ["g"], ["k"], 60).collect()}
+    read = lambda: {r.g: (r.ci_lower, r.ci_upper) for r in agreement.bootstrap_exact(df, ["g"], ["k"], 60).collect()}
+    got = read()
+    monkeypatch.setattr(drawing, "STRETCH", 1 << 24)
+    assert read() == got  # a group a task
     assert len(got) == 6
     tail = 100 * (1 - 0.95) / 2  # not quite 2.5, as published
     for g in got:

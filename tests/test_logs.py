@@ -17,19 +17,19 @@ def write(path, *lines):
 
 
 def test_lines_are_numbered_across_splits(spark, tmp_path):
-    texts = [("" if k % 7 == 0 else "{bad" if k % 10 == 1 else json.dumps({"pair_id": f"p{k}"})) for k in range(1, 3001)]
+    texts = [("" if k % 7 == 0 else "{bad" if k % 10 == 1 else json.dumps({"pair_id": f"p{k}"})) for k in range(1, 1001)]
     write(tmp_path / "a.jsonl", *texts)
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "999")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "800")
     try:
-        assert logs.lines(spark, str(tmp_path)).select("block").distinct().count() > 40
+        assert logs.lines(spark, str(tmp_path)).select("block").distinct().count() > 10
         log = logs.read(spark, str(tmp_path), schemas.JUDGMENT)
         got = {r.line: r.pair_id for r in log.rows.collect()}
         bad = {r.line for r in log.malformed.collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
-    assert got == {k: f"p{k}" for k in range(1, 3001) if texts[k - 1].startswith('{"')}
-    assert bad == {k for k in range(1, 3001) if texts[k - 1] == "{bad"}
+    assert got == {k: f"p{k}" for k in range(1, 1001) if texts[k - 1].startswith('{"')}
+    assert bad == {k for k in range(1, 1001) if texts[k - 1] == "{bad"}
     log.close()
 
 

@@ -51,10 +51,9 @@ def stretches(n: int, draws: int) -> list[tuple[int, int]]:
     return list(zip(ends[:-1], ends[1:], strict=True))
 
 
-def blocks(df: DataFrame, match: str, keys: list[str], order: list[str]) -> DataFrame:
-    """keys, part, number, n, bits: the group's matches in order, packed; a group is sorted in many tasks."""
+def blocks(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, part, number, n, bits: the group's matches (__bit) in order, packed; a group is sorted in many tasks."""
     rest = [c for c in order if c not in keys]
-    rows = df.select(*keys, *rest, F.coalesce(match, F.lit(False)).alias("__bit"))
     placed = rows.repartitionByRange(*keys, *rest).sortWithinPartitions(*keys, *rest) if rest or keys else rows.coalesce(1)
     tagged = placed.select(*keys, F.xxhash64(*keys).alias("__group"), F.spark_partition_id().alias("__part"), "__bit")
 
@@ -79,22 +78,20 @@ def blocks(df: DataFrame, match: str, keys: list[str], order: list[str]) -> Data
         if held:
             yield flush()
 
-    kinds = ", ".join(f"`{k}` {tagged.schema[k].dataType.simpleString()}" for k in keys)
-    return tagged.mapInPandas(pack, f"{kinds}, part int, number int, n long, bits binary")
+    return tagged.mapInPandas(pack, f"{_kinds(tagged, keys)}part int, number int, n long, bits binary")
 
 
 def _placed(groups: DataFrame, keys: list[str], seed: int, replicates: int) -> DataFrame:
     """groups with a row a stretch: begin, end, and how many used values come ahead of it."""
     parts = F.udf(lambda n: stretches(n, n * replicates), "array<struct<begin:long,end:long>>")  # a row a group
     dealt = groups.withColumn("stretch", F.explode(parts("n"))).select(*keys, "n", "sizes", "bits", "stretch.begin", "stretch.end")
-    names = ", ".join(f"`{k}` {groups.schema[k].dataType.simpleString()}" for k in keys)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [sum(len(x) for x in used(seed, int(n), b, e)) if threshold(int(n)) else 2 * (e - b) for n, b, e in zip(pdf["n"], pdf["begin"], pdf["end"], strict=True)]
             yield pdf[[*keys, "begin"]].assign(found=found)
 
-    counted = dealt.select(*keys, "n", "begin", "end").repartition(*keys, "begin").mapInPandas(count, f"{names}, begin long, found long")
+    counted = dealt.select(*keys, "n", "begin", "end").repartition(*keys, "begin").mapInPandas(count, f"{_kinds(groups, keys)}begin long, found long")
     ahead = F.coalesce(F.sum("found").over(Window.partitionBy(*keys).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a stretch
     ahead = counted.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("begin").alias("__begin"), ahead.alias("ahead"))
     same = F.lit(True)
@@ -105,16 +102,40 @@ def _placed(groups: DataFrame, keys: list[str], seed: int, replicates: int) -> D
 
 def shares(df: DataFrame, match: str, keys: list[str], order: list[str], replicates: int, seed: int, confidence: float) -> DataFrame:
     """keys, ci_lower, ci_upper of the share of rows that match, from the replicates of one generator a group; at most 2^32 rows a group."""
+    rows = df.select(*keys, *[c for c in order if c not in keys], F.coalesce(match, F.lit(False)).alias("__bit"))
+    largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest * replicates <= STRETCH:
+        return _alone(rows, keys, order, replicates, seed, confidence)
+    return _dealt(rows, keys, order, replicates, seed, confidence)
+
+
+def _ends(found: np.ndarray, confidence: float) -> list[float]:
+    tail = 100 * (1 - confidence) / 2
+    return np.percentile(found, [tail, 100 - tail]).tolist()
+
+
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+
+def _alone(rows: DataFrame, keys: list[str], order: list[str], replicates: int, seed: int, confidence: float) -> DataFrame:
+    """shares where each group is a task: no group has more draws than one stretch."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, rng = pdf.sort_values(order, kind="stable")["__bit"].to_numpy(float), np.random.default_rng(seed)
+        low, high = _ends([m[rng.integers(0, len(m), size=len(m))].mean() for _ in range(replicates)], confidence)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ci_lower": [low], "ci_upper": [high]})
+
+    return rows.groupBy(*keys).applyInPandas(one, f"{_kinds(rows, keys)}ci_lower double, ci_upper double")
+
+
+def _dealt(rows: DataFrame, keys: list[str], order: list[str], replicates: int, seed: int, confidence: float) -> DataFrame:
+    """shares where a group's draws are dealt to many tasks."""
     packed = F.array_sort(F.collect_list(F.struct("part", "number", "n", "bits")))
-    groups = blocks(df, match, keys, order).groupBy(*keys).agg(F.sum("n").alias("n"), packed.alias("packed"))
-    shared.shared_dir(df.sparkSession)
-    groups = groups.select(*keys, "n", F.col("packed.n").alias("sizes"), F.col("packed.bits").alias("bits")).checkpoint()  # an eighth of a byte a row, read thrice
-    most = groups.agg(F.max("n")).first()[0] or 0
-    if len(stretches(most or 1, most * replicates)) > 1:
-        placed = _placed(groups, keys, seed, replicates)
-    else:  # a group is one stretch
-        placed = groups.withColumns({"begin": F.lit(0).cast("long"), "end": F.lit(stretches(most or 1, most * replicates)[0][1] * 2).cast("long"), "ahead": F.lit(0).cast("long")}).repartition(*keys)
-    names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    groups = blocks(rows, keys, order).groupBy(*keys).agg(F.sum("n").alias("n"), packed.alias("packed"))
+    shared.shared_dir(rows.sparkSession)
+    groups = groups.select(*keys, "n", F.col("packed.n").alias("sizes"), F.col("packed.bits").alias("bits")).checkpoint()  # an eighth of a byte a row, read twice
+    kinds = _kinds(rows, keys)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,18 +151,16 @@ def shares(df: DataFrame, match: str, keys: list[str], order: list[str], replica
                 some = np.union1d(np.flatnonzero(sums), [0])  # a group without a match has a row too
                 yield pd.DataFrame({**{k: [row[k]] * len(some) for k in keys}, "n": n, "replicate": some, "hits": sums[some]})
 
-    hits = placed.mapInPandas(draw, f"{names}, n long, replicate int, hits long")
+    hits = _placed(groups, keys, seed, replicates).mapInPandas(draw, f"{kinds}n long, replicate int, hits long")
     by_replicate = hits.groupBy(*keys, "n", "replicate").agg(F.sum("hits").alias("hits"))
-    tail = 100 * (1 - confidence) / 2
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for n, some in zip(pdf["n"], pdf["hits"], strict=True):
-                all_of = np.zeros(replicates)  # a replicate without a match may have no row
-                all_of[: len(some)] = np.asarray(some, float) / n
-                rows.append(np.percentile(all_of, [tail, 100 - tail]))
+            found = np.zeros((len(pdf), replicates))  # a replicate without a match may have no row
+            for k, (n, some) in enumerate(zip(pdf["n"], pdf["hits"], strict=True)):
+                found[k, : len(some)] = np.asarray(some, float) / n
+            rows = [_ends(x, confidence) for x in found]
             yield pdf[keys].assign(ci_lower=[r[0] for r in rows], ci_upper=[r[1] for r in rows])
 
     found = by_replicate.groupBy(*keys).agg(F.first("n").alias("n"), F.collect_list("hits").alias("hits"))  # at most a number a replicate
-    return found.mapInPandas(ends, f"{names}, ci_lower double, ci_upper double")
+    return found.mapInPandas(ends, f"{kinds}ci_lower double, ci_upper double")
