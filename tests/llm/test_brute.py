@@ -176,3 +176,16 @@ def test_repeated_labelled_rows_teach_once(spark):
     assert textkit.labelled_sample(docs, labels, *args) == textkit.labelled_sample(docs.unionByName(docs), labels.unionByName(labels), *args)
     assert quality_rules.trusted_documents(labels.unionByName(labels)).count() == 20
     assert packing.COPIES > 1 and mixing.FEW_SOURCES > 1
+
+
+@pytest.mark.parametrize("part", [1, 37, 500])
+def test_an_index_built_in_parts_is_the_same(monkeypatch, part):
+    rng = np.random.default_rng(part)
+    dense = (rng.random((300, 60)) * (rng.random((300, 60)) < rng.choice([0.0, 0.01, 0.04, 0.3], 60))).astype(np.float32)
+    example, term = (x.astype(np.int32) for x in np.nonzero(dense))
+    build = lambda: toxicity.BlockMaxIndex(example, term, dense[example, term], 60, 300)
+    whole = build()
+    monkeypatch.setattr(toxicity, "PART", part)
+    parts = build()
+    for name in ("example", "weight", "begin", "block", "top", "pairs", "layout"):
+        np.testing.assert_array_equal(getattr(whole, name), getattr(parts, name))

@@ -30,6 +30,8 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 PREFIX = 6
 #: Bounds: labelled examples, nearest examples, examples in a block of the index, queries answered together.
 EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 64
+#: Postings that the driver handles at a time.
+PART = 1 << 19
 #: Bytes of the examples' texts, which bound their terms.
 EXAMPLE_BYTES = 96 << 20
 #: Terms of more than this share of the examples have their weights in rows, all others in lists; kinds of examples in the layout.
@@ -162,10 +164,14 @@ def document_frequencies(df: DataFrame, text: str, vocabulary: np.ndarray) -> tu
 
 
 def weigh(text: np.ndarray, count: np.ndarray, factor: np.ndarray, n: int) -> np.ndarray:
-    """Unit-length weights; text: the owner of each term, factor: the term's."""
-    w = (count * factor).astype(np.float32)
-    norm = np.sqrt(np.bincount(text, weights=w * w, minlength=n)).astype(np.float32)
-    w /= norm[text]
+    """Unit-length weights; text: the owner of each term, factor: the term's. The weights are of single precision."""
+    w = np.multiply(count, factor, dtype=np.float32)
+    norm = np.zeros(n)
+    for at in range(0, len(w), PART):  # the driver weighs all examples at once
+        norm += np.bincount(text[at : at + PART], weights=np.square(w[at : at + PART]), minlength=n)
+    norm = np.sqrt(norm).astype(np.float32)
+    for at in range(0, len(w), PART):
+        w[at : at + PART] /= norm[text[at : at + PART]]
     return w
 
 
@@ -180,22 +186,34 @@ class BlockMaxIndex:
         self.row = np.full(n_terms, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         self.layout = self._layout(example, term, weight, len(frequent))
-        example = np.argsort(self.layout).astype(np.int32)[example]
+        place = np.argsort(self.layout).astype(np.int32)
         self.dense = None
-        row = self.row[term]
-        head = row >= 0
-        self.head = (row[head], example[head], weight[head])
-        example, term, weight = example[~head], term[~head], weight[~head]
-        order = np.lexsort((example, term)).astype(np.int32)
-        self.example, self.weight, term = example[order], weight[order], term[order]
-        del order
-        block = self.example // self.span
+        head = np.flatnonzero(self.row[term] >= 0)
+        self.head = (self.row[term[head]], place[example[head]], weight[head])
+        size = len(term) - len(head)
+        del head
+        self.example, self.weight, sorted_term = np.empty(size, np.int32), np.empty(size, np.float32), np.empty(size, np.int32)
+        listed, done = np.where(self.row >= 0, 0, df), 0
+        for lo, hi in self._ranges(listed):  # in parts, as all places at once would take more than the lists themselves
+            own = np.flatnonzero((term >= lo) & (term < hi) & (self.row[term] < 0))
+            order = own[np.lexsort((place[example[own]], term[own]))]
+            to = slice(done, done + len(order))
+            self.example[to], self.weight[to], sorted_term[to] = place[example[order]], weight[order], term[order]
+            done += len(order)
+        term, block = sorted_term, self.example // self.span
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         #: of each (term, block) that meet: its postings, block and largest weight; of each term: its first pair
         self.begin, self.block = np.append(first, len(term)).astype(np.int32), block[first].astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.pairs = np.searchsorted(term[first], np.arange(n_terms + 1)).astype(np.int32)
 
+    @staticmethod
+    def _ranges(listed: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of terms with about PART postings each."""
+        ends = np.searchsorted(np.cumsum(listed), np.arange(PART, int(listed.sum()) + PART, PART))
+        ends = np.unique(np.append(np.minimum(ends + 1, len(listed)), len(listed)))
+        return list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+
     def _layout(self, example, term, weight, n_rows) -> np.ndarray:
         """The examples by likeness in their frequent terms (spherical k-means from evenly spaced ones), so that a block is of one kind."""
         x = np.zeros((self.n, n_rows), np.float32)
