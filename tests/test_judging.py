@@ -41,14 +41,44 @@ def test_a_lost_job_keeps_its_answers_and_the_next_asks_the_rest(spark, tmp_path
     with pytest.raises(Exception, match="(?i)worker|stage|failed|terminated"):
         run()
     kept = {r.pair_id for r in logs.records(spark, f"{out}/gpt-4o_factuality.jsonl", schemas.JUDGMENT).collect()}
-    assert len(kept) == 16  # two whole batches of sixteen calls
-    before = Counter(p.name.split("-")[0] for p in (tmp_path / "asked").iterdir())
+    assert len(kept) == 16  # two whole batches; two pairs more stand in the journal
     broken.unlink()
     run()
-    after = Counter(p.name.split("-")[0] for p in (tmp_path / "asked").iterdir())
-    assert all(after[f"{s}{int(k[1:])}"] == before[f"{s}{int(k[1:])}"] == 1 for k in kept for s in "ab")
-    rows = [r.pair_id for r in logs.records(spark, f"{out}/gpt-4o_factuality.jsonl", schemas.JUDGMENT).collect()]
-    assert sorted(rows) == [f"p{k:03d}" for k in range(40)]
+    rows = logs.records(spark, f"{out}/gpt-4o_factuality.jsonl", schemas.JUDGMENT).collect()
+    assert sorted(r.pair_id for r in rows) == [f"p{k:03d}" for k in range(40)]
+    assert all((r.normalized_a, r.normalized_b, r.flipped, r.run, r.error) == ("YES", "YES", False, 1, None) and r.timestamp for r in rows)
+    calls = Counter(p.name.split("-")[0] for p in (tmp_path / "asked").iterdir())
+    assert calls == {f"{s}{k}": 1 for k in range(40) for s in "ab"}  # nothing is asked twice
+    assert not (tmp_path / "out" / "_answers").exists() or not any((tmp_path / "out" / "_answers").iterdir())
+
+
+def test_a_task_that_runs_again_asks_nothing_twice(spark, tmp_path):
+    asked = str(tmp_path / "asked")
+    (tmp_path / "asked").mkdir()
+
+    def make():
+        import uuid
+
+        def judge(prompt):
+            open(f"{asked}/{prompt}-{uuid.uuid4().hex}", "w").close()
+            if prompt == "a3":
+                raise RuntimeError("down")
+            return f"yes {prompt}"
+
+        return judge
+
+    work = spark.range(8).select(F.col("id").cast("string").alias("pair_id"), F.lit("factuality").alias("task_type"), F.lit("m").alias("model"), F.lit(1).alias("run"), F.concat(F.lit("a"), "id").alias("prompt_a"), F.concat(F.lit("b"), "id").alias("prompt_b"))
+    judged = runs.run_judge(work, make, wait=0, stamp=True, permits=2, at_once=3, journal=f"file://{tmp_path}/book")
+    first, again = (sorted(map(str, judged.where("pair_id <> '3'").collect())) for _ in range(2))
+    assert first == again
+    calls = Counter(p.name.split("-")[0] for p in (tmp_path / "asked").iterdir())
+    assert calls.pop("a3") == 4 and calls.pop("b3") == 2  # a failed pair is asked again
+    assert set(calls.values()) == {1}
+    (tmp_path / "book" / "0-torn.jsonl").write_text('{"pair_id": "9", "ru')
+    saved = []
+    assert runs.recover(spark, str(tmp_path / "book"), lambda rows, m, t, name: saved.append((m, t, sorted(r.pair_id for r in rows.collect())))) == 7
+    assert saved == [("m", "factuality", ["0", "1", "2", "4", "5", "6", "7"])]
+    assert runs.recover(spark, str(tmp_path / "book"), None) == 0
 
 
 def test_batches_are_bounded_and_named_in_order(spark):

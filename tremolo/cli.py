@@ -58,7 +58,8 @@ def evaluate(
 ) -> float:
     """Asks each judge for each task n_runs times what its log lacks; the estimated cost. A judge without a key or a task without pairs is skipped.
 
-    Answers are in the logs batch by batch. A judge is asked by so many tasks as there are permits,
+    Answers are in the logs batch by batch; those of the batch at hand are kept in a journal beside the
+    logs, one by one, and a journal that a lost run has left goes to the logs first. A judge is asked by so many tasks as there are permits,
     which keep its provider's limit together. The judges take turns, or, ``together``, are asked in
     the same jobs, in which those of one provider share its limit.
     """
@@ -78,18 +79,22 @@ def evaluate(
         else:
             print(f"no pairs at {source}/{task}.jsonl")
     at = lambda model, task: f"{out}/{model}_{task}.jsonl"
+    add = lambda rows, model, task, name: sinks.append_jsonl(rows, at(model, task), name)
+    journal = f"{out}/_answers"
+    if saved := runs.recover(spark, journal, add):
+        print(f"{saved} answers of a lost run saved")
     log = lambda model, task: logs.records(spark, at(model, task), schemas.JUDGMENT)
     total, each = 0.0, [(m, t) for m in known for t in found]
     if together and each:
         todo = reduce(DataFrame.unionByName, [runs.work_left(found[t].withColumn("task_type", F.lit(t)), m, t, n_runs, log(m, t)) for m, t in each])
-        ok = runs.evaluate_together(todo, access, lambda rows, m, t, name: sinks.append_jsonl(rows, at(m, t), name), wait, permits, at_once, batch_rows)
+        ok = runs.evaluate_together(todo, access, add, wait, permits, at_once, batch_rows, journal)
     for m, t in each:
         if together:
             n_ok = ok.get((m, t), 0)
         else:
             a = access[m]
             n_ok, _ = runs.evaluate(
-                found[t], m, t, n_runs, a.make, log(m, t), lambda rows, name, to=at(m, t): sinks.append_jsonl(rows, to, name), known[m].max_tokens, known[m].cost_per_1k, wait, a.pause, permits, at_once, batch_rows,
+                found[t], m, t, n_runs, a.make, log(m, t), lambda rows, name, m=m, t=t: add(rows, m, t, name), known[m].max_tokens, known[m].cost_per_1k, wait, a.pause, permits, at_once, batch_rows, journal,
             )
         cost = runs.price(n_ok, known[m].max_tokens, known[m].cost_per_1k)
         print(f"{m} {t}: {n_ok} judged, about {cost:.4f} USD")

@@ -8,16 +8,19 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tremolo import schemas
 from tremolo.functions import decisions as D
 from tremolo.functions import fixed
 from tremolo.sources import judges, shared
+from tremolo.sources.journal import Journal
 from tremolo.streaming.batches import in_batches
 
 Judge = Callable[[str], str]
+_ANSWERS = ("prompt_a_raw", "prompt_b_raw", "timestamp")
 
 
 def pending(work: DataFrame, log: DataFrame, keys: list[str], done: Column) -> DataFrame:
@@ -71,7 +74,7 @@ def _asked(batches: Iterator[pd.DataFrame], access: dict[str, Access], permits:
         yield pdf, list(judges.in_flight(((judge_of(row), row) for row in pdf.itertuples(index=False)), lambda pair: one(*pair), at_once))
 
 
-def run_judges(work: DataFrame, access: dict[str, Access], wait: float = 5.0, stamp: bool = False, permits: int | None = None, at_once: int = 1) -> DataFrame:
+def run_judges(work: DataFrame, access: dict[str, Access], wait: float = 5.0, stamp: bool = False, permits: int | None = None, at_once: int = 1, journal: str | None = None) -> DataFrame:
     """work (pair_id, task_type, model, run, prompt_a, prompt_b) with both answers, decisions, flip and error; stamp adds the time of the calls, UTC as text.
 
     access: by name (column model), or one under "" for all rows. permits: work is dealt to so many
@@ -79,15 +82,25 @@ def run_judges(work: DataFrame, access: dict[str, Access], wait: float = 5.0, st
     most, so that a provider's tasks together keep its pause, and providers don't wait for each other;
     speculative copies of tasks would break that. Without permits the partitions of work are the tasks,
     and each keeps the pause alone. at_once: rows of a task that are asked at the same time; the clients
-    must allow it. A judge without access is an error.
+    must allow it. A judge without access is an error. journal: a folder where each row's answers are kept
+    as soon as both are there, unless one failed; rows whose answers it has aren't asked again.
     """
     keep = work.select("pair_id", "task_type", "model", "run", "prompt_a", "prompt_b")
+    journal = shared.qualified(work.sparkSession, journal) if journal else None
     providers = sorted({a.provider for a in access.values()})
 
-    def one(judge: Judge, row) -> tuple:
-        return call(judge, row.prompt_a, wait), call(judge, row.prompt_b, wait), datetime.now(UTC).isoformat()
-
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = Journal(journal, TaskContext.get().partitionId(), ["pair_id", "run", "model"]) if journal else None
+
+        def one(judge: Judge, row) -> tuple:
+            kept = book.recall(row.pair_id, row.run, row.model) if book else None
+            if kept:
+                return tuple(kept[c] for c in _ANSWERS)
+            found = call(judge, row.prompt_a, wait), call(judge, row.prompt_b, wait), datetime.now(UTC).isoformat()
+            if book and not any(str(x).startswith("ERROR:") for x in found[:2]):
+                book.keep({"pair_id": row.pair_id, "task_type": row.task_type, "model": row.model, "run": int(row.run), **dict(zip(_ANSWERS, found, strict=True))})
+            return found
+
         for pdf, rows in _asked(batches, access, permits or 1, at_once, one):
             yield pdf.assign(prompt_a_raw=[r[0] for r in rows], prompt_b_raw=[r[1] for r in rows], timestamp=[r[2] for r in rows])
 
@@ -101,10 +114,23 @@ def run_judges(work: DataFrame, access: dict[str, Access], wait: float = 5.0, st
 
 
 def run_judge(
-    work: DataFrame, make_judge: Callable[[], Judge], wait: float = 5.0, stamp: bool = False, pause: float = 0.0, permits: int | None = None, at_once: int = 1,
+    work: DataFrame, make_judge: Callable[[], Judge], wait: float = 5.0, stamp: bool = False, pause: float = 0.0, permits: int | None = None, at_once: int = 1, journal: str | None = None,
 ) -> DataFrame:
     """run_judges with one judge, that answers all rows."""
-    return run_judges(work, {"": Access(make_judge, "", pause)}, wait, stamp, permits, at_once)
+    return run_judges(work, {"": Access(make_judge, "", pause)}, wait, stamp, permits, at_once, journal)
+
+
+def recover(spark: SparkSession, journal: str, append: Callable[[DataFrame, str, str, str], None]) -> int:
+    """Gives the answers that a lost job left in its journal to the logs, by append(rows, judge, task, name of a batch), and deletes the journal; how many there were."""
+    if not shared.exists(spark, journal):
+        return 0
+    left = spark.read.option("recursiveFileLookup", True).option("mode", "DROPMALFORMED").schema(f"pair_id string, task_type string, model string, run int, {', '.join(f'{c} string' for c in _ANSWERS)}").json(journal)
+    rows = log_rows(decided(left.dropDuplicates(["pair_id", "run", "model", "task_type"])))
+    counts = rows.groupBy("model", "task_type").count().collect()  # a row a log
+    for r in counts:
+        append(rows.where(F.col("model").eqNullSafe(r.model) & F.col("task_type").eqNullSafe(r.task_type)), r.model, r.task_type, f"{time.time_ns():020d}-recovered")
+    shared.remove(spark, journal)
+    return sum(r["count"] for r in counts)
 
 
 def work_left(pairs: DataFrame, model: str, task: str, runs: int, log: DataFrame) -> DataFrame:
@@ -125,41 +151,46 @@ def price(n_ok: int, max_tokens: int, cost_per_1k: float) -> float:
 
 def evaluate(
     pairs: DataFrame, model: str, task: str, runs: int, make_judge: Callable[[], Judge], log: DataFrame, append: Callable[[DataFrame, str], None], max_tokens: int, cost_per_1k: float, wait: float = 5.0,
-    pause: float = 0.0, permits: int = 4, at_once: int = 1, batch_rows: int = 200,
+    pause: float = 0.0, permits: int = 4, at_once: int = 1, batch_rows: int = 200, journal: str | None = None,
 ) -> tuple[int, float]:
     """Judges what the log (pair_id, run, error) lacks, appends full log rows, and returns (successful pairs, estimated cost).
 
     The work goes in batches of at most batch_rows rows, each written by append(rows, name of the
     batch) before the next is asked: of a run that dies, all batches but the one at hand are in the
-    log, and the next run asks what is left.
+    log, and the next run asks what is left. With a journal the answers of the batch at hand are kept as
+    well, for ``recover``.
     """
-    n_ok = 0
+    n_ok, spark = 0, pairs.sparkSession
 
     def judged(batch: DataFrame, name: str) -> None:
         nonlocal n_ok
-        rows, seen = log_rows(run_judge(batch, make_judge, wait, True, pause, permits, at_once)), Observation()
+        book = f"{journal}/{name}" if journal else None
+        rows, seen = log_rows(run_judge(batch, make_judge, wait, True, pause, permits, at_once, book)), Observation()
         append(rows.observe(seen, F.count_if(D.no_error(F.col("error"))).alias("n_ok")), name)
         n_ok += seen.get["n_ok"]
+        if book:
+            shared.remove(spark, book)
 
     in_batches(work_left(pairs, model, task, runs, log), judged, batch_rows)
     return n_ok, price(n_ok, max_tokens, cost_per_1k)
 
 
-def evaluate_together(todo: DataFrame, access: dict[str, Access], append: Callable[[DataFrame, str, str, str], None], wait: float = 5.0, permits: int = 4, at_once: int = 1, batch_rows: int = 2000) -> dict[tuple[str, str], int]:
+def evaluate_together(todo: DataFrame, access: dict[str, Access], append: Callable[[DataFrame, str, str, str], None], wait: float = 5.0, permits: int = 4, at_once: int = 1, batch_rows: int = 2000, journal: str | None = None) -> dict[tuple[str, str], int]:
     """Judges ``work_left`` of many judges in the same jobs, each provider at its own limit; successful pairs by judge and task.
 
     A batch holds rows of all judges. Its answers are kept in the shared folder, then given out by
-    append(rows, judge, task, name of the batch), before the next batch is asked.
+    append(rows, judge, task, name of the batch), before the next batch is asked. journal: as in evaluate.
     """
     spark, ok = todo.sparkSession, {}
 
     def judged(batch: DataFrame, name: str) -> None:
-        at = shared.fresh(spark, "answers")
-        rows = shared.stored(log_rows(run_judges(batch, access, wait, True, permits, at_once)), at)
+        at, book = shared.fresh(spark, "answers"), f"{journal}/{name}" if journal else None
+        rows = shared.stored(log_rows(run_judges(batch, access, wait, True, permits, at_once, book)), at)
         for r in rows.groupBy("model", "task_type").agg(F.count_if(D.no_error(F.col("error"))).alias("n")).collect():  # a row a log
             append(rows.where((F.col("model") == r.model) & (F.col("task_type") == r.task_type)), r.model, r.task_type, name)
             ok[r.model, r.task_type] = ok.get((r.model, r.task_type), 0) + r.n
-        shared.remove(spark, at)
+        for path in (at, book) if book else (at,):
+            shared.remove(spark, path)
 
     in_batches(todo.repartition("pair_id", "run"), judged, batch_rows)
     return ok

@@ -27,6 +27,13 @@ def path_of(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as a URI that other libraries read."""
+    files, where = path_of(spark, path)
+    found = files.makeQualified(where).toString()
+    return "file://" + found[len("file:") :] if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def exists(spark: SparkSession, pattern: str) -> bool:
     files, where = path_of(spark, pattern)
     found = files.globStatus(where)
