@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.textkit import cut
+from tremolo.llm.textkit import cut, sweep
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges: columns a, b (any order, repeats allowed). Each round hangs every neighbour of a node on
     the least one of its neighbourhood (large star, then small star), so stars merge along paths in
-    a logarithmic number of rounds; edges stay at most as many as there were.
+    a logarithmic number of rounds; edges stay at most as many as there were. A round's table and
+    shuffle files go when the next is written.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs = cut(pairs)
@@ -27,9 +28,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        pairs = cut(small.where("a <> b").distinct())
-        counts = pairs.agg(F.count("*").alias("n"), F.countDistinct("a").alias("k")).first()
-        if counts.n == counts.k and pairs.select(F.col("b").alias("a")).join(pairs, "a", "left_semi").isEmpty():
+        last, pairs = pairs, cut(small.where("a <> b").distinct())
+        sweep(edges.sparkSession, last)
+        ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(pairs.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():  # all stars
             break
     else:
         raise RuntimeError("components did not settle")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tremolo.llm.graph import components
-from tremolo.llm.textkit import LOWER, annotate, buffers, cut, mix, word_hashes
+from tremolo.llm.textkit import LOWER, annotate, buffers, cut, mix, sweep, word_hashes
 
 LANES, CHUNKS = 50, 10
 #: Nodes of a key that are compared in one task, against as many.
@@ -259,6 +259,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     keys = keyed(nodes)
     met = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     crowd = cut(keys.join(met, "key").select("key", "slot", "node", "least"))
+    sweep(df.sparkSession)
     ids = crowd.select("node").distinct()
     wanted = df.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text")).join(ids, "node", "left_semi")
 
@@ -268,6 +269,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     texts = cut(annotate(wanted, ["node"], [("members", T.BinaryType())], members))
     first = crowd.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = cut(confirm(close(first, nodes, similarity, most_differing), texts, width, similarity).distinct())
+    sweep(df.sparkSession)
     alias = live.join(nodes.select("fp_a", "fp_b", "node"), ["fp_a", "fp_b"]).where("doc <> node").groupBy("doc", "node").agg(F.count("*").alias("n"))
     twice = live.groupBy("doc").agg(F.min("fp_a").alias("x"), F.max("fp_a").alias("y")).where("x <> y")
     repeated = alias.join(twice.select("doc"), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("node").alias("b"))
@@ -275,9 +277,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     placed = crowd.join(groups, "node", "left").select("key", "slot", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     bridges = cut(bridges_within(placed.join(mixed, "key", "left_semi"), nodes, texts, similarity, most_differing).distinct())
+    sweep(df.sparkSession)
     if not bridges.isEmpty():
         steps = bridges.unionByName(links).unionByName(repeated)
         groups = components(steps)
+    sweep(df.sparkSession, crowd, texts, links, bridges)
     settled = (
         nodes.select("fp_a", "fp_b", "node").join(groups, "node", "left")
         .select("fp_a", "fp_b", F.coalesce("component", "node").alias("component_id"))

@@ -7,14 +7,17 @@ and not the size of a partition.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import platform
 import sys
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,6 +217,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession, *done: DataFrame) -> None:
+    """Deletes the tables in done, all from cut(), that nothing reads any more, and has the driver collect its garbage.
+
+    Spark frees the shuffle files behind a written table only when the driver's garbage collector
+    finds that nothing refers to them; a loop of many small shuffles may end before it looks. Python
+    hands references that it lets go to the JVM once a second, so that the JVM looks a little later,
+    beside the next step.
+    """
+    for df in done:
+        at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if at.isDefined():
+            remove(spark, at.get())
+    jvm = spark._jvm
+
+    def look() -> None:
+        with contextlib.suppress(Py4JError, OSError):  # the session may have ended
+            jvm.System.gc()
+
+    gc.collect()
+    timer = threading.Timer(1.2, look)
+    timer.daemon = True
+    timer.start()
+
+
 def lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (without the line feed) of all lines, and the index of each text's first; the empty text has one line."""
     feed = np.flatnonzero(data == 10)
