@@ -455,6 +455,27 @@ def test_components(spark, edges):
     assert got == root
 
 
+def test_components_of_no_edges(spark):
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert graph.components(spark.createDataFrame([(4, 4)], "a long, b long")).collect() == []
+
+
+def test_sweep_deletes_what_is_done_and_nothing_else(spark):
+    def files(df):
+        at = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+        where = spark._jvm.org.apache.hadoop.fs.Path(at)
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+    first = textkit.cut(spark.range(100).repartition(3, "id"))
+    second = textkit.cut(first.groupBy((F.col("id") % 7).alias("k")).count())
+    assert files(first) and files(second)
+    textkit.sweep(spark, first)
+    assert not files(first) and files(second)
+    assert second.agg(F.sum("count")).first()[0] == 100
+    textkit.sweep(spark, first)  # once more does no harm
+    assert second.count() == 7
+
+
 def test_exact_top_k(spark):
     same(Q.op9_exact_top_k(spark, SF).toPandas(), duck(SF).execute(Q.oracle_sql()["op9_exact_top_k"]).df())
     nan = float("nan")
