@@ -488,6 +488,25 @@ def test_exact_top_k(spark):
         topk.top_k(df.unionByName(df.selectExpr("9L AS vec_id", "array(3e30f) AS embedding", "'x' AS score")), df).count()
 
 
+def test_top_k_streams_rows_past_held_queries(spark, monkeypatch):
+    """No side of a join, however small it looks to the planner, is sent whole to the driver; every cell's best are merged."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-300, 300, (700, 4)).astype(float) / 256
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for name, value in (("BLOCK", 50), ("QUERIES", 8), ("HELD", 400), ("STREAMED", 4000)):
+        monkeypatch.setattr(topk, name, value)
+    found = topk.top_k(df, df.where("vec_id % 10 = 0"), k=120)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    v = np.floor(x * 256).astype(int)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert len(got) == 70
+    for q, rows in got.items():
+        score = v @ v[q]
+        assert rows == [(r, score[r]) for r in np.lexsort((np.arange(700), -score)) if r != q][:120]
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 7))
 def test_bounds_never_exclude_a_winner(seed, k):

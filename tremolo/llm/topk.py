@@ -1,11 +1,12 @@
 """Exact top-k search by inner product: aggregation of sorted lists without random access.
 
-Vectors lie in blocks of about BLOCK rows, queries in blocks of QUERIES. In each block every
-component is a sorted list. For a query the lists are read in step from the end that helps it most.
+Queries are dealt into groups that a task can hold, rows into slices that it streams; each pair of a
+group and a slice is one task's cell. In a cell the rows go by in blocks of BLOCK, and in each block
+every component is a sorted list. For a query the lists are read in step from the end that helps it most.
 What a row has shown so far, plus the least (or most) that its unread entries can add, bounds its
 score from below (or above); the frontier of a list bounds all that is unread in it. Reading stops
-when no row outside a few candidates can reach the k-th lower bound; the candidates' final scores are
-then resolved. The best k of all blocks are merged.
+when no row outside a few candidates can reach the k-th lower bound, or the k-th score of the blocks
+before; the candidates' final scores are then resolved. The best k of all cells are merged.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremolo.llm.textkit import bound_batches
+
 BLOCK, QUERIES = 4096, 256
+#: Bytes of the queries that a cell holds, and of the rows that it streams. Rows are shuffled once a group, queries once a slice.
+HELD, STREAMED = 1 << 25, 1 << 28
 #: Shares of the lists after which bounds are compared; so few rows are resolved at once.
 DEPTHS, CANDIDATES = (0.15, 0.35, 0.6), 96
 
@@ -45,23 +50,29 @@ def quantised(df: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     return source.mapInArrow(run, "id long, dims int, v binary")
 
 
-def candidates(queries: np.ndarray, block: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+def sorted_lists(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every component of a block: its rows by rising value, and each row's place among them."""
+    order = np.argsort(block, axis=0, kind="stable")
+    return order, np.argsort(order, axis=0, kind="stable")
+
+
+def candidates(queries: np.ndarray, block: np.ndarray, own: np.ndarray, k: int, lists: tuple[np.ndarray, np.ndarray] | None = None, reached: np.ndarray | None = None) -> np.ndarray:
     """(query, row) pairs of a block that may be among the query's k best; all others are excluded by their bounds.
 
-    own: (query, row) pairs that don't compete. Every component's list is read to a common depth,
+    own: (query, row) pairs that don't compete. lists: the block's ``sorted_lists``. reached: for each
+    query a score that k rows elsewhere have. Every component's list is read to a common depth,
     for all queries of the batch at once: from the top where the query's component is positive, from
     the bottom where it is negative. A read entry adds its product; an unread one lies between the
     list's far end and its frontier. Queries that still have many rows in question read on.
     """
     n = len(block)
     alive = ~own
-    order = np.argsort(block, axis=0, kind="stable")
-    rank = np.argsort(order, axis=0, kind="stable")
+    order, rank = sorted_lists(block) if lists is None else lists
     x, q = block.astype(float), queries.astype(float)
     rising, falling = np.maximum(q, 0), np.minimum(q, 0)
     low, high = x.min(axis=0), x.max(axis=0)
     floor = rising @ low + falling @ high
-    open_ = np.flatnonzero(alive.sum(axis=1) > CANDIDATES)
+    open_ = np.flatnonzero(alive.sum(axis=1) > max(CANDIDATES, k))
     for part in DEPTHS:
         if not len(open_):
             break
@@ -74,8 +85,10 @@ def candidates(queries: np.ndarray, block: np.ndarray, own: np.ndarray, k: int)
         upper = (r @ top + f @ bottom)[:, None] + r @ np.where(up, x - top, 0).T + f @ np.where(down, x - bottom, 0).T
         lower[~alive[open_]] = -np.inf
         bar = np.partition(lower, n - k, axis=1)[:, n - k]
+        if reached is not None:
+            bar = np.maximum(bar, reached[open_])
         alive[open_] &= upper >= bar[:, None]
-        open_ = open_[alive[open_].sum(axis=1) > CANDIDATES]
+        open_ = open_[alive[open_].sum(axis=1) > max(CANDIDATES, k)]
     return np.argwhere(alive)
 
 
@@ -87,48 +100,98 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str
     length are no candidates. Components so large that a score could pass 2^62 raise an error. Queries repeated with the same vector count once; repeated candidates
     stay as often as they stand. No vectors or no queries: an empty result.
     """
+    spark = df.sparkSession
+    bound_batches(spark)
     rows = quantised(df, id_col, vector, scale)
     asked = quantised(queries, id_col, vector, scale).distinct()
-    n_blocks = max(1, -(-rows.count() // BLOCK))
-    n_asked = max(1, -(-asked.count() // QUERIES))
-    held = (
-        rows.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).cast("int"))
-        .groupBy("dims", "b").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    )
-    wanted = (
-        asked.withColumn("g", F.pmod(F.xxhash64("id", "v", F.lit(3)), F.lit(n_asked)).cast("int"))
-        .groupBy("dims", "g").agg(F.collect_list(F.struct("id", "v")).alias("asks"))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    )
-    met = held.join(wanted, ["dims", "b"]).select("dims", "rows", "asks")
-
-    def side(cell):
-        parts = cell.values
-        return parts.field(0).to_numpy(), np.frombuffer(b"".join(parts.field(1).to_pylist()), np.int64)
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(8 * F.col("dims").cast("long")), F.lit(0))).first()
+    slices = max(1, -(-size // STREAMED), min(-(-count // BLOCK), 2 * spark.sparkContext.defaultParallelism))
+    groups = max(1, -(-(asked.agg(F.sum(8 * F.col("dims").cast("long"))).first()[0] or 0) // HELD))
+
+    def dealt(part: DataFrame, own: int, others: int, cell: str, asks: bool) -> DataFrame:
+        """part hashed into own slices or groups, each in as many cells as there are others."""
+        placed = part.withColumn("p", F.pmod(F.xxhash64("id", "v"), F.lit(own)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return placed.select(F.expr(cell).cast("int").alias("cell"), "dims", F.lit(not asks).alias("row"), "id", "v")
+
+    cells = dealt(asked, groups, slices, f"o * {groups} + p", True).unionByName(dealt(rows, slices, groups, f"p * {groups} + o", False))
+    cells = cells.repartitionById(slices * groups, "cell").sortWithinPartitions("dims", "row").select("dims", "row", "id", "v")
 
     def run(batches):
+        cell = None
         for batch in batches:
-            for r in range(batch.num_rows):
-                dims = batch.column(0)[r].as_py()
-                ids, block = side(batch.column(1)[r])
-                ask, vectors = side(batch.column(2)[r])
-                block, vectors = block.reshape(-1, dims), vectors.reshape(-1, dims)
-                pairs = candidates(vectors, block, ask[:, None] == ids[None, :], k)
-                score = np.concatenate([(vectors[p[:, 0]] * block[p[:, 1]]).sum(axis=1) for p in np.array_split(pairs, 1 + len(pairs) // 65536)])
-                first = np.searchsorted(pairs[:, 0], np.arange(len(ask) + 1))
-                out = []
-                for name, q, lo, hi in zip(ask, vectors, first[:-1], first[1:], strict=True):
-                    found = pairs[lo:hi, 1]
-                    best = np.lexsort((ids[found], -score[lo:hi]))[:k]
-                    out.append((np.full(len(best), name), np.full(len(best), hash_of(q)), ids[found][best], score[lo:hi][best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "key", "id", "score"])
-
-    found = met.mapInArrow(run, "query_id long, key long, id long, score long")
+            if not batch.num_rows:
+                continue
+            dims, row = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            begins = np.flatnonzero(np.concatenate([[True], (dims[1:] != dims[:-1]) | (row[1:] != row[:-1])]))
+            for lo, hi in zip(begins, [*begins[1:], len(dims)], strict=True):
+                if cell is None or cell.dims != dims[lo]:
+                    if cell is not None:
+                        yield from cell.best()
+                    cell = Cell(int(dims[lo]), k)
+                v = batch.column(3).slice(lo, hi - lo)
+                (cell.read if row[lo] else cell.ask)(batch.column(2).slice(lo, hi - lo).to_numpy(), np.frombuffer(b"".join(v.to_pylist()), np.int64).reshape(-1, cell.dims))
+        if cell is not None:
+            yield from cell.best()
+
+    found = cells.mapInArrow(run, "query_id long, key long, id long, score long")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+class Cell:
+    """The queries of a group, of one length, and their best rows among those that went by: all queries come first."""
+
+    def __init__(self, dims: int, k: int):
+        self.dims, self.k = dims, k
+        self.asks, self.asked, self.rows, self.held = [], None, [], 0
+
+    def ask(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.asks.append((ids, vectors))
+
+    def read(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if not self.asks:
+            return
+        self.rows.append((ids, vectors))
+        self.held += len(ids)
+        if self.held >= BLOCK:
+            self._search()
+
+    def _open(self) -> None:
+        """The queries in batches of QUERIES: identifiers, vectors, and so far no (query, row, score)."""
+        ids, vectors = (np.concatenate(x) for x in zip(*self.asks, strict=True))
+        none = np.zeros(0, np.int64)
+        self.asked = [[ids[at : at + QUERIES], vectors[at : at + QUERIES], none, none, none] for at in range(0, len(ids), QUERIES)]
+
+    def _search(self) -> None:
+        if self.asked is None:
+            self._open()
+        ids, block = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        self.rows, self.held = [], 0
+        lists = sorted_lists(block)
+        for part in self.asked:
+            ask, vectors, query, row, score = part
+            reached = np.full(len(ask), -np.inf)
+            last = np.searchsorted(query, np.arange(len(ask)), "right") - 1
+            full = np.bincount(query, minlength=len(ask)) == self.k
+            reached[full] = score[last[full]]
+            pairs = candidates(vectors, block, ask[:, None] == ids[None, :], self.k, lists, reached)
+            new = np.concatenate([(vectors[p[:, 0]] * block[p[:, 1]]).sum(axis=1) for p in np.array_split(pairs, 1 + len(pairs) // 65536)])
+            query, row, score = np.concatenate([query, pairs[:, 0]]), np.concatenate([row, ids[pairs[:, 1]]]), np.concatenate([score, new])
+            order = np.lexsort((row, -score, query))
+            query = query[order]
+            best = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+            part[2:] = query[best], row[order][best], score[order][best]
+
+    def best(self):
+        """The cell's result, once all rows went by."""
+        if self.rows:
+            self._search()
+        for ask, vectors, query, row, score in self.asked or []:
+            keys = np.array([hash_of(v) for v in vectors], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ask[query], keys[query], row, score)], ["query_id", "key", "id", "score"])
+
+
 def hash_of(vector: np.ndarray) -> int:
     """Tells queries of one identifier apart."""
     import zlib
