@@ -105,3 +105,13 @@ def test_a_repeated_pair_counts_as_its_last_row(spark):
     r = polarity.with_templates(log, pairs, sequence=["line"]).first()
     assert (r.ta, r.tb) == ("T3", "T4")
     assert polarity.with_templates(log, pairs).first().ta == "T5"
+
+
+def test_parts_of_a_written_log_have_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(latest, "FILE_ROWS", 100)
+    rows = spark.range(3000).select("id", (F.col("id") % 700).alias("k"))
+    at = str(tmp_path / "log")
+    assert latest.write_log(rows, at, ["k"], 4) == 8
+    sizes = [r["count"] for r in spark.read.parquet(at).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300  # a part has 750
+    assert latest.write_log(rows.limit(0), str(tmp_path / "none"), ["k"], 4) == 1

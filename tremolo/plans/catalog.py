@@ -523,8 +523,8 @@ def latest_rows_stream(spark, sf_dir):
     """The last write of each key over lineitem as a log that grows in four parts: the stream's journal, folded."""
     keys, at = ["l_orderkey", "l_linenumber"], shared.fresh(spark, "latest")
     rows = B.table(spark, sf_dir, "lineitem").select(*keys, *_LATEST, "l_returnflag", "l_linestatus")
-    rows.repartition(4, "l_partkey").write.parquet(f"{at}/log")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/log")
+    files = latest.write_log(rows, f"{at}/log", ["l_partkey"], 4)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/log")
     latest.follow(stream, keys, _LATEST, f"{at}/journal", f"{at}/checkpoint")
     latest.compact(spark, f"{at}/journal", rows.schema, keys, _LATEST)
     return latest.current(spark, f"{at}/journal", rows.schema, keys, _LATEST)

@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from tremolo.operators.agreement import last_write
 from tremolo.sources import shared
 
+#: Rows of a log's file, about.
+FILE_ROWS = 1 << 19
+
 
 def latest(log: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
     """The row of each key that stands last by sequence, then by its other columns; log may be a table or a stream. An aggregate, combined before its one shuffle."""
@@ -26,6 +29,13 @@ def latest(log: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(F.max(row).alias("row")).select(*keys, *[F.col(f"row.{c}").alias(c) for c in [*sequence, *rest]]).select(*log.columns)
 
 
+def write_log(rows: DataFrame, at: str, by: list[str], parts: int) -> int:
+    """Writes rows as a log that grows in ``parts`` parts; the files of a part. They are as many as the rows need, so that no task gathers a part."""
+    files = max(1, -(-rows.count() // (parts * FILE_ROWS)))
+    rows.repartition(parts * files, *by).write.parquet(at)
+    return files
+
+
 def follow(stream: DataFrame, keys: list[str], sequence: list[str], journal: str, checkpoint: str) -> int:
     """Runs the stream over all that is there, from where the checkpoint stands, and writes what changed to the journal; the batches written."""
     n = 0
