@@ -1,5 +1,6 @@
 """Forms that hold as groups and logs grow: kappa over many labels, intervals in many tasks, last rows of a stream."""
 
+import hashlib
 import random
 import time
 
@@ -115,3 +116,20 @@ def test_parts_of_a_written_log_have_files_of_bounded_size(spark, tmp_path, monk
     sizes = [r["count"] for r in spark.read.parquet(at).groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 3000 and max(sizes) < 300  # a part has 750
     assert latest.write_log(rows.limit(0), str(tmp_path / "none"), ["k"], 4) == 1
+
+
+def test_digest_intervals_join_no_draws(spark, monkeypatch):
+    """Draws meet their rows in packed bits; a group larger than a word, or than the draws listed at a time, has the same interval as by brute force."""
+    monkeypatch.setattr(agreement, "DRAWN", 50)
+    monkeypatch.setattr(agreement, "SHARES", 7)
+    rng = random.Random(5)
+    rows = [(g, k, "A", rng.choice("AB")) for g, n in (("x", 1), ("y", 64), ("z", 201)) for k in range(n)]
+    df = spark.createDataFrame([*rows, (None, 0, "A", "B")], "g string, k int, a string, b string")
+    found = agreement.bootstrap_hash(df, ["g"], ["k"], 40)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: (r.ci_lower, r.ci_upper) for r in found.collect()}
+    assert set(got) == {"x", "y", "z"}
+    for g, interval in got.items():
+        m = [a == b for of, _, a, b in rows if of == g]
+        means = [np.mean([m[int(hashlib.md5(f"{r}-{k}".encode()).hexdigest()[:8], 16) % len(m)] for k in range(len(m))]) for r in range(1, 41)]
+        assert interval == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-12)

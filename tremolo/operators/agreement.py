@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from tremolo.functions import decisions as D
 from tremolo.operators import drawing
 
+#: Tasks of a group's digest draws at most, and draws that are listed at a time.
+SHARES, DRAWN = 64, 8192
+
 
 def jss(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """keys, n_pairs, n_matches, n_flips, jss, flip_rate: share of rows whose decisions agree, by group of at least ``least`` rows."""
@@ -53,15 +56,28 @@ def kappa(df: DataFrame, keys: list[str]) -> DataFrame:
 def bootstrap_hash(df: DataFrame, keys: list[str], order: list[str], replicates: int = 1000) -> DataFrame:
     """keys, ci_lower, ci_upper of the agreement share; resampled indices come from digests, so that SQL can repeat them.
 
-    Costs replicates times the rows; order must be a total order within a group.
+    Costs replicates times the rows, each a digest and a look at a packed bit; order must be a total
+    order within a group. A group's decisions are packed, an eighth of a byte a row, and go to at most
+    SHARES tasks, each of which draws some of its replicates; draws are never joined or shuffled.
     """
-    match = df.select(*keys, *[c for c in order if c not in keys], D.same(F.col("a"), F.col("b")).cast("double").alias("m"))
-    placed = match.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    sizes = placed.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = placed.select(*keys, "rn").join(sizes, keys).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    index = F.conv(F.substring(F.md5(F.concat_ws("-", "r", "rn").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = draws.select(*keys, "r", index.cast("int").alias("rn")).join(placed.select(*keys, "rn", "m"), [*keys, "rn"])
-    means = drawn.groupBy(*keys, "r").agg(F.avg("m").alias("mean"))
+    bit = D.same(F.col("a"), F.col("b")).cast("long")
+    match = df.select(*keys, *[c for c in order if c not in keys], bit.alias("__bit"))
+    for k in keys:  # SQL joins draws to rows by the keys, so a group without one has no interval
+        match = match.where(F.col(k).isNotNull())
+    placed = match.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    mask = F.expr("shiftleft(__bit, cast(__rn % 64 AS int))")
+    words = placed.groupBy(*keys, F.floor(F.col("__rn") / 64).alias("__word")).agg(F.bit_or(mask).alias("__bits"), F.count("*").alias("__n"))
+    packed = F.array_sort(F.collect_list(F.struct("__word", "__bits")))
+    groups = words.groupBy(*keys).agg(F.sum("__n").alias("__n"), packed.alias("__packed")).select(*keys, "__n", F.col("__packed.__bits").alias("__bits"))
+    shares = min(replicates, SHARES)
+    parts = groups.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartition(4 * SHARES, *keys, "__part")  # a number, so that these few bytes stay many tasks
+    drawn = parts.withColumn("__r", F.explode(F.sequence(F.col("__part") + 1, F.lit(replicates), F.lit(shares))))
+    drawn = drawn.withColumn("__at", F.explode(F.expr(f"sequence(0L, __n - 1, {DRAWN}L)")))  # so that no long array is made
+    drawn = drawn.withColumn("__rn", F.explode(F.expr(f"sequence(__at, least(__at + {DRAWN - 1}L, __n - 1))")))
+    index = F.conv(F.substring(F.md5(F.concat_ws("-", "__r", "__rn").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("__n")
+    hit = F.expr("shiftrightunsigned(__bits[cast(__index div 64 AS int)], cast(__index % 64 AS int)) & 1L")
+    hits = drawn.select(*keys, "__r", "__n", "__bits", index.alias("__index")).select(*keys, "__r", "__n", hit.alias("__hit"))
+    means = hits.groupBy(*keys, "__r").agg((F.sum("__hit") / F.first("__n")).alias("mean"))
     return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("ci_lower"), F.percentile("mean", F.lit(0.975)).alias("ci_upper"))
 
 
