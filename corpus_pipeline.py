@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the stage before it kept, whole; all but the last return the
 columns of documents, with their values, whatever their names. In every stage a very long text is
-read whole and an empty table gives an empty table.
+read whole and an empty table gives an empty table. A stage may be called by itself: it brings its
+code to the executors.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tremolo.llm import mixing, neardup, packing, quality_rules, toxicity
 from tremolo.llm.textkit import cut, quoted, read_table, release, remove, shared_dir
+from tremolo.shipping import shipped
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
@@ -23,6 +25,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
     return docs.toDF(*names), names, names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
 
 
+@shipped
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the log-likelihood ratio; null, empty and short texts go, repeated rows stay or go together."""
     rows, names, name, text = _numbered(docs)
@@ -30,6 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.where("kept").select(*names).toDF(*docs.columns)
 
 
+@shipped
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half. Learns from the labelled documents of the corpus. Null and empty texts stay; repeated rows stay or go together."""
     examples = toxicity.labelled_texts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic", 5, 0)
@@ -39,6 +43,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.where("predicted = 0").select(*names).toDF(*docs.columns)
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates by five-word shingles, the least doc_id.
 
@@ -57,6 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rest.unionByName(one.select("row.*").toDF(*docs.columns))
 
 
+@shipped
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture reads it: no source more than 1.25 times, in all as many tokens as before, to within a document a source.
 
@@ -65,6 +71,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@shipped
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of 2048 words: one row a piece of a document. Texts without a word have a piece without a bin; copies made by the mixture lie in different bins."""
     return packing.pack(docs, mixing.tokens("text"), F.xxhash64("text"), 2048)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +25,14 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(archive))
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """query, whose first argument is the session, after ``ship``."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *rest, **named) -> DataFrame:
+        ship(spark)
+        return query(spark, *rest, **named)
+
+    return run
