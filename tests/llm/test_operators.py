@@ -269,6 +269,34 @@ def test_mixing_reads_every_source(spark):
     assert {r.source for r in got.collect()} == {"big", "one long document"}
 
 
+def test_mixing_reads_block_after_block(spark):
+    rows = [(k, "w " * (1 + k % 7), "ab"[k % 3 == 0]) for k in range(60)] + [(90, None, "b"), (91, "w", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = {"repetition": None, "entropy_share": 0.0, "budget_share": 2.4}
+    planned = mixing.mixture(df, **how)
+    plan = {r.source: r for r in planned.collect()}
+    found = {}
+    for r in mixing.readings(planned, df).collect():
+        found.setdefault((r.source or "", r["__mix"].block), []).append(r)
+    words = {k: len((t or "").split()) for k, t, _ in rows}
+    for name, p in plan.items():
+        own = {k for k, _, s in rows if (s or "") == name}
+        assert p.passes == 2
+        for b in range(p.passes):  # a whole pass holds every document once
+            assert sorted(r.doc_id for r in found[name, b]) == sorted(own)
+        everyone = sorted(found[name, 0], key=lambda r: r["__mix"].place)
+        head = sorted(found.get((name, p.passes), []), key=lambda r: r["__mix"].place)
+        assert [r.doc_id for r in head] == [r.doc_id for r in everyone[: len(head)]]
+        assert sum(words[r.doc_id] for r in head) >= p.rest >= sum(words[r.doc_id] for r in head[:-1])
+        assert (name, p.passes + 1) not in found
+    order = [r.doc_id for r in mixing.mixed_documents(df, ordered=True, **how).collect()]
+    n = len(rows)
+    assert order[:n] == order[n : 2 * n] and sorted(order[:n]) == sorted(r[0] for r in rows)  # no document comes again before its pass ends
+    again = Counter(order)
+    assert again == Counter(r.doc_id for r in mixing.mixed_documents(df, **how).collect())
+    assert again == {r.doc_id: r["__mix"].copies for r in mixing.read_times(planned, df).collect()}
+
+
 def test_mixing_leaves_columns_of_any_name_alone(spark):
     names = ["weight", "exponent", "passes", "last_key", "place", "n_tokens", "copies", "source_key", "rest", "sizes", "piece"]
     df = docs_of(spark).select("doc_id", "text", "source", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])

@@ -4,7 +4,8 @@ A source's weight is its token share to the power of an exponent between 0 (all
 (as they are), normalised. The exponent is bisected until the weights meet a target entropy, or
 until no source is read more often than a repetition limit. A source's part of the token budget is
 then read as blocks: whole passes over it, and at last the head of a permutation of its documents,
-ordered by a hash, up to and with the document that meets the budget. So every source of a positive
+ordered by a hash, up to and with the document that meets the budget. Every reading knows its block
+and its place in the permutation. So every source of a positive
 target is read, and its weight is met to within one document.
 """
 
@@ -112,22 +113,44 @@ def mixture(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 
 
 def read_times(planned: DataFrame, df: DataFrame, id_col: str = "doc_id", source: str = "source", into: str = "__mix") -> DataFrame:
-    """df with a struct (copies: how often the row is read; exponent and weight of its source) in the column ``into``; a column of that name is replaced.
+    """df with a struct in the column ``into``; a column of that name is replaced.
 
-    Up to FEW_SOURCES sources the rows of df aren't moved; beyond, they are dealt by source.
+    copies: how often the row is read; exponent and weight of its source; passes: the whole passes
+    over its source, blocks 0 to passes - 1 of the reading; head: whether the row is in the head of
+    the permutation too, which is block number passes; place: its place in the permutation. Up to
+    FEW_SOURCES sources the rows of df aren't moved; beyond, they are dealt by source.
     """
     rows = df.drop(into)
     at = unused([*rows.columns, into], "plan")
     side = by_source(planned.select(F.struct("source", "exponent", "weight", "passes", "last_key").alias(at)))
-    own = F.col(at)
+    own, place = F.col(at), order_key(id_col)
     joined = rows.join(side, F.coalesce(quoted(source).cast("string"), F.lit("")) == own["source"])
-    copies = own["passes"] + F.coalesce((order_key(id_col) <= own["last_key"]).cast("long"), F.lit(0))
-    return joined.withColumn(into, F.struct(copies.alias("copies"), own["exponent"].alias("exponent"), own["weight"].alias("weight"))).drop(at)
+    head = F.coalesce(place <= own["last_key"], F.lit(False))
+    parts = {"copies": own["passes"] + head.cast("long"), "exponent": own["exponent"], "weight": own["weight"], "passes": own["passes"], "head": head, "place": place}
+    return joined.withColumn(into, F.struct(*[c.alias(n) for n, c in parts.items()])).drop(at)
 
 
-def mixed_documents(df: DataFrame, id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """df with every row as often as the mixture reads it, and no further columns; columns of any other name pass unchanged."""
+def readings(planned: DataFrame, df: DataFrame, id_col: str = "doc_id", source: str = "source", into: str = "__mix") -> DataFrame:
+    """One row a reading of a row of df, with a struct (block, place, exponent, weight) in the column ``into``.
+
+    Read in the order of block, then place: every source goes through whole passes, each in the order
+    of its permutation, and at last through the permutation's head; so a document comes again only
+    when all of its source has been read. Rows that are not read are left out.
+    """
+    times = read_times(planned, df, id_col, source, into)
+    own = F.col(into)
+    block = unused(times.columns, "block")
+    again = times.where(own["copies"] > 0).withColumn(block, F.explode(F.sequence(F.lit(0), own["copies"].cast("int") - 1)))
+    return again.withColumn(into, F.struct(F.col(block).cast("long").alias("block"), own["place"].alias("place"), own["exponent"].alias("exponent"), own["weight"].alias("weight"))).drop(block)
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", source: str = "source", ordered: bool = False, **how) -> DataFrame:
+    """df with every row as often as the mixture reads it, and no further columns; columns of any other name pass unchanged.
+
+    ordered: rows in the order of ``readings``, which sorts the texts once; else in no order.
+    """
     mix = unused(df.columns, "mix")
-    times = read_times(mixture(df, id_col, source=source, **how), df, id_col, source, mix).where(F.col(mix)["copies"] > 0)
-    again = F.explode(F.sequence(F.lit(1), F.col(mix)["copies"].cast("int"))).alias(unused([*df.columns, mix], "copy"))
-    return times.select(*[quoted(c) for c in df.columns], again).select(*[quoted(c) for c in df.columns])
+    rows = readings(mixture(df, id_col, source=source, **how), df, id_col, source, mix)
+    if ordered:
+        rows = rows.orderBy(F.col(mix)["block"], F.col(mix)["place"])
+    return rows.select(*[quoted(c) for c in df.columns])
