@@ -414,6 +414,49 @@ def test_byte_contexts_of_the_query_grow_with_the_corpus(spark):
     assert every == len({k for t in texts for k in byte_contexts.keys(*textkit.buffers(__import__("pyarrow").array([t])))[0].tolist()})
 
 
+def test_values_are_found_by_hash():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 300, 70000):
+        key = np.unique(rng.integers(0, 1 << 56, n))
+        value = rng.random(len(key)).astype("<f4")
+        asked = rng.integers(0, len(key), 3 * n)
+        np.testing.assert_array_equal(byte_contexts.Values(key, value).of(key[asked]), value[asked])
+        np.testing.assert_array_equal(byte_contexts.unpack_logs(byte_contexts.pack_logs(value), len(value)), value)
+    assert len(byte_contexts.Values(np.zeros(0, np.int64), np.zeros(0, "<f4")).of(np.zeros(0, np.int64))) == 0
+
+
+def test_distinct_keys_of_slices(monkeypatch):
+    rng = np.random.default_rng(6)
+    found = [rng.integers(0, 500, n) for n in (0, 1, 400, 3000, 20)]
+    for held in (1, 100, 1 << 22):
+        monkeypatch.setattr(byte_contexts, "HELD", held)
+        np.testing.assert_array_equal(byte_contexts.distinct_of_all(iter(found)), np.unique(np.concatenate(found)))
+
+
+def test_values_take_less_time_than_a_sort_of_the_places():
+    import time
+
+    rng = np.random.default_rng(7)
+    key = np.unique(rng.integers(0, 1 << 56, 1 << 18))
+    value, asked = rng.random(len(key)).astype("<f4"), key[rng.integers(0, len(key), 1 << 20)]
+    told = byte_contexts.Values(key, value)
+
+    def least(work):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            work()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    def by_sort():
+        one, place = np.unique(asked, return_inverse=True)
+        return value[np.searchsorted(key, one)][place]
+
+    np.testing.assert_array_equal(told.of(asked), by_sort())
+    assert least(lambda: told.of(asked)) < least(by_sort)
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     docs = docs_of(spark).select("doc_id", "text").withColumn("t", F.col("doc_id") % 3 != 0).cache()
     plain = context_tree.language_model(docs, "t").toPandas()

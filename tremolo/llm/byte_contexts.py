@@ -9,7 +9,7 @@ scored in chunks: a chunk asks each bucket once for each of its distinct keys.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +23,24 @@ DEPTH, NEAR, END = 6, 3, 255
 #: Bytes of text in a chunk, and of training text behind a bucket; keys held in a task before they are passed on.
 CHUNK, BUCKET, HELD = 4 << 20, 16 << 20, 1 << 22
 _HALF = np.log(0.5)
+_CONTEXT = np.uint64((1 << 8 * (DEPTH + 1)) - 256)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = "bucket int, chunk int, n int, keys binary, counts binary"
 
 
 def keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Key of every byte and text end; n + 1 offsets. Before a text stand ends."""
-    off = off + np.arange(len(off))
-    sym = np.insert(LOWER[data], off[1:] - np.arange(1, len(off)), END).astype(np.int64)
-    out = sym.copy()
-    for back in range(1, DEPTH + 1):
-        before = np.full(len(sym), END, np.int64)
-        before[back:] = sym[:-back]
-        for k in range(back):
-            at = off[:-1] + k
-            before[at[at < off[1:]]] = END
-        out |= before << (8 * (DEPTH - back + 1))
-    return out, off
+    n = len(off) - 1
+    ends = DEPTH + 1 + off[1:] + DEPTH * np.arange(n)
+    own = np.ones(DEPTH + 1 + len(data) + DEPTH * n, bool)
+    own[: DEPTH + 1] = False
+    own[(ends[:, None] + np.arange(DEPTH)).ravel()] = False
+    spaced = np.full(len(own), END, np.uint8)  # DEPTH ends between two texts, the first of them the text's own
+    spaced[own] = LOWER[data]
+    own[ends] = True
+    # eight bytes in a row, the last one highest: rotated by a byte, and without the first, they are the key
+    seen = np.ndarray(len(data) + DEPTH * n, "<u8", spaced, strides=(1,))[own[DEPTH + 1 :]]
+    return ((seen & _CONTEXT) | (seen >> np.uint64(8 * (DEPTH + 1)))).view(np.int64), off + np.arange(n + 1)
 
 
 def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -56,12 +58,57 @@ def unpack(packed: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view("<i8").reshape(-1))
 
 
+def pack_logs(values: np.ndarray) -> bytes:
+    """Values of single precision, byte by byte, compressed: their leading bytes differ little."""
+    return pa.compress(np.ascontiguousarray(values.astype("<f4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_logs(packed: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view("<f4").reshape(-1)
+
+
 def distinct_of(key: np.ndarray) -> np.ndarray:
     """Sorted distinct keys."""
     key = np.sort(key)
     return key[np.flatnonzero(np.diff(key, prepend=-1))]
 
 
+def distinct_of_all(found: Iterable[np.ndarray]) -> np.ndarray:
+    """Sorted distinct keys of all of found, of which about HELD are held at a time."""
+    held, size = [], 0
+    for key in found:
+        held.append(key)
+        size += len(key)
+        if size > HELD:
+            held = [distinct_of(np.concatenate(held))]
+            size = len(held[0])
+    return distinct_of(np.concatenate(held)) if held else np.zeros(0, np.int64)
+
+
+class Values:
+    """Values of distinct keys, found by the leading bits of a one-to-one hash, which takes less time than to search sorted keys."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        bits = max(1, len(key).bit_length())
+        self.shift = np.uint64(64 - bits)
+        hashed = key.view(np.uint64) * _SPREAD
+        order = np.argsort(hashed)
+        self.hashed, self.value = hashed[order], value[order]
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((hashed >> self.shift).view(np.int64), minlength=1 << bits), out=self.first[1:])
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """The value of each key; all of them must be known."""
+        hashed = key.view(np.uint64) * _SPREAD
+        at = self.first[(hashed >> self.shift).view(np.int64)]
+        left = np.flatnonzero(self.hashed[at] != hashed)
+        while len(left):
+            at[left] += 1
+            left = left[self.hashed[at[left]] != hashed[left]]
+        return self.value[at]
+
+
 def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     key, n = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
     order = np.argsort(key, kind="stable")
@@ -248,7 +295,7 @@ def scored(source: DataFrame, train: DataFrame, kept: list[str], fields: list[tu
 
     def distinct(table):
         found = [part for b in table.to_batches() for part in slices(b, "text")]
-        return found, distinct_of(np.concatenate([distinct_of(key_of(part)) for part in found]))
+        return found, distinct_of_all(key_of(part) for part in found)
 
     def key_of(part):
         return keys(*buffers(part.column(part.schema.get_field_index("text"))))[0]
@@ -264,7 +311,7 @@ def scored(source: DataFrame, train: DataFrame, kept: list[str], fields: list[tu
         wanted = [unpack(r["keys"], r["n"]) for r in asked]
         key = distinct_of(np.concatenate(wanted)) if wanted else np.zeros(0, np.int64)
         value = answers(key, depths, tops.value).astype("<f4")
-        rows = [(r["bucket"], r["chunk"], r["n"], value[np.searchsorted(key, w)].tobytes(), None) for r, w in zip(asked, wanted, strict=True)]
+        rows = [(r["bucket"], r["chunk"], r["n"], pack_logs(value[np.searchsorted(key, w)]), None) for r, w in zip(asked, wanted, strict=True)]
         return pa.Table.from_batches([_batch(rows)])
 
     schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(n, t, True) for n, t in fields])
@@ -276,11 +323,10 @@ def scored(source: DataFrame, train: DataFrame, kept: list[str], fields: list[tu
         value = np.zeros(len(key), "<f4")
         known = dict(zip(got.column("bucket").to_pylist(), got.column("keys").to_pylist(), strict=True))
         for b, at in parts(key, n_buckets):
-            value[at] = np.frombuffer(known[b], "<f4")
-        out = []
+            value[at] = unpack_logs(known[b], len(at))
+        told, out = Values(key, value), []
         for part in found:
-            k, place = np.unique(key_of(part), return_inverse=True)
-            logs = value[np.searchsorted(key, k)][place].astype(float)
+            logs = told.of(key_of(part)).astype(float)
             made = [x if isinstance(x, pa.Array) else pa.array(x) for x in kernel(part.select(["text"]), logs)]
             out.append(pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + made, schema.names))
         return pa.Table.from_batches(out)
