@@ -701,6 +701,26 @@ def test_block_max_search_is_exact(seed, k):
         np.testing.assert_allclose(value, score[want], atol=2e-5)
 
 
+def test_a_first_block_is_read_by_its_own_terms(monkeypatch):
+    """A product over all rows of a block is made for the texts that share it, in the second reading only; results don't depend on the group."""
+    rng = np.random.default_rng(8)
+    dense = (rng.random((700, 40)) * (rng.random((700, 40)) < 0.3)).astype(np.float32)
+    dense[:256, :20], dense[256:, 20:] = dense[:256, :20] * 9, 0
+    example, term = (x.astype(np.int32) for x in np.nonzero(dense))
+    index = toxicity.BlockMaxIndex(example, term, dense[example, term], 40, 700)
+    asked = (rng.random((9, 40)) * (rng.random((9, 40)) < 0.5)).astype(np.float32)
+    text, t = np.nonzero(asked)
+    whole = index.nearest(text, t, asked[text, t], 9, 3)
+    assert index.posting.nbytes == 8 * index.begin[-1] and index.example is None  # a list is one array
+    for q in range(9):
+        t = np.flatnonzero(asked[q])
+        ((name, value),) = index.nearest(np.zeros(len(t), np.int64), t, asked[q, t], 1, 3)
+        score = dense @ asked[q]
+        np.testing.assert_allclose(value, np.sort(score)[::-1][:3], atol=2e-5)
+        np.testing.assert_allclose(value, whole[q][1], atol=2e-5)
+        np.testing.assert_allclose(score[name], score[whole[q][0]], atol=2e-5)
+
+
 def test_texts_beyond_one_slice_are_read_whole(spark):
     long = " ".join(f"{PROSE} {k}" for k in range(25000))
     assert len(long) > 2 * textkit.SLICE_BYTES

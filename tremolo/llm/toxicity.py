@@ -29,7 +29,7 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 PREFIX = 6
 #: Bounds: labelled examples, nearest examples, examples in a block of the index, queries answered together.
-EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 64
+EXAMPLES, NEAREST, BLOCK, TOGETHER = 12000, 15, 256, 256
 #: Postings that the driver handles at a time.
 PART = 1 << 19
 #: Bytes of the examples' texts, which bound their terms.
@@ -230,15 +230,17 @@ class BlockMaxIndex:
         return np.argsort(kind, kind="stable")
 
     def _open(self) -> None:
-        """The rows, made where they are used."""
+        """The rows and the lists as they are read, made where they are used."""
         row, example, weight = self.head
         self.dense = np.zeros((self.n_blocks, int((self.row >= 0).sum()), self.span), np.float32)
         self.dense[example // self.span, row, example % self.span] = weight
         self.dense_top = self.dense.max(axis=2).T
-        self.head = None
+        #: example (low half) and weight (high half) side by side, so that a list is read once
+        self.posting = np.stack([self.example, self.weight.view(np.int32)], axis=1).view("<i8").ravel()
+        self.head = self.example = self.weight = None
 
     def nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of n texts the k examples of largest positive cosine with these, ties to the smaller example."""
+        """For each of n texts the k examples of largest positive cosine with these, ties to the smaller example; by text."""
         if not self.n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * n
         if self.dense is None:
@@ -248,33 +250,38 @@ class BlockMaxIndex:
         rows[text[row >= 0], row[row >= 0]] = weight[row >= 0]
         text, term, weight = text[row < 0], term[row < 0], weight[row < 0]
         pair, size = spread(self.pairs[term], self.pairs[term + 1])
-        text, weight = np.repeat(text, size), np.repeat(weight, size)
-        cell = text * self.n_blocks + self.block[pair]
-        bound = rows @ self.dense_top + np.bincount(cell, weights=weight * self.top[pair], minlength=n * self.n_blocks).reshape(n, -1)
-        width = self.n_blocks * self.span
-        scores = np.full((n, width), -1, np.float32)
+        text, weight, block = np.repeat(text, size), np.repeat(weight, size), self.block[pair]
+        ends = np.searchsorted(text, np.arange(n + 1))
+        bound = rows @ self.dense_top + np.bincount(text * self.n_blocks + block, weights=weight * self.top[pair], minlength=n * self.n_blocks).reshape(n, -1)
+        scores = np.full((n, self.n_blocks * self.span), -1, np.float32)
 
         def read(open_):
-            here = np.flatnonzero(open_.ravel()[cell])
-            p = pair[here]
-            at, size = spread(self.begin[p], self.begin[p + 1])
-            place = np.repeat(text[here] * width, size)
-            place += self.example[at]
-            value = np.repeat(weight[here], size)
-            value *= self.weight[at]
-            found = np.bincount(place, weights=value, minlength=scores.size).reshape(scores.shape)
-            for b in np.flatnonzero(open_.any(axis=0)).tolist():
-                q, span = np.flatnonzero(open_[:, b]), slice(b * self.span, (b + 1) * self.span)
-                scores[q, span] = rows[q] @ self.dense[b] + found[q, span]
+            """Adds the lists of open blocks, text by text, so that they stay in the processor's cache; neighbouring blocks of a term are one run."""
+            for q in np.flatnonzero(open_.any(axis=1)).tolist():
+                own = np.flatnonzero(open_[q][block[ends[q] : ends[q + 1]]]) + ends[q]
+                if len(own):
+                    p, w = pair[own], weight[own]
+                    first = np.flatnonzero(np.append(True, (p[1:] != p[:-1] + 1) | (w[1:] != w[:-1])))
+                    at, size = spread(self.begin[p[first]], self.begin[p[np.append(first[1:], len(p)) - 1] + 1])
+                    posting, value = self.posting[at], np.repeat(w[first], size)
+                    value *= posting.view("<f4")[1::2]
+                    scores[q] += np.bincount(posting & 0xFFFFFFFF, weights=value, minlength=scores.shape[1])
 
         lead = bound.argmax(axis=1)
         best = np.zeros_like(bound, bool)
         best[np.arange(n), lead] = True
+        for q, b in enumerate(lead.tolist()):  # few texts share their first block, so that a product over all rows would mostly add zeros
+            use = np.flatnonzero(rows[q])
+            scores[q, b * self.span : (b + 1) * self.span] = rows[q, use] @ self.dense[b, use]
         read(best)
         first = scores.reshape(n, self.n_blocks, self.span)[np.arange(n), lead]
         least = np.partition(first, self.span - k, axis=1)[:, self.span - k] if k <= self.span else np.zeros(n)
         least = np.maximum(least, 0) - 10.0**-DECIMALS
-        read((bound >= least[:, None]) & (bound > 0) & ~best)
+        rest = (bound >= least[:, None]) & (bound > 0) & ~best
+        for b in np.flatnonzero(rest.any(axis=0)).tolist():
+            q = np.flatnonzero(rest[:, b])
+            scores[q, b * self.span : (b + 1) * self.span] = rows[q] @ self.dense[b]
+        read(rest)
         out = []
         for s, bar in zip(scores, least, strict=True):
             at = np.flatnonzero(s >= bar)
@@ -318,8 +325,9 @@ def toxicity(df: DataFrame, model: dict, text: str = "text", keep: list[str] | N
     def kernel(batch, _):
         m = shared.value
         scores, evidence = [], []
-        for lo in range(0, batch.num_rows, TOGETHER):
-            part = batch.column(0).slice(lo, TOGETHER)
+        step = -(-batch.num_rows // -(-batch.num_rows // TOGETHER))
+        for lo in range(0, batch.num_rows, step):
+            part = batch.column(0).slice(lo, step)
             of, term, count = known_terms(*buffers(part), m["vocabulary"])
             weight = weigh(of, count, m["factor"][term], len(part))
             for name, value in m["index"].nearest(of, term, weight, len(part), NEAREST):
