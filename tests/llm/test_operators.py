@@ -457,6 +457,40 @@ def test_values_take_less_time_than_a_sort_of_the_places():
     assert least(lambda: told.of(asked)) < least(by_sort)
 
 
+def test_a_large_corpus_asks_less_for_a_byte_of_text(spark):
+    chunk, large = byte_contexts.CHUNK, byte_contexts.LARGE
+    assert [byte_contexts.chunks_of(n) for n in (0, 1, chunk, chunk + 1, byte_contexts.ENOUGH * chunk)] == [1, 1, 1, 2, byte_contexts.ENOUGH]
+    sizes = [n / byte_contexts.chunks_of(n) for n in range(chunk, 1 << 31, 12345678)]
+    assert max(sizes) <= large and sizes[-1] > 0.9 * large
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").toArrow().column(0)
+    data, off = textkit.buffers(texts)
+    asked = []
+    for size in (chunk, large):
+        n = int(np.searchsorted(off, size))
+        asked.append(len(byte_contexts.distinct_of(byte_contexts.keys(data[: off[n]], off[: n + 1])[0])) / off[n])
+    assert asked[1] < 0.85 * asked[0]
+
+
+def test_finished_steps_of_the_language_model_leave_the_disk(spark):
+    import time
+    from pathlib import Path
+
+    context = spark.sparkContext._jsc.sc()
+    textkit.shared_dir(spark)
+    written = Path(context.getCheckpointDir().get().removeprefix("file:"))
+    shuffles = lambda: context.env().mapOutputTracker().shuffleStatuses().size()
+    textkit.sweep(spark)
+    time.sleep(3)
+    files, before = set(written.glob("rdd-*")), shuffles()
+    got = context_tree.language_model(docs_of(spark).select("doc_id", "text", F.lit(True).alias("t")), "t")
+    until = time.time() + 20
+    while time.time() < until and shuffles() > before + 4:
+        time.sleep(0.5)
+    assert shuffles() <= before + 4  # those of the last step, which Python may let go just after the sweep
+    assert len(set(written.glob("rdd-*")) - files) <= 2  # word counts and scores, which got reads; the model is gone
+    assert got.count() == docs_of(spark).count()
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     docs = docs_of(spark).select("doc_id", "text").withColumn("t", F.col("doc_id") % 3 != 0).cache()
     plain = context_tree.language_model(docs, "t").toPandas()

@@ -4,7 +4,8 @@ A key is the DEPTH bytes before a byte, the nearest highest, and the byte: 56 bi
 of the training texts is kept, so the tree gains contexts with the corpus. All contexts that share
 their nearest NEAR bytes lie in one bucket; a bucket weighs its part of the tree by itself. The
 contexts of less than NEAR bytes are weighed on the driver: at most 2^16 of 255 decisions. Texts are
-scored in chunks: a chunk asks each bucket once for each of its distinct keys.
+scored in chunks: a chunk asks each bucket once for each of its distinct keys. What a byte of text
+asks for shrinks as chunks grow, so a large corpus has larger chunks.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.textkit import LOWER, bound_batches, buffers, cut, mix, slices
+from tremolo.llm.textkit import LOWER, bound_batches, buffers, cut, mix, slices, sweep
 
 DEPTH, NEAR, END = 6, 3, 255
 #: Bytes of text in a chunk, and of training text behind a bucket; keys held in a task before they are passed on.
 CHUNK, BUCKET, HELD = 4 << 20, 16 << 20, 1 << 22
+#: Chunks that are enough to work side by side: a corpus of more has larger ones, of LARGE bytes at most.
+ENOUGH, LARGE = 32, 8 << 20
 _HALF = np.log(0.5)
 _CONTEXT = np.uint64((1 << 8 * (DEPTH + 1)) - 256)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,6 +50,10 @@ def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
     return (mix((key >> (8 * (DEPTH - NEAR + 1))).astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
 
 
+def chunks_of(n_bytes: int) -> int:
+    return max(1, min(-(-n_bytes // CHUNK), ENOUGH), -(-n_bytes // LARGE))
+
+
 def pack(values: np.ndarray) -> bytes:
     """int64 values, byte by byte of their steps, compressed."""
     step = np.diff(values, prepend=0).astype("<i8")
@@ -282,14 +289,15 @@ def answers(key: np.ndarray, depths: dict | None, tops: list[list[Layer]]) -> np
 
 
 def scored(source: DataFrame, train: DataFrame, kept: list[str], fields: list[tuple[str, T.DataType]], kernel: Callable[..., list], n_bytes: int) -> DataFrame:
-    """kept and fields for each row of source; kernel(batch, logs) gets the column text and the log10 probability of each byte and end.
+    """kept and fields for each row of source, written; kernel(batch, logs) gets the column text and the log10 probability of each byte and end.
 
     train: texts (t) that teach. n_bytes: bytes of text in source, which decides the number of parts only.
     """
-    n_buckets, n_chunks = max(4, -(-n_bytes // BUCKET)), max(1, -(-n_bytes // CHUNK))
+    n_buckets, n_chunks = max(4, -(-n_bytes // BUCKET)), chunks_of(n_bytes)
     model = cut(gather(train, n_buckets))
     top = model.groupBy("bucket").applyInArrow(crowns, "level int, node long, ones double, n double, lw double")
     tops = source.sparkSession.sparkContext.broadcast(crown(top.groupBy("level", "node").agg(*(F.sum(c).alias(c) for c in ("ones", "n", "lw"))).toPandas()))
+    sweep(source.sparkSession)  # the texts are dealt next; the shuffles behind the model need not lie beside them
     chunk = F.pmod(F.xxhash64(kept[0], "text"), F.lit(n_chunks)).cast("int")
     texts = source.withColumn("__chunk", chunk)
 
@@ -333,6 +341,9 @@ def scored(source: DataFrame, train: DataFrame, kept: list[str], fields: list[tu
 
     asked = texts.groupBy("__chunk").applyInArrow(ask, _KEYS)  # with all columns, so that both uses share one exchange
     told = model.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, _KEYS)
-    return texts.groupBy("__chunk").cogroup(told.groupBy("chunk")).applyInArrow(read, schema)
+    out = cut(texts.groupBy("__chunk").cogroup(told.groupBy("chunk")).applyInArrow(read, schema))
+    del texts, asked, told  # what they refer to is not swept
+    sweep(source.sparkSession, model)
+    return out
 
 

@@ -128,7 +128,7 @@ def language_model(df: DataFrame, trains: str, id_col: str = "doc_id", text: str
         return [key, (n + 1).astype(np.int64), totals(c > 0, first) + (m["end"] > 0), logs, value, -value / np.log10(2) / (np.diff(off) + 1)]
 
     learnt = df.where(F.col(trains)).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    scored = cut(byte_contexts.scored(source, learnt, [id_col, *keep], FIELDS, score, size.bytes))
+    scored = byte_contexts.scored(source, learnt, [id_col, *keep], FIELDS, score, size.bytes)
 
     def rare(batches):
         m = sent.value
